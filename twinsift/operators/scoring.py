@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators.skew import attach
+from twinsift.session import checkpointed
 
 # Points and names of the rules, in the order the reasons are listed.
 RULES = [
@@ -60,28 +61,32 @@ def keep_reason() -> Column:
     return F.coalesce(F.nullif(listed, F.lit("")), F.lit(FALLBACK_REASON))
 
 
-def choose_primary(scored: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def choose_primary(
+    scored: DataFrame, keys: Sequence[str], hot_rows: int | None = None, total: int | None = None
+) -> DataFrame:
     """Exactly one primary per group: most points, then the lowest file id."""
     best = F.struct((-F.col("keep_score")).alias("points"), F.col("file_id"))
     winners = scored.groupBy(*keys).agg(
         F.min(best)["file_id"].alias("winner"), F.count(F.lit(1)).alias("members")
     )
     rest = [c for c in scored.columns if c != "is_primary"]
-    return attach(scored.select(*rest), winners, keys, ["file_id"], counts="members", hot_rows=hot_rows).select(
-        *rest, (F.col("file_id") == F.col("winner")).cast("int").alias("is_primary")
+    joined = attach(
+        scored.select(*rest), winners, keys, ["file_id"], counts="members", hot_rows=hot_rows, total=total
     )
+    return joined.select(*rest, (F.col("file_id") == F.col("winner")).cast("int").alias("is_primary"))
 
 
 def score_groups(
     items: DataFrame, files: DataFrame, keys: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Items with keep_score, reason and a new is_primary; all other columns stay."""
-    members = with_file_attributes(items.drop("is_primary", "keep_score", "reason"), files)
+    members = checkpointed(with_file_attributes(items.drop("is_primary", "keep_score", "reason"), files))
+    total = members.count()
     extremes = group_extremes(members, keys)
-    rated = attach(members, extremes, keys, ["file_id"], counts="members", hot_rows=hot_rows)
+    rated = attach(members, extremes, keys, ["file_id"], counts="members", hot_rows=hot_rows, total=total)
     kept = [c for c in items.columns if c not in ("is_primary", "keep_score", "reason")]
     scored = rated.select(*kept, keep_score().alias("keep_score"), keep_reason().alias("reason"))
-    return choose_primary(scored, keys, hot_rows=hot_rows)
+    return choose_primary(scored, keys, hot_rows=hot_rows, total=total)
 
 
 def score_summary(exact_items: DataFrame, similar_items: DataFrame) -> DataFrame:

@@ -128,12 +128,18 @@ def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> D
     return pairs
 
 
-def _search(prints: DataFrame, threshold: int, links_only: bool, bucket_rows: int) -> DataFrame:
+def print_counts(candidates: DataFrame) -> DataFrame:
+    """Distinct prints with their number of files and lowest file id, worked out once."""
+    return checkpointed(
+        candidates.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_id"))
+    )
+
+
+def _search(distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int) -> DataFrame:
     if threshold < 0:
         raise ValueError("threshold must not be negative")
-    distinct = checkpointed(prints.select("print").distinct())
     if threshold == 0:
-        return prints.sparkSession.createDataFrame([], "a long, b long")
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
     found = None
     may_be_hot = distinct.count() > bucket_rows
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
@@ -159,7 +165,7 @@ def similar_pairs(
     prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Every pair of distinct prints within the threshold: print_a < print_b, distance."""
-    pairs = _search(prints, threshold, False, bucket_rows)
+    pairs = _search(checkpointed(prints.select("print").distinct()), threshold, False, bucket_rows)
     return pairs.select(
         F.col("a").alias("print_a"), F.col("b").alias("print_b"),
         hamming(F.col("a"), F.col("b")).alias("distance"),
@@ -174,21 +180,23 @@ def similar_links(
     Prints of one bucket that are all close to its hub are linked through the hub only, so a
     dense cluster costs one link per print and bucket instead of all its pairs.
     """
-    links = _search(prints, threshold, True, bucket_rows)
+    return _as_links(_search(checkpointed(prints.select("print").distinct()), threshold, True, bucket_rows))
+
+
+def _as_links(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def similar_group_items(
-    candidates: DataFrame, components: DataFrame, job_id: str, hot_rows: int | None = None
+    candidates: DataFrame, components: DataFrame, job_id: str, hot_rows: int | None = None,
+    prints: DataFrame | None = None,
 ) -> DataFrame:
     """Members of the groups of two or more files with distance and confidence to the anchor.
 
     ``components`` labels prints (id, component); prints without a label stand alone. Distance
     and group are worked out once per distinct print, then joined to the files once.
     """
-    prints = candidates.groupBy("print").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_id")
-    )
+    prints = print_counts(candidates) if prints is None else prints
     labelled = prints.join(components.withColumnRenamed("id", "print"), "print", "left").withColumn(
         "component", F.coalesce("component", "print")
     )
@@ -241,6 +249,7 @@ def find_similar(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Items of all near-copy groups of the candidates (file_id, print)."""
-    links = similar_links(candidates, threshold, bucket_rows)
+    prints = print_counts(candidates)
+    links = _as_links(_search(prints.select("print"), threshold, True, bucket_rows))
     components = connected_components(links, hot_rows=hot_rows)
-    return similar_group_items(candidates, components, job_id, hot_rows=hot_rows)
+    return similar_group_items(candidates, components, job_id, hot_rows=hot_rows, prints=prints)

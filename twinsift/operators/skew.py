@@ -20,6 +20,21 @@ _SLICES = "__slices"
 _COUNT = "__rows"
 
 
+def hot_keys(sized: DataFrame, keys: Sequence[str], count: str, limit: int) -> DataFrame | None:
+    """Keys with at least ``limit`` rows and into how many slices to cut them; None if none.
+
+    At most HOT_KEYS rows pass through the driver.
+    """
+    found = (
+        sized.where(F.col(count) >= limit)
+        .orderBy(F.desc(count), *keys)
+        .select(*keys, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias(_SLICES))
+        .limit(HOT_KEYS)
+    )
+    rows = found.collect()
+    return sized.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
 def attach(
     rows: DataFrame,
     per_key: DataFrame,
@@ -36,22 +51,23 @@ def attach(
     are counted. Rows of a hot key are spread over slices by a hash of ``spread_by`` and the
     value row is repeated once per slice. Nothing is dropped: ``how`` decides as in a join.
     ``total`` is the counted number of rows, if known: too few rows cannot hold a hot key.
+
+    The values are checkpointed, so that they are worked out once and chains of calls keep
+    short plans.
     """
     keys = list(keys)
     limit = hot_rows or HOT_ROWS
     if total is not None and total < limit:
         return rows.join(per_key, keys, how)
+    per_key = checkpointed(per_key)
     sized = (
-        per_key.select(*keys, F.col(counts).alias(_COUNT))
+        per_key.withColumnRenamed(counts, _COUNT)
         if counts
         else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT))
     )
-    hot = (
-        sized.where(F.col(_COUNT) >= limit)
-        .orderBy(F.desc(_COUNT), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col(_COUNT) / F.lit(limit)).cast("int").alias(_SLICES))
-    )
+    hot = hot_keys(sized, keys, _COUNT, limit)
+    if hot is None:
+        return rows.join(per_key, keys, how)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
     spread = (
         rows.join(F.broadcast(hot), keys, "left")
