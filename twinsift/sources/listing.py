@@ -8,16 +8,18 @@ task walking one root.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import mimetypes
 import os
 import stat
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinsift.functions import paths as P
 from twinsift.functions.fingerprints import dhash64, phash64
@@ -63,21 +65,19 @@ def _entries_of(root_id: int, root_path: str, folder: str) -> Iterator[tuple]:
                 )
 
 
-def _list_folders(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = _ENTRY.fieldNames()
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype(
-        {name: "Int64" for name in names[4:]}
-    )
+def _list_folders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for root_id, root_path, folder in zip(batch.root_id, batch.root_path, batch.abs_path):
-            for row in _entries_of(root_id, root_path, folder):
-                rows.append(row)
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield frame(rows)
-                    rows = []
-        if rows:
-            yield frame(rows)
+        folders = batch.to_pylist()
+        entries = (row for f in folders for row in _entries_of(f["root_id"], f["root_path"], f["abs_path"]))
+        while rows := list(itertools.islice(entries, _ROWS_PER_BATCH)):
+            yield _as_batch(rows, _ENTRY)
+
+
+def _as_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    """Rows as an Arrow batch: whole numbers stay exact, also next to nulls."""
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), arrow)]
+    return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
 def list_files(roots: DataFrame, folders_per_task: int = 200) -> DataFrame:
@@ -93,7 +93,7 @@ def list_files(roots: DataFrame, folders_per_task: int = 200) -> DataFrame:
     while folder_count:
         tasks = max(1, min(-(-folder_count // folders_per_task), 20_000))
         tasks = max(tasks, min(folder_count, spark.sparkContext.defaultParallelism))
-        entries = checkpointed(level.repartition(tasks).mapInPandas(_list_folders, _ENTRY))
+        entries = checkpointed(level.repartition(tasks).mapInArrow(_list_folders, _ENTRY))
         found = entries.where(~F.col("is_dir"))
         files = found if files is None else files.unionByName(found)
         level = entries.where("is_dir").select("root_id", "root_path", "abs_path")
@@ -151,17 +151,18 @@ _DIGEST = T.StructType(
 _CHUNK = 1 << 20
 
 
-def _read_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file_id, path in zip(batch.file_id, batch.abs_path):
-            with open(path, "rb") as handle:
-                yield pd.DataFrame({"file_id": [file_id], "content": [handle.read()]})
+        for file in batch.to_pylist():
+            with open(file["abs_path"], "rb") as handle:
+                yield _as_batch([(file["file_id"], handle.read())], _CONTENT)
 
 
-def _digest_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, *_digest_file(path)) for i, path in zip(batch.file_id, batch.abs_path)]
-        yield pd.DataFrame(rows, columns=_DIGEST.fieldNames())
+        digests = ((file["file_id"], *_digest_file(file["abs_path"])) for file in batch.to_pylist())
+        while rows := list(itertools.islice(digests, _ROWS_PER_BATCH)):
+            yield _as_batch(rows, _DIGEST)
 
 
 def _digest_file(path: str) -> tuple[str, bytes, bytes]:
@@ -196,7 +197,7 @@ def _dealt(changed: DataFrame, bytes_per_task: int) -> DataFrame:
 
 def read_changed_content(changed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
     """Bytes of the changed files (file_id, abs_path, size_bytes, changed) for small files."""
-    return _dealt(changed, bytes_per_task).mapInPandas(_read_contents, _CONTENT)
+    return _dealt(changed, bytes_per_task).mapInArrow(_read_contents, _CONTENT)
 
 
 def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
@@ -207,7 +208,7 @@ def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> Da
     :func:`twinsift.functions.fingerprints.fingerprint`: samples of the right length are
     returned unchanged by the sampling step.
     """
-    read = _dealt(changed, bytes_per_task).mapInPandas(_digest_contents, _DIGEST)
+    read = _dealt(changed, bytes_per_task).mapInArrow(_digest_contents, _DIGEST)
     wide = read.select(
         "file_id",
         F.col("content_hash").alias(CONTENT_HASH),
