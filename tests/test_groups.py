@@ -68,7 +68,7 @@ def test_refined_buckets_lose_nothing(spark, threshold, bucket_rows):
     df = spark.createDataFrame([(signed(v),) for v in values], "print long")
     want = near_pairs(values, threshold)
     assert rows(similar.similar_pairs(df, threshold, bucket_rows), "print_a", "print_b") == want
-    links = [tuple(r) for r in similar.similar_links(df, threshold, bucket_rows).collect()]
+    links = [tuple(r) for r in similar.similar_links(df, threshold, bucket_rows, hot_rows=15).collect()]
     assert union_find(links) == union_find([(a, b) for a, b, _ in want])
 
 

@@ -181,6 +181,50 @@ def test_unchanged_files_of_earlier_jobs_are_grouped_again(spark, tmp_path):
     assert (exact_only.exact_groups_found, exact_only.similar_groups_found) == (1, 0)
 
 
+def test_files_of_unique_size_are_not_read_in_full(spark, tmp_path):
+    write(tmp_path / "a", b"A" * 256)
+    write(tmp_path / "b", b"B" * 100)
+    roots = root_table(spark, tmp_path)
+    options = dict(skip_unique_sizes=True)
+    digests = lambda r: r.file_hashes.where("hash_type = 'blake3_full'").count()
+    first = scan_roots(roots, *empty_index(spark), "j1", **options)
+    assert (digests(first), first.file_hashes.count()) == (0, 4)
+    write(tmp_path / "c", b"A" * 256)
+    second = scan_roots(roots, first.files, first.file_hashes, "j2", **options)
+    totals = second.metrics.first()
+    assert (totals.files_indexed, totals.exact_groups_found, totals.reclaimable_bytes) == (1, 1, 256)
+    assert (digests(second), second.file_hashes.count()) == (2, 8)
+    write(tmp_path / "c", b"D" * 77)
+    third = scan_roots(roots, second.files, second.file_hashes, "j3", **options)
+    assert third.metrics.first().exact_groups_found == 0 and digests(third) == 1
+    full = scan_roots(roots, *empty_index(spark), "j4")
+    same = lambda r: rows(r.file_hashes.where("hash_type <> 'blake3_full'").join(r.files.select("file_id", "file_name"), "file_id").select("file_name", "hash_type", "hash_hex"), "file_name", "hash_type")
+    assert same(third) == same(full)
+
+
+def test_one_pass_refresh_equals_the_three_steps(spark):
+    base = dict(size_bytes=5, mtime_epoch_ns=10, inode=7, dev=1, first_seen_job_id="j0", last_seen_job_id="j0")
+    old = files(
+        spark,
+        *[dict(file_id=i, abs_path=f"/nas/{n}", **base) for i, n in enumerate("abcdef", 1)],
+        dict(file_id=8, abs_path="/nas/back", **{**base, "is_present": 0}),
+        dict(file_id=9, abs_path="/nas/other", root_id=4, **base),
+        dict(file_id=10, abs_path="/nas/gone", **base),
+    )
+    fresh = dict(size_bytes=5, mtime_epoch_ns=10, inode=7, dev=1)
+    now = src.path_attributes(listing(
+        spark, dict(abs_path="/nas/a", **fresh), dict(abs_path="/nas/b", **{**fresh, "size_bytes": 6}),
+        dict(abs_path="/nas/c", **{**fresh, "inode": None, "dev": None}), dict(abs_path="/nas/d", **{**fresh, "dev": 3}),
+        dict(abs_path="/nas/back", **fresh), dict(abs_path="/nas/new2", **fresh), dict(abs_path="/nas/new1", **fresh),
+    ))
+    at = F.to_timestamp(F.lit("2026-03-13 10:00:00"))
+    got = index.refresh_index(old, now, [1], "j1", at)
+    steps = index.mark_missing(index.upsert_files(old, now, "j1", at), now, [1], "j1", at)
+    assert rows(got.select(*old.columns), "file_id") == rows(steps, "file_id")
+    changed = index.detect_changes(now, old).where("changed").select("abs_path")
+    assert rows(got.where("changed").select("abs_path"), "abs_path") == rows(changed, "abs_path")
+
+
 def test_storing_a_scan_twice_and_dropping_it(spark, tmp_path):
     write(tmp_path / "in" / "a", b"A" * 100)
     write(tmp_path / "in" / "b", b"A" * 100)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators.skew import global_index
+from twinsift.session import checkpointed
 
 # Attributes a listing does not carry are overwritten with null by an upsert, as are all
 # others: only the file id and the job that first saw the file are kept.
@@ -110,6 +111,55 @@ def mark_missing(
     )
 
 
+def refresh_index(
+    files: DataFrame, listing: DataFrame, root_ids: Iterable[int], job_id: str, now: Column | None = None
+) -> DataFrame:
+    """Index after a scan with ``changed`` per row: detect, upsert and mark missing in one join.
+
+    Gives what :func:`detect_changes`, :func:`upsert_files` and :func:`mark_missing` give one
+    after another, but shuffles the index and the listing (one row per path) only once.
+    """
+    now = F.current_timestamp() if now is None else now
+    listed = [c for c in files.columns if c in listing.columns and c not in ("abs_path", *_KEPT)]
+    old = files.withColumn("indexed", F.lit(True))
+    new = listing.select("abs_path", F.lit(True).alias("listed"), *[F.col(c).alias(f"new_{c}") for c in listed])
+    is_new, seen = F.col("indexed").isNull(), F.col("listed").isNotNull()
+    differs = lambda c: ~F.col(f"new_{c}").eqNullSafe(F.col(c))
+    changed = seen & (
+        is_new
+        | differs("size_bytes")
+        | differs("mtime_epoch_ns")
+        | (F.col("new_inode").isNotNull() & differs("inode"))
+        | (F.col("new_dev").isNotNull() & differs("dev"))
+        | ~F.col("is_present").eqNullSafe(F.lit(1))
+    )
+    gone = ~seen & F.col("root_id").isin([int(r) for r in root_ids]) & (F.col("is_present") != 0)
+
+    def value(c: str) -> Column:
+        kind = files.schema[c].dataType
+        if c in ("abs_path", "file_id"):
+            return F.col(c)
+        if c == "first_seen_job_id":
+            return F.when(is_new, F.lit(job_id)).otherwise(F.col(c)).alias(c)
+        if c == "updated_at":
+            return F.when(is_new | gone, now.cast(kind)).otherwise(F.col(c)).alias(c)
+        if c == "last_seen_job_id":
+            return F.when(seen | gone, F.lit(job_id)).otherwise(F.col(c)).alias(c)
+        if c == "is_present":
+            return F.when(seen, 1).when(gone, 0).otherwise(F.col(c)).cast(kind).alias(c)
+        fresh = F.col(f"new_{c}") if c in listed else F.lit(None)
+        return F.when(seen, fresh.cast(kind)).otherwise(F.col(c)).alias(c)
+
+    merged = checkpointed(
+        old.join(new, "abs_path", "full_outer").select(
+            *[value(c) for c in files.columns], changed.alias("changed"), is_new.alias("is_new")
+        )
+    )
+    last_id = merged.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+    fresh = global_index(merged.where("is_new").drop("file_id"), ["abs_path"], "file_id", start=last_id + 1)
+    return merged.where("NOT is_new").unionByName(fresh).drop("is_new")
+
+
 def upsert_hashes(file_hashes: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
     """Latest value per file and hash type; ``seq`` orders repeated new values."""
     key = ["file_id", "hash_type"]

@@ -84,7 +84,7 @@ def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
     )
 
 
-def _sized(rows: DataFrame, level: int) -> DataFrame:
+def _sized(rows: DataFrame, level: int, total: int | None, hot_rows: int | None) -> DataFrame:
     """Rows of buckets that can hold a pair, with bucket size and one fixed member (hub).
 
     Prints filed with the same flipped bit agree in that block and meet under their own value
@@ -102,7 +102,9 @@ def _sized(rows: DataFrame, level: int) -> DataFrame:
         .where("size > 1 AND (least < most OR most = 0)")
         .select("path", "bucket", "size", "hub")
     )
-    return rows.join(buckets, ["path", "bucket"])
+    return attach(
+        rows, buckets, ["path", "bucket"], ["print"], counts="size", hot_rows=hot_rows, total=total
+    )
 
 
 def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> DataFrame:
@@ -135,19 +137,23 @@ def print_counts(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _search(distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int) -> DataFrame:
+def _search(
+    distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int, hot_rows: int | None = None
+) -> DataFrame:
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     if threshold == 0:
         return distinct.sparkSession.createDataFrame([], "a long, b long")
     found = None
-    may_be_hot = distinct.count() > bucket_rows
+    prints = distinct.count()
+    may_be_hot = prints > bucket_rows
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
     paths = {0: list(range(64))}
     level = 0
     while True:
         rules, below = _children(paths, threshold)
-        rows = _sized(_file_under(rows, rules, level), level)
+        total = prints * len(rules) if level == 0 else None
+        rows = _sized(_file_under(rows, rules, level), level, total, hot_rows)
         paths = {p: free for p, free in below.items() if len(free) > threshold}
         if not may_be_hot or not paths:
             last = _compare(rows, level, threshold, links_only)
@@ -173,14 +179,16 @@ def similar_pairs(
 
 
 def similar_links(
-    prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS
+    prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Enough pairs (src, dst) within the threshold to connect what all pairs connect.
 
     Prints of one bucket that are all close to its hub are linked through the hub only, so a
     dense cluster costs one link per print and bucket instead of all its pairs.
     """
-    return _as_links(_search(checkpointed(prints.select("print").distinct()), threshold, True, bucket_rows))
+    distinct = checkpointed(prints.select("print").distinct())
+    return _as_links(_search(distinct, threshold, True, bucket_rows, hot_rows))
 
 
 def _as_links(links: DataFrame) -> DataFrame:
@@ -250,6 +258,6 @@ def find_similar(
 ) -> DataFrame:
     """Items of all near-copy groups of the candidates (file_id, print)."""
     prints = print_counts(candidates)
-    links = _as_links(_search(prints.select("print"), threshold, True, bucket_rows))
+    links = _as_links(_search(prints.select("print"), threshold, True, bucket_rows, hot_rows))
     components = connected_components(links, hot_rows=hot_rows)
     return similar_group_items(candidates, components, job_id, hot_rows=hot_rows, prints=prints)

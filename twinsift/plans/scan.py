@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.operators import exact, index, jobs, scoring, similar
-from twinsift.schemas import DEFAULT_THRESHOLD
+from twinsift.schemas import CONTENT_HASH, DEFAULT_THRESHOLD
 from twinsift.session import checkpointed
 from twinsift.sources.listing import fingerprint_changed, list_files, path_attributes
 from twinsift.sources.tables import delete_job_groups, overwrite_snapshot, replace_job_groups
@@ -60,21 +60,26 @@ def scan(
     threshold: int = DEFAULT_THRESHOLD,
     now: Column | None = None,
     read_prints: Callable[[DataFrame], DataFrame] = fingerprint_changed,
+    skip_unique_sizes: bool = False,
 ) -> ScanResult:
     """Index a listing and rebuild the job's groups.
 
-    ``read_prints`` gets the changed files (file_id, abs_path, size_bytes, changed) and returns
-    their hash rows. Unchanged files keep the prints of earlier jobs and take part in grouping.
+    ``read_prints`` gets the due files (file_id, abs_path, size_bytes, changed, needs_digest)
+    and returns their hash rows. Unchanged files keep the prints of earlier jobs and take part
+    in grouping. With ``skip_unique_sizes`` a file is read in full only once another present
+    file has its size: the groups are the same, the other files have no content hash.
     """
     root_ids = [int(r) for r in root_ids]
-    owned = checkpointed(index.resolve_overlapping_roots(listing))
-    changes = checkpointed(
-        index.detect_changes(owned, files).select("abs_path", "size_bytes", "changed")
-    )
-    after = index.upsert_files(files, path_attributes(owned), job_id, now)
-    after = checkpointed(index.mark_missing(after, owned, root_ids, job_id, now))
-    due = changes.where("changed").join(after.select("abs_path", "file_id"), "abs_path")
-    hashes = checkpointed(index.upsert_hashes(file_hashes, read_prints(due)))
+    owned = index.resolve_overlapping_roots(listing)
+    refreshed = index.refresh_index(files, path_attributes(owned), root_ids, job_id, now)
+    after = refreshed.drop("changed")
+    due = refreshed.select("file_id", "abs_path", "size_bytes", "changed", F.lit(True).alias("needs_digest"))
+    if skip_unique_sizes:
+        due = checkpointed(_due_by_size(refreshed, file_hashes))
+    due = due.where("changed")
+    kept = file_hashes.join(refreshed.where("changed").select("file_id"), "file_id", "left_anti")
+    hashes = checkpointed(index.upsert_hashes(kept, read_prints(due)))
+    changes = refreshed.where(F.col("last_seen_job_id") == job_id).select("changed")
     totals = index.scan_metrics(listing, changes)
 
     exact_candidates = exact.exact_candidates(after, hashes, root_ids)
@@ -98,6 +103,21 @@ def scan(
     )
 
 
+def _due_by_size(refreshed: DataFrame, file_hashes: DataFrame) -> DataFrame:
+    """Files to read: changed ones, and those whose size is no longer unique but were not digested."""
+    present = refreshed.where("is_present = 1").select("file_id", "abs_path", "size_bytes", "changed")
+    shared = exact.size_prefilter(present).select("file_id", F.lit(True).alias("shared"))
+    digested = file_hashes.where(F.col("hash_type") == CONTENT_HASH).select("file_id", F.lit(True).alias("digested"))
+    needs = F.col("shared").isNotNull() & (F.col("changed") | F.col("digested").isNull())
+    return (
+        present.join(shared, "file_id", "left")
+        .join(digested, "file_id", "left")
+        .select(
+            "file_id", "abs_path", "size_bytes", (F.col("changed") | needs).alias("changed"), needs.alias("needs_digest")
+        )
+    )
+
+
 def scan_roots(roots: DataFrame, files: DataFrame, file_hashes: DataFrame, job_id: str, **options) -> ScanResult:
     """Scan real folders (root_id, path) that every executor can read."""
     root_ids = [row.root_id for row in roots.select("root_id").collect()]

@@ -149,6 +149,8 @@ _DIGEST = T.StructType(
     ]
 )
 _CHUNK = 1 << 20
+# What opening a file and reading its samples costs, in bytes read.
+_SEEK_COST = 1 << 18
 
 
 def _read_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,19 +162,37 @@ def _read_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _digest_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests = ((file["file_id"], *_digest_file(file["abs_path"])) for file in batch.to_pylist())
+        digests = (
+            (f["file_id"], *(_digest_file if f["needs_digest"] else _sample_file)(f["abs_path"]))
+            for f in batch.to_pylist()
+        )
         while rows := list(itertools.islice(digests, _ROWS_PER_BATCH)):
             yield _as_batch(rows, _DIGEST)
 
 
+def _offsets(size: int, k: int) -> np.ndarray:
+    return np.minimum((np.arange(k) * (size / k)).astype("int64"), size - 1)
+
+
+def _sample_file(path: str) -> tuple[None, bytes, bytes]:
+    """Only the bytes at the two sets of sample offsets, without reading the rest."""
+    with open(path, "rb") as handle:
+        size = os.fstat(handle.fileno()).st_size
+        if size <= 65:
+            whole = handle.read()
+            return None, whole, whole
+        picks = lambda k: b"".join(os.pread(handle.fileno(), 1, int(at)) for at in _offsets(size, k))
+        return None, picks(65), picks(64)
+
+
 def _digest_file(path: str) -> tuple[str, bytes, bytes]:
     """Stream a file once: its digest, and the bytes at the two sets of sample offsets."""
     digest = hashlib.sha256()
-    size = os.stat(path).st_size
-    wanted = {k: np.minimum((np.arange(k) * (size / k)).astype("int64"), size - 1) for k in (65, 64)}
     kept = {65: [], 64: []}
     start = 0
     with open(path, "rb") as handle:
+        size = os.fstat(handle.fileno()).st_size
+        wanted = {k: _offsets(size, k) for k in kept}
         while chunk := handle.read(_CHUNK):
             digest.update(chunk)
             view = np.frombuffer(chunk, dtype="uint8")
@@ -188,11 +208,13 @@ def _digest_file(path: str) -> tuple[str, bytes, bytes]:
 
 def _dealt(changed: DataFrame, bytes_per_task: int) -> DataFrame:
     """Changed files (file_id, abs_path) in as many tasks as their bytes ask for."""
-    due = changed.where("changed").select("file_id", "abs_path", "size_bytes")
-    total = due.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    full = F.col("needs_digest") if "needs_digest" in changed.columns else F.lit(True)
+    due = changed.where("changed").select("file_id", "abs_path", "size_bytes", full.alias("needs_digest"))
+    cost = F.when(F.col("needs_digest"), F.col("size_bytes")).otherwise(0) + _SEEK_COST
+    total = due.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
     least = changed.sparkSession.sparkContext.defaultParallelism
     tasks = int(min(max(total // bytes_per_task, least), 100_000))
-    return due.repartition(tasks, "file_id").select("file_id", "abs_path")
+    return due.repartition(tasks, "file_id").select("file_id", "abs_path", "needs_digest")
 
 
 def read_changed_content(changed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
@@ -204,7 +226,8 @@ def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> Da
     """All three prints of the changed files, reading each file once in small chunks.
 
     Only the digest and 129 sample bytes per file leave the reading task, so files of any size
-    work and no content is shuffled. The prints come from the same expressions as in
+    work and no content is shuffled. Where ``needs_digest`` is false only the sample bytes are
+    read and there is no content hash. The prints come from the same expressions as in
     :func:`twinsift.functions.fingerprints.fingerprint`: samples of the right length are
     returned unchanged by the sampling step.
     """
@@ -215,4 +238,5 @@ def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> Da
         dhash64(F.col("samples_65")).alias(DHASH),
         phash64(F.col("samples_64")).alias(PHASH),
     )
-    return wide.unpivot("file_id", [CONTENT_HASH, DHASH, PHASH], "hash_type", "hash_hex")
+    long = wide.unpivot("file_id", [CONTENT_HASH, DHASH, PHASH], "hash_type", "hash_hex")
+    return long.where("hash_hex IS NOT NULL")
