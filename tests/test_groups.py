@@ -72,6 +72,20 @@ def test_refined_buckets_lose_nothing(spark, threshold, bucket_rows):
     assert union_find(links) == union_find([(a, b) for a, b, _ in want])
 
 
+@pytest.mark.parametrize("bucket_rows", [40, 60])
+def test_one_block_value_held_by_most_prints(spark, bucket_rows):
+    """All prints share their low bits but a few, which differ there by one or two bits."""
+    rng = random.Random(bucket_rows)
+    values = {rng.getrandbits(6) << 58 | rng.getrandbits(5) << 30 for _ in range(150)}
+    values |= {rng.choice(sorted(values)) ^ (1 << rng.randrange(21)) for _ in range(6)}
+    values |= {rng.choice(sorted(values)) ^ (1 << rng.randrange(21)) for _ in range(3)}
+    df = spark.createDataFrame([(signed(v),) for v in values], "print long")
+    want = near_pairs(values, 8)
+    assert rows(similar.similar_pairs(df, 8, bucket_rows), "print_a", "print_b") == want
+    links = [tuple(r) for r in similar.similar_links(df, 8, bucket_rows, hot_rows=20).collect()]
+    assert union_find(links) == union_find([(a, b) for a, b, _ in want])
+
+
 def test_links_of_a_dense_cluster_stay_few(spark):
     """All prints within the threshold of each other: no pair needs to be listed."""
     values = [i for i in range(200)]

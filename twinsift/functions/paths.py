@@ -9,26 +9,29 @@ from twinsift.schemas import MOUNT_ROOT
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
-def extension(name: Column) -> Column:
-    """Lower-cased last suffix with its dot; null for none, a leading or a final dot."""
-    return F.nullif(F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)), F.lit(""))
+def suffix(name: Column) -> Column:
+    """Last suffix with its dot, empty for none; a leading or a final dot starts no suffix."""
+    last = F.substring_index(name, ".", -1)
+    has_one = (F.length(last) > 0) & (F.length(name) - F.length(last) > 1)
+    return F.when(has_one, F.concat(F.lit("."), last)).otherwise("")
 
 
-def stem(name: Column) -> Column:
-    """Name without its last suffix, in the original case."""
-    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+$", "")
+def extension(name: Column) -> Column:
+    """Lower-cased suffix, null for none."""
+    return F.nullif(F.lower(suffix(name)), F.lit(""))
 
 
-def suffix(name: Column) -> Column:
-    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+def stem(name: Column) -> Column:
+    """Name without its last suffix."""
+    return F.left(name, F.length(name) - F.length(suffix(name)))
 
 
 def parent(path: Column) -> Column:
     """Everything up to and including the last slash."""
-    return F.regexp_replace(path, r"[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(file_name(path)))
 
 
 def rel_path(abs_path: Column, root_path: Column) -> Column:

@@ -36,7 +36,8 @@ def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int =
     still meet (``a.1.txt`` wanted by ``a.1.txt`` and as the first number of ``a.txt``): the
     lower item id keeps the path and the other moves on, until nobody shares a path.
     """
-    wanted = plan.select("item_id", F.col("target_path").alias("base"))
+    wanted = checkpointed(plan.select("item_id", F.col("target_path").alias("base")))
+    total = wanted.count()
     busy = existing.select("path").distinct()
     taken = busy.select(F.inline(_numbered_family(F.col("path"))))
     crowded = (
@@ -45,7 +46,7 @@ def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int =
         .where("items > 1 OR exists")
         .select("base", "items")
     )
-    crowd = attach(wanted, crowded, ["base"], ["item_id"], counts="items").select("base", "item_id")
+    crowd = attach(wanted, crowded, ["base"], ["item_id"], counts="items", total=total).select("base", "item_id")
     entries = crowd.select("base", F.lit(1).alias("wants"), F.col("item_id").alias("number")).unionByName(
         taken.join(crowded.select("base"), "base", "left_semi").select("base", F.lit(0).alias("wants"), F.col("n").alias("number"))
     )
@@ -68,7 +69,7 @@ def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int =
         )
         moved = placed.where("n > 0").join(busy, "path", "left_semi").select("item_id")
         losers = (
-            attach(placed, shared, ["path"], ["item_id"], counts="claims")
+            attach(placed, shared, ["path"], ["item_id"], counts="claims", total=total)
             .where("item_id <> keeper").select("item_id").unionByName(moved).distinct()
         )
         losers = checkpointed(losers.withColumn("lost", F.lit(1)))

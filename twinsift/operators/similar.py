@@ -24,6 +24,9 @@ from twinsift.sources.tables import files_in_roots
 
 # Buckets above this size are refined instead of compared.
 BUCKET_ROWS = 20_000
+# A large bucket in which all but this share of BUCKET_ROWS flip the same bit is compared
+# directly: rows that flip the same bit need no comparison here.
+FEW_SHARE = 20
 
 
 def similar_candidates(
@@ -107,6 +110,14 @@ def _sized(rows: DataFrame, level: int, total: int | None, hot_rows: int | None)
     )
 
 
+def _meets(flips: list[str]):
+    """Whether a pair with a < b counts in this bucket: one bucket per block and pair."""
+    match = F.lit(True)
+    for f in flips:
+        match = match & ((F.col(f"{f}_a") == 0) | (F.col(f"{f}_a") < F.col(f"{f}_b")))
+    return match
+
+
 def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> DataFrame:
     """Pairs of one bucket within the threshold, each found once per block that shows it."""
     near = hamming(F.col("print"), F.col("hub")) <= threshold
@@ -116,9 +127,7 @@ def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> D
                     *[F.col(f).alias(f"{f}_a") for f in flips])
     b = rows.select("path", "bucket", F.col("print").alias("b"), F.col("near").alias("near_b"),
                     *[F.col(f).alias(f"{f}_b") for f in flips])
-    match = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)
-    for f in flips:
-        match = match & ((F.col(f"{f}_a") == 0) | (F.col(f"{f}_a") < F.col(f"{f}_b")))
+    match = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold) & _meets(flips)
     if links_only:
         match = match & ~(F.col("near_a") & F.col("near_b"))
     pairs = (
@@ -130,6 +139,45 @@ def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> D
     return pairs
 
 
+def _split_lopsided(
+    rows: DataFrame, level: int, threshold: int, few: int, hot_rows: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows still to refine, pairs of the buckets that need no refining) of large buckets.
+
+    One block value held by many prints floods the buckets one bit away as well, where nearly
+    all rows flip the same bit. There the few other rows (a bounded list per bucket) are
+    compared with all rows, which stay spread over tasks.
+    """
+    flips = [f"flip{i}" for i in range(level + 1)]
+    flip, bucket = flips[-1], ["path", "bucket"]
+    classes = rows.groupBy(*bucket, flip).agg(F.count(F.lit(1)).alias("n"))
+    shape = classes.groupBy(*bucket).agg(
+        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by(flip, "n").alias("top")
+    )
+    lopsided = (F.col("top") != 0) & (F.col("size") - F.col("most") <= few)
+    told = checkpointed(
+        attach(rows, shape, bucket, ["print"], counts="size", hot_rows=hot_rows).select(
+            *rows.columns, "size", "top", lopsided.alias("lopsided")
+        )
+    )
+    flooded = told.where("lopsided").drop("lopsided")
+    others = flooded.where(F.col(flip) != F.col("top")).groupBy(*bucket, "size").agg(
+        F.collect_list(F.struct(F.col("print").alias("other"), *[F.col(f).alias(f"{f}_o") for f in flips])).alias("others")
+    )
+    met = attach(flooded.drop("size"), others, bucket, ["print"], counts="size", hot_rows=hot_rows).select(
+        "print", "top", *flips, F.inline("others")
+    )
+    # Two of the few meet twice, so only one order counts.
+    met = met.where((F.col("print") < F.col("other")) | ((F.col("print") > F.col("other")) & (F.col(flip) == F.col("top"))))
+    first = F.col("print") < F.col("other")
+    pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    pairs = met.select(
+        pick("print", "other", "a"), pick("other", "print", "b"),
+        *[pick(f, f"{f}_o", f"{f}_a") for f in flips], *[pick(f"{f}_o", f, f"{f}_b") for f in flips],
+    ).where((hamming(F.col("a"), F.col("b")) <= threshold) & _meets(flips))
+    return told.where("NOT lopsided").select(*rows.columns), pairs.select("a", "b")
+
+
 def print_counts(candidates: DataFrame) -> DataFrame:
     """Distinct prints with their number of files and lowest file id, worked out once."""
     return checkpointed(
@@ -164,6 +212,8 @@ def _search(
         rows = checkpointed(rows.where(refine).drop("size", "hub"))
         if rows.isEmpty():
             return found.distinct()
+        rows, pairs = _split_lopsided(rows, level, threshold, max(1, bucket_rows // FEW_SHARE), hot_rows)
+        found = found.unionByName(pairs)
         level += 1
 
 

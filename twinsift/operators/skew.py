@@ -112,5 +112,5 @@ def rank_within(
     first = indexed.groupBy(*keys).agg(
         F.min("__index").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
-    placed = attach(indexed, first, keys, spread_by, counts="__n")
+    placed = attach(indexed, first, keys, spread_by, counts="__n", total=indexed.count())
     return placed.select(*df.columns, (F.col("__index") - F.col("__first")).alias(name))

@@ -11,6 +11,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
