@@ -89,3 +89,14 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Current version of a table written by :func:`overwrite_snapshot`."""
     current = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "written_at")).first()[0]
     return spark.read.parquet(f"{path}/{current}")
+
+
+def vacuum_snapshot(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest versions; a reader of an older one must be done by then."""
+    pointers = spark.read.parquet(f"{path}/pointer").orderBy(F.desc("written_at")).limit(keep)
+    kept = {row.version for row in pointers.select("version").collect()}
+    fs, folder = _filesystem(spark, path)
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in kept:
+            fs.delete(entry.getPath(), True)
