@@ -37,31 +37,23 @@ def resolve_roots(requests: DataFrame, roots: DataFrame) -> DataFrame:
 
     A request without roots gets all enabled ones. The arrays hold at most one entry per root.
     """
-    enabled = roots.where(F.col("enabled") == 1).agg(
-        F.sort_array(F.collect_list("root_id")).alias("all_enabled")
-    )
+    all_enabled = roots.where(F.col("enabled") == 1).agg(F.sort_array(F.collect_list("root_id"))).scalar()
     asked = requests.select("request_id", F.explode(F.array_distinct("root_ids")).alias("root_id"))
     found = asked.join(roots.select("root_id", "enabled"), "root_id", "left").groupBy("request_id").agg(
         F.sort_array(F.collect_list("root_id")).alias("chosen"),
         F.count_if(F.col("enabled").isNull()).alias("unknown"),
         F.count_if(F.col("enabled") != 1).alias("disabled"),
     )
+    chosen = F.coalesce(F.col("chosen"), F.col("all_enabled"))
     error = (
         F.when(F.col("unknown") > 0, "one or more scan roots were not found")
         .when(F.col("disabled") > 0, "disabled scan root selected")
-        .when(F.size(F.coalesce("chosen", "all_enabled")) == 0, "no scan roots selected")
+        .when(F.size(chosen) == 0, "no scan roots selected")
     )
-    # The one-row list of enabled roots is attached under a constant key.
-    everyone = enabled.withColumn("one", F.lit(1))
     return (
-        requests.select("request_id", F.lit(1).alias("one"))
-        .join(F.broadcast(everyone), "one")
+        requests.select("request_id", all_enabled.alias("all_enabled"))
         .join(found, "request_id", "left")
-        .select(
-            "request_id",
-            F.when(error.isNull(), F.coalesce("chosen", "all_enabled")).alias("root_ids"),
-            error.alias("error"),
-        )
+        .select("request_id", F.when(error.isNull(), chosen).alias("root_ids"), error.alias("error"))
     )
 
 

@@ -76,15 +76,25 @@ def _children(paths: dict[int, list[int]], threshold: int) -> tuple[list[tuple],
 
 
 def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
-    """One row per print and bucket of the next level; the rule table is broadcast."""
-    table = rows.sparkSession.createDataFrame(
-        rules, f"path int, child int, mask long, flip long, flip{level} int"
-    )
+    """One row per print and bucket of the next level.
+
+    At the first level all rows follow the same rules, so these are a constant; later the small
+    rule table (fixed by the threshold, not by the data) is broadcast and joined on the path.
+    """
     kept = [f"flip{i}" for i in range(level + 1)]
+    if level == 0:
+        constant = F.array(
+            *[
+                F.struct(F.lit(c).alias("child"), F.lit(m).cast("long").alias("mask"), F.lit(f).cast("long").alias("flip"), F.lit(n).alias("flip0"))
+                for _, c, m, f, n in rules
+            ]
+        )
+        filed = rows.select("bucket", "print", F.inline(constant))
+    else:
+        schema = f"path int, child int, mask long, flip long, flip{level} int"
+        filed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(rules, schema)), "path")
     block = F.col("print").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
-    return rows.join(F.broadcast(table), "path").select(
-        F.col("child").alias("path"), F.col("bucket").bitwiseOR(block).alias("bucket"), "print", *kept
-    )
+    return filed.select(F.col("child").alias("path"), F.col("bucket").bitwiseOR(block).alias("bucket"), "print", *kept)
 
 
 def _sized(rows: DataFrame, level: int, total: int | None, hot_rows: int | None) -> DataFrame:
