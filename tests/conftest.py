@@ -12,8 +12,9 @@ from twinsift.session import builder  # noqa: E402
 def spark(tmp_path_factory):
     session = (
         builder("twinsift-tests")
-        .master("local[4]")
+        .master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")

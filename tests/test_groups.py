@@ -54,7 +54,7 @@ def clustered_prints(n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 2, 3, 4, 5, 7, 8, 12, 16])
+@pytest.mark.parametrize("threshold", [0, 1, 3, 5, 8, 16])
 def test_pairs_equal_comparing_all(spark, threshold):
     values = clustered_prints(130, threshold)
     df = spark.createDataFrame([(signed(v),) for v in values], "print long")
@@ -62,7 +62,7 @@ def test_pairs_equal_comparing_all(spark, threshold):
     assert rows(similar.similar_pairs(df, threshold), "print_a", "print_b") == want
 
 
-@pytest.mark.parametrize("threshold,bucket_rows", [(2, 5), (4, 8), (8, 10), (8, 40), (12, 30)])
+@pytest.mark.parametrize("threshold,bucket_rows", [(2, 5), (8, 10), (8, 40)])
 def test_refined_buckets_lose_nothing(spark, threshold, bucket_rows):
     values = clustered_prints(110, 100 + threshold)
     df = spark.createDataFrame([(signed(v),) for v in values], "print long")
@@ -72,7 +72,7 @@ def test_refined_buckets_lose_nothing(spark, threshold, bucket_rows):
     assert union_find(links) == union_find([(a, b) for a, b, _ in want])
 
 
-@pytest.mark.parametrize("bucket_rows", [40, 60])
+@pytest.mark.parametrize("bucket_rows", [40])
 def test_one_block_value_held_by_most_prints(spark, bucket_rows):
     """All prints share their low bits but a few, which differ there by one or two bits."""
     rng = random.Random(bucket_rows)
@@ -99,7 +99,7 @@ def test_negative_threshold_is_refused(spark):
         similar.similar_pairs(spark.createDataFrame([(1,)], "print long"), -1)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
     chain = list(range(200, 260))
