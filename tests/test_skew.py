@@ -61,3 +61,11 @@ def test_rank_within(spark):
     for key in {k for k, _ in data}:
         members = sorted(i for k, i in data if k == key)
         assert [got[key, i] for i in members] == list(range(len(members)))
+
+
+def test_keys_beyond_the_hot_list_are_joined_as_usual(spark, monkeypatch):
+    monkeypatch.setattr("twinsift.operators.skew.HOT_KEYS", 1)
+    _, df = skewed(spark)
+    per_key = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = attach(df, per_key, ["k"], ["id"], counts="n", hot_rows=2)
+    assert rows(got.select("k", "id", "n"), "id") == rows(df.join(per_key, "k").select("k", "id", "n"), "id")
