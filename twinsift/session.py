@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +26,34 @@ def builder(app_name: str = "twinsift") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach, taken from ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if spark.sparkContext.master.startswith("local["):
+        # One process, nothing to share: as when tests or a shell start a bare session.
+        return str(Path("spark-warehouse", "checkpoints").absolute())
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    Spark's file server hands the archive out, so no folder needs to be shared.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="twinsift-checkpoint-")
+    folder = Path(__file__).parent
+    if sc.applicationId in _shipped or not folder.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="twinsift-package-"), "twinsift.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(folder.rglob("*.py")):
+            out.write(file, file.relative_to(folder.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
