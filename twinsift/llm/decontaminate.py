@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.session import ship_package
+
 # Characters of item text that one pass over the documents searches.
 BLOCK_CHARS = 1 << 20
 _MATCHES = "doc_id long, item_id long, distance int, start int, end int"
@@ -124,6 +126,7 @@ def contaminated(
 
     ``distance`` is the least number of edits; ``start`` and ``end`` are positions in the plain text.
     """
+    ship_package(docs.sparkSession)
     schema = "item_id long, plain string"
 
     def plain_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

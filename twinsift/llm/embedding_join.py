@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from twinsift.operators.components import connected_components
 from twinsift.operators.skew import attach
-from twinsift.session import checkpointed
+from twinsift.session import checkpointed, ship_package
 
 BLOCKS = 4
 # Vectors of one cell and its neighbours that one side of a task compares.
@@ -147,6 +147,7 @@ def _compared(table: pa.Table, cosine: float) -> pa.Table:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, slice_rows: int = SLICE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row (vec_id, embedding, label)."""
+    ship_package(vectors.sparkSession)
     # Single-precision input moves as such; all sums are of doubles.
     number = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
     numbers = F.col("embedding").cast(f"array<{number}>")

@@ -10,8 +10,10 @@ from twinsift.llm.decontaminate import contaminated
 from twinsift.llm.embedding_join import near_duplicates
 from twinsift.llm.mixing import mix
 from twinsift.llm.ngram_join import similar_documents
+from twinsift.llm.quality_crf import score_quality
 from twinsift.llm.substring import remove_repeats
 from twinsift.llm.template_tree import drop_recurring_lines
+from twinsift.llm.toxicity import score_toxicity
 from twinsift.llm.url_filter import judge_urls
 from twinsift.llm.warc import read_archive, write_archive
 from twinsift.session import shared_dir
@@ -249,3 +251,15 @@ def op9_line_dedup(spark, sf_dir):
 @query()
 def op10_benchmark_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

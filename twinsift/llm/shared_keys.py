@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.session import ship_package
+
 # Bytes of text per chunk, and per bucket the keys of as many bytes.
 CHUNK_BYTES = 12 << 20
 # Chunks and buckets that even a small input gets, so that all cores have work.
@@ -31,6 +33,7 @@ def parts_of(docs: DataFrame, text: str = "text") -> int:
 
 def chunked(docs: DataFrame, parts: int) -> DataFrame:
     """(chunk, id, text): a null id counts as the largest number, a null text as empty."""
+    ship_package(docs.sparkSession)
     return docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts).cast("long")).cast("int").alias("chunk"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"),

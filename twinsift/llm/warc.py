@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.operators.skew import attach
+from twinsift.session import ship_package
 
 # Payload digests that occur twice, up to so many rows of about 60 bytes, are broadcast.
 BROADCAST_DIGESTS = 500_000
@@ -141,6 +142,7 @@ def write_archive(
 ) -> DataFrame:
     """Write pages (page_id, url, html) below ``folder``, which all executors reach and which is
     empty, and return the manifest (name, temporary, bytes, records)."""
+    ship_package(pages.sparkSession)
     files, path = _open_folder(folder)
     files.create_dir(f"{path}/_temporary", recursive=True)
     size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
@@ -224,6 +226,7 @@ def _parsed(record: bytes, with_payload: bool) -> dict:
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of all files in the manifest; digests and sizes of responses come from the
     payloads read, those of revisits from their headers. Every block is checked by its digest."""
+    ship_package(spark)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
