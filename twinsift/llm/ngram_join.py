@@ -31,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.shared_keys import (
+    COUNTS_SCHEMA,
     KEYS_SCHEMA,
     chunked,
+    counted_everywhere,
     filed,
     flags_of,
+    packed_counts,
     packed_keys,
     parts_of,
     seen_elsewhere,
+    totals_of,
 )
 from twinsift.llm.words import hashed_words, ngrams
 from twinsift.operators.components import connected_components
@@ -45,6 +49,9 @@ from twinsift.session import checkpointed
 
 _LAST_ID = (1 << 63) - 1
 _ROWS_SCHEMA = "id long, n int, node binary, grams array<long>"
+_RARE_SCHEMA = "node binary, n int, own int, grams array<long>"
+# The ids of classes to compare, up to so many of 16 bytes, are broadcast to pick their sets.
+BROADCAST_CLASSES = 1_000_000
 
 
 def _sets(table: pa.Table, n: int) -> list[np.ndarray]:
@@ -110,28 +117,62 @@ def ngram_sets(docs: DataFrame, threshold: Fraction, n: int = 5, parts: int | No
     )
 
 
-def _rarest(classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """(gram, node, n, place, own): of each class the shared n-grams among its rarest ones, as many
-    as any partner must share one of; ``place`` counts from the rarest, ``own`` are in no other."""
-    grams = classes.select("node", "n", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    reach = F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / F.lit(threshold.denominator)) + 1
-    ordered = (
-        grams.join(shared, "gram")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-        .withColumn("own", F.col("n") - F.size("grams"))
-        .withColumn("reach", (reach - F.col("own")).cast("int"))
-        .where("reach > 0")
+def _rarest(sets: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
+    """(gram, node, n, place, own): of each class the n-grams among its rarest ones that another may
+    have, so many that any partner must share one; ``place`` counts from the rarest, ``own`` is how
+    many no other class has.
+
+    N-grams are ordered by the number of classes that have them. Two that are filed alike count
+    together, which is the same order for all classes and so changes no result.
+    """
+    top, bottom = threshold.numerator, threshold.denominator
+    dealt = sets.select(F.pmod(F.xxhash64("node"), F.lit(parts).cast("long")).cast("int").alias("chunk"), "node", "grams")
+
+    def distinct_sets(table: pa.Table) -> dict[bytes, np.ndarray]:
+        grams = table["grams"].combine_chunks()
+        flat, at = grams.flatten().to_numpy().view(np.uint64), 0
+        out = {}
+        for node, size in zip(table["node"].to_pylist(), np.diff(grams.offsets.to_numpy())):
+            out.setdefault(node, flat[at : at + size])
+            at += size
+        return out
+
+    def held(table: pa.Table) -> pa.Table:
+        distinct, _, counts = _located(list(distinct_sets(table).values()), parts)
+        return packed_counts(table["chunk"][0].as_py(), distinct, counts)
+
+    def rare(table: pa.Table, answer: pa.Table) -> pa.Table:
+        classes = distinct_sets(table)
+        distinct, which, _ = _located(list(classes.values()), parts)
+        frequency = totals_of(distinct, answer)[which]
+        rows, at = [], 0
+        for node, grams in classes.items():
+            n = len(grams)
+            df = frequency[at : at + n]
+            at += n
+            own = int(np.sum(df == 1))
+            reach = n - -(-n * top // bottom) + 1
+            if own < reach:
+                chosen = np.lexsort((grams, df))[own:reach]
+                rows.append({"node": node, "n": n, "own": own, "grams": grams[chosen].view(np.int64)})
+        kinds = [("node", pa.binary()), ("n", pa.int32()), ("own", pa.int32()), ("grams", pa.list_(pa.int64()))]
+        return pa.Table.from_pylist(rows, pa.schema(kinds))
+
+    totals = counted_everywhere(dealt.groupBy("chunk").applyInArrow(held, COUNTS_SCHEMA))
+    return (
+        dealt.groupBy("chunk")
+        .cogroup(totals.groupBy("chunk"))
+        .applyInArrow(rare, _RARE_SCHEMA)
+        .select("node", "n", "own", F.posexplode("grams").alias("place", "gram"))
+        .withColumn("place", F.col("place") + F.col("own"))
     )
-    return ordered.select(
-        "node", "n", "own", F.posexplode(F.slice("grams", 1, F.col("reach"))).alias("place", "entry")
-    ).select(F.col("entry.gram").alias("gram"), "node", "n", (F.col("place") + F.col("own")).alias("place"), "own")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Those pairs (a, b) whose sets reach the threshold."""
-    sets = classes.select("node", "grams")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    small = wanted.count() <= BROADCAST_CLASSES
+    sets = sets.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - common
@@ -147,24 +188,25 @@ def _possible(threshold: Fraction):
     return rest + earlier >= t * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
 
 
-def links(classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links (a, b) between classes (node, n, grams) that connect all that similarity connects.
+def links(sets: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
+    """Links (a, b) between classes (node, grams) that connect all that similarity connects. Rows of
+    one class may repeat.
 
     Every link reaches the threshold. Two classes that do but are left out are connected by others.
     """
-    entries = checkpointed(_rarest(classes, threshold))
+    entries = checkpointed(_rarest(sets, threshold, parts))
     typical = entries.groupBy("gram").agg(
-        F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "place")).alias("y")
+        F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "place", "own")).alias("y")
     )
     x = entries.alias("x")
-    near = (
+    near = checkpointed(
         x.join(typical.select("gram", "y.*").alias("y"), "gram")
         .where(F.col("x.node") != F.col("y.node"))
         .where(_possible(threshold))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
-    first = checkpointed(_linked(near, classes, threshold))
+    first = checkpointed(_linked(near, sets, threshold))
     groups = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labelled = checkpointed(
         entries.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn(
@@ -179,8 +221,8 @@ def links(classes: DataFrame, threshold: Fraction) -> DataFrame:
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
-    rest = apart.join(near, ["a", "b"], "left_anti")
-    return first.unionByName(_linked(rest, classes, threshold))
+    rest = checkpointed(apart.join(near, ["a", "b"], "left_anti"))
+    return first.unionByName(_linked(rest, sets, threshold))
 
 
 def similar_documents(
@@ -188,13 +230,10 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; component_id is the smallest doc_id that
     links between documents reach, its own included."""
+    parts = parts or parts_of(docs)
     rows = checkpointed(ngram_sets(docs, threshold, n, parts))
-    classes = checkpointed(
-        rows.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("n").alias("n"), F.min("id").alias("least"), F.first("grams", True).alias("grams"))
-    )
-    found = checkpointed(links(classes.where("grams is not null"), threshold))
+    classes = checkpointed(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least")))
+    found = checkpointed(links(rows.where("grams is not null").select("node", "grams"), threshold, parts))
     groups = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = (
         classes.select("node", "least")

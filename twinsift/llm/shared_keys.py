@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 from twinsift.session import ship_package
 
-# Bytes of text per chunk, and per bucket the keys of as many bytes.
+# Bytes of text per chunk.
 CHUNK_BYTES = 12 << 20
-# Chunks and buckets that even a small input gets, so that all cores have work.
+# Chunks that even a small input gets, so that all cores have work.
 LEAST_PARTS = 64
+# Buckets of keys per chunk of text.
+BUCKETS = 4
+_BITS = np.uint64(24)
+_LOW = np.uint64((1 << 24) - 1)
 
 KEYS_SCHEMA = "bucket int, chunk int, keys binary"
+COUNTS_SCHEMA = "bucket int, chunk int, keys binary, counts binary"
 FLAGS_SCHEMA = "bucket int, chunk int, flags binary"
 _LAST_ID = (1 << 63) - 1
 
@@ -42,29 +47,57 @@ def chunked(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def filed(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bucket and 32 bits of each key in one number. Two keys of one bucket agree by chance once
-    in 2**32; callers use the answer only to leave out keys that occur nowhere else."""
-    bucket = (keys >> np.uint64(32)) % np.uint64(parts)
-    return (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+    """Bucket and 24 bits of each key in one number. A bucket has about half a million keys, so some
+    3 in 100 agree with another by chance; callers use the answer only to leave out keys that
+    certainly occur nowhere else, or to order keys."""
+    bucket = (keys >> np.uint64(32)) % np.uint64(parts * BUCKETS)
+    return (bucket << _BITS) | (keys & _LOW)
+
+
+def _squeezed(low: np.ndarray) -> bytes:
+    """Sorted distinct numbers as their differences of two bytes, if they are that close."""
+    gaps = np.diff(low, prepend=np.uint32(0))
+    if gaps.max() < 1 << 16:
+        return b"\1" + gaps.astype(np.uint16).tobytes()
+    return b"\0" + low.tobytes()
+
+
+def _spread(data: bytes) -> np.ndarray:
+    if data[:1] == b"\1":
+        return np.cumsum(np.frombuffer(data, np.uint16, offset=1), dtype=np.uint32)
+    return np.frombuffer(data[1:], np.uint32)
+
+
+def _cells(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted distinct filed keys, and where each begins (and the end)."""
+    buckets = (distinct >> _BITS).astype(np.int64)
+    heads = np.flatnonzero(np.diff(buckets, prepend=-1))
+    return buckets[heads], np.append(heads, len(distinct))
 
 
 def packed_keys(chunk: int, distinct: np.ndarray) -> pa.Table:
     """Rows of KEYS_SCHEMA for sorted distinct filed keys."""
-    buckets = (distinct >> np.uint64(32)).astype(np.int64)
-    heads = np.flatnonzero(np.diff(buckets, prepend=-1))
-    cuts = np.append(heads, len(distinct))
-    low = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    buckets, cuts = _cells(distinct)
+    low = (distinct & _LOW).astype(np.uint32)
     return pa.table(
         {
-            "bucket": pa.array(buckets[heads], pa.int32()),
-            "chunk": pa.array(np.full(len(heads), chunk), pa.int32()),
-            "keys": pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+            "bucket": pa.array(buckets, pa.int32()),
+            "chunk": pa.array(np.full(len(buckets), chunk), pa.int32()),
+            "keys": pa.array([_squeezed(low[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
         }
     )
 
 
+def packed_counts(chunk: int, distinct: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Rows of COUNTS_SCHEMA: the keys, and how often the chunk has each."""
+    _, cuts = _cells(distinct)
+    counts = counts.astype(np.uint32)
+    packed = pa.array([counts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+    return packed_keys(chunk, distinct).append_column("counts", packed)
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    rows = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+    rows = [_spread(x) for x in table["keys"].to_pylist()]
     every = np.sort(np.concatenate(rows))
     again = np.unique(every[1:][every[1:] == every[:-1]])
     flags = []
@@ -77,16 +110,45 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "flags": pa.array(flags, pa.binary())})
 
 
+def _totals(table: pa.Table) -> pa.Table:
+    rows = [_spread(x) for x in table["keys"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+    known, which = np.unique(np.concatenate(rows), return_inverse=True)
+    total = np.minimum(np.bincount(which, counts), (1 << 32) - 1).astype(np.uint32)
+    flags = [total[np.searchsorted(known, row)].tobytes() for row in rows]
+    return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "flags": pa.array(flags, pa.binary())})
+
+
 def seen_elsewhere(keys: DataFrame) -> DataFrame:
     """For rows of KEYS_SCHEMA, a bit per key: does another chunk have it too?"""
     return keys.groupBy("bucket").applyInArrow(_answer, FLAGS_SCHEMA)
 
 
-def flags_of(distinct: np.ndarray, answer: pa.Table) -> np.ndarray:
-    """The answer's bits in the order of the chunk's sorted distinct filed keys."""
-    flags = np.zeros(len(distinct), dtype=bool)
-    buckets = distinct >> np.uint64(32)
-    for bucket, bits in zip(answer["bucket"].to_pylist(), answer["flags"].to_pylist()):
+def counted_everywhere(keys: DataFrame) -> DataFrame:
+    """For rows of COUNTS_SCHEMA, the total of each key over all chunks."""
+    return keys.groupBy("bucket").applyInArrow(_totals, FLAGS_SCHEMA)
+
+
+def _per_key(distinct: np.ndarray, answer: pa.Table, values: np.ndarray, read) -> np.ndarray:
+    buckets = distinct >> _BITS
+    for bucket, data in zip(answer["bucket"].to_pylist(), answer["flags"].to_pylist()):
         a, b = np.searchsorted(buckets, np.array([bucket, bucket + 1], dtype=np.uint64))
-        flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    return flags
+        values[a:b] = read(data, b - a)
+    return values
+
+
+def flags_of(distinct: np.ndarray, answer: pa.Table) -> np.ndarray:
+    """The bits of ``seen_elsewhere`` in the order of the chunk's sorted distinct filed keys."""
+    return _per_key(
+        distinct,
+        answer,
+        np.zeros(len(distinct), dtype=bool),
+        lambda data, n: np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool),
+    )
+
+
+def totals_of(distinct: np.ndarray, answer: pa.Table) -> np.ndarray:
+    """The numbers of ``counted_everywhere`` in the same order."""
+    return _per_key(
+        distinct, answer, np.zeros(len(distinct), dtype=np.int64), lambda data, n: np.frombuffer(data, np.uint32)
+    )
