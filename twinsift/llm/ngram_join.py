@@ -180,12 +180,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame
 
 
 def _possible(threshold: Fraction):
-    """Bound on the pairs x, y that meet on an n-gram: with all that follows it in both orders in
-    common, would they reach the least overlap?"""
+    """Bound on the pairs x, y that meet on an n-gram: with all in common that follows it in both
+    orders, would they reach the least overlap? A pair that links does so at least where it meets
+    first, since nothing before that is common."""
     t = F.lit(threshold.numerator) / F.lit(threshold.numerator + threshold.denominator)
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    earlier = F.least("x.place", "y.place")
-    return rest + earlier >= t * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
+    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return after >= t * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
 
 
 def links(sets: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
