@@ -43,7 +43,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(key, body, at, line): the trimmed, masked lines that are not empty."""
     return (
         docs.select(_key(), F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-        .select("key", "body", "at", F.trim(F.translate("raw", "\t\r", "  ")).alias("line"))
+        .select("key", "body", "at", F.trim("raw", F.lit(" \t\r")).alias("line"))
         .where("line <> ''")
         .withColumn("line", _masked(F.col("line")))
     )
@@ -61,7 +61,8 @@ def _general(docs: DataFrame, leaves: DataFrame, depth: int, constant: float, si
     _, _, leaf = _places(depth)
     small = leaves.count() <= BROADCAST_LEAVES
     inside = _lines(docs).withColumn("leaf", leaf).join(F.broadcast(leaves) if small else leaves, "leaf")
-    inside = inside.select("key", "body", "at", "leaf", F.split("line", " ").alias("words"))
+    # Few lines are in such leaves; kept, they are read four times without scanning the texts again.
+    inside = checkpointed(inside.select("key", "body", "at", "leaf", F.split("line", " ").alias("words")))
     values = inside.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").count()
     fixed = (
         values.groupBy("leaf", "place")
