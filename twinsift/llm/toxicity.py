@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.labelled import sampled, sigmoid, steps
-from twinsift.llm.words import mixed, span_hashes, text_buffer, word_spans
+from twinsift.llm.words import mixed, ngrams, span_hashes, text_buffer, word_spans
 
 FIT_TOXIC = 3000
 FIT_OTHER = 9000
@@ -147,6 +147,11 @@ class _Tokens:
             self.beginnings.append(mixed(part + np.uint64(size)))
         self.long = [ends - starts >= size for size in _BEGINNINGS]
 
+    def signature(self, a: int, b: int) -> int:
+        """A number that near copies are likely to share: minimum hashes of the word 5-grams."""
+        grams = ngrams(self.words[a:b], max(1, min(5, b - a)))
+        return hash(tuple(int(mixed(grams ^ np.uint64(k)).min()) for k in range(_MINIMA))) if b > a else 0
+
     def features(self) -> list[np.ndarray]:
         """The distinct terminals that each text could hold."""
         out = []
@@ -258,10 +263,9 @@ def _learned_lexicon(sample: DataFrame) -> Lexicon:
 
     def terminals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = _Tokens(batch["text"]).features()
-            minima = [
-                hash(tuple(int(mixed(f ^ np.uint64(k)).min()) for k in range(_MINIMA))) if len(f) else 0 for f in found
-            ]
+            tokens = _Tokens(batch["text"])
+            found = tokens.features()
+            minima = [tokens.signature(a, b) for a, b in zip(tokens.index[:-1], tokens.index[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch["label"], pa.array(minima, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
                 names=["label", "minima", "terminals"],
