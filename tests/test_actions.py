@@ -132,11 +132,11 @@ def test_move_outcomes(spark):
         (1, "done", "/nas/.trash/nas/a.1", None),
         (2, "failed", "/nas/.trash/nas/gone", "source file not found: /nas/gone"),
         (3, "failed", "/nas/.trash/nas/dir", "source path is not a file: /nas/dir"),
-        (4, "failed", "/nas/.trashy/b", "target path must be inside NAS_TRASH_DIR: /nas/.trashy/b"),
+        (4, "failed", "/nas/.trashy/b", "target path is not below the trash folder: /nas/.trashy/b"),
         (5, "done", "/nas/.trash/nas/c", None),
     ]
     off = outcomes.evaluate_delete(plan, manifest)
-    assert off.select("error_message").distinct().collect()[0][0] == "hard delete is disabled (HARD_DELETE_ENABLED=false)"
+    assert off.select("error_message").distinct().collect()[0][0] == "permanent deletion is off (hard_delete=False)"
     on = outcomes.evaluate_delete(plan, manifest, hard_delete=True)
     assert rows(on.select("item_id", "status"), "item_id") == [(1, "done"), (2, "failed"), (3, "failed"), (4, "done"), (5, "done")]
 
@@ -197,7 +197,7 @@ def test_confirm_rules(spark):
     got = rows(outcomes.confirmable(batches, filled), "batch_id")
     assert got == [
         ("a", True, None), ("b", False, "only draft batch can be confirmed"), ("c", False, "batch has no action items"),
-        ("d", False, "hard delete is disabled (HARD_DELETE_ENABLED=false)"),
+        ("d", False, "permanent deletion is off (hard_delete=False)"),
     ]
     assert rows(outcomes.confirmable(batches, filled, hard_delete=True), "batch_id")[3] == ("d", True, None)
 

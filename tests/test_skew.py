@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
-from twinsift.operators.skew import attach, global_index, rank_within
+from twinsift.operators.skew import attach, global_index, hot_keys, rank_within
 
 
 def skewed(spark, n=600):
@@ -63,9 +63,18 @@ def test_rank_within(spark):
         assert [got[key, i] for i in members] == list(range(len(members)))
 
 
-def test_keys_beyond_the_hot_list_are_joined_as_usual(spark, monkeypatch):
-    monkeypatch.setattr("twinsift.operators.skew.HOT_KEYS", 1)
-    _, df = skewed(spark)
-    per_key = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = attach(df, per_key, ["k"], ["id"], counts="n", hot_rows=2)
-    assert rows(got.select("k", "id", "n"), "id") == rows(df.join(per_key, "k").select("k", "id", "n"), "id")
+def test_every_key_above_the_limit_is_split(spark):
+    df = spark.range(2500 * 4).select((F.col("id") % 2500).alias("k"), "id")
+    sized = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(sized, ["k"], "n", 2)
+    assert hot.count() == 2500
+    assert hot.where("__slices <> 2").count() == 0
+    got = attach(df, sized, ["k"], ["id"], counts="n", hot_rows=2)
+    assert rows(got.select("k", "id", "n"), "id") == rows(df.join(sized, "k").select("k", "id", "n"), "id")
+
+
+def test_the_list_of_hot_keys_is_bounded_by_the_limit_it_implies(spark, monkeypatch):
+    monkeypatch.setattr("twinsift.operators.skew.MOST_HOT_KEYS", 3)
+    data, df = skewed(spark)
+    sized = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [r.k for r in hot_keys(sized, ["k"], "n", 2).collect()] == ["hot"]

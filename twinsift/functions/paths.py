@@ -68,7 +68,7 @@ def normalized(path: Column) -> Column:
     return F.when(joined == "", ".").otherwise(joined)
 
 
-def _strip(text: Column) -> Column:
+def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
@@ -79,17 +79,17 @@ def is_under(path: Column, folder: str) -> Column:
 
 def canonical_root(path: Column) -> Column:
     """Normalized root path, null unless it is absolute and below the mount point."""
-    clean = normalized(_strip(path))
+    clean = normalized(stripped(path))
     single = F.regexp_replace(clean, "^//", "/")
-    return F.when((_strip(path) != "") & is_under(single, MOUNT_ROOT), clean)
+    return F.when((stripped(path) != "") & is_under(single, MOUNT_ROOT), clean)
 
 
 def root_error(path: Column) -> Column:
     """Why :func:`canonical_root` rejects a path, null when it accepts it."""
-    clean = normalized(_strip(path))
+    clean = normalized(stripped(path))
     single = F.regexp_replace(clean, "^//", "/")
     return (
-        F.when(_strip(path) == "", "path must not be empty")
+        F.when(stripped(path) == "", "path must not be empty")
         .when(~clean.startswith("/"), "path must be absolute")
         .when(~is_under(single, MOUNT_ROOT), f"path must be under '{MOUNT_ROOT}'")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinsift.functions.paths import stripped
 from twinsift.schemas import ACTION_TYPES
 
 # Units of 1024 steps and the UUID namespace for URLs (RFC 4122).
@@ -27,8 +28,13 @@ def format_bytes(size: Column) -> Column:
 
 def parse_ts(text: Column) -> Column:
     """ISO text with ``Z`` or offset, or without (then UTC); null when it is neither."""
-    clean = F.regexp_replace(F.trim(text), "Z", "+00:00")
-    return F.when(clean.rlike(_TIMESTAMP), F.try_to_timestamp(clean))
+    clean = F.regexp_replace(stripped(text), "Z", "+00:00")
+    zoned = (
+        F.when(clean.rlike(r"[+-]\d{2}:\d{2}$"), clean)
+        .when(F.length(clean) == 10, F.concat(clean, F.lit("T00:00:00+00:00")))
+        .otherwise(F.concat(clean, F.lit("+00:00")))
+    )
+    return F.when(clean.rlike(_TIMESTAMP), F.try_to_timestamp(zoned))
 
 
 def is_stale(reference: Column, now: Column, timeout_seconds: int) -> Column:
@@ -39,7 +45,7 @@ def is_stale(reference: Column, now: Column, timeout_seconds: int) -> Column:
 
 def normalize_action(action: Column) -> Column:
     """Trimmed lower-case action type, null when it is not allowed."""
-    clean = F.lower(F.trim(action))
+    clean = F.lower(stripped(action))
     return F.when(clean.isin(ACTION_TYPES), clean)
 
 

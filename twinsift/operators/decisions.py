@@ -64,13 +64,15 @@ def upsert_decisions(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_keep(items: DataFrame, decisions: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """The newest ``keep`` of a group becomes its only primary; other decisions move nothing.
+    """The newest ``keep`` of a group's member becomes its only primary; other decisions, and keeps
+    of files that are not in the group, move nothing.
 
     ``items`` are unified items; ``decisions`` is the full history, not only the last write
     per member, because an older keep of another member still moved the primary.
     """
+    keeps = decisions.where(F.col("decision") == "keep").select(*GROUP, "file_id", "seq")
     chosen = (
-        decisions.where(F.col("decision") == "keep")
+        keeps.join(items.select(*GROUP, "file_id").distinct(), [*GROUP, "file_id"], "left_semi")
         .groupBy(*GROUP)
         .agg(F.max_by("file_id", "seq").alias("kept_id"))
     )

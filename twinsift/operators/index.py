@@ -165,6 +165,8 @@ def upsert_hashes(file_hashes: DataFrame, new: DataFrame, seq: str | None = None
     key = ["file_id", "hash_type"]
     if seq:
         new = new.groupBy(*key).agg(F.max_by("hash_hex", seq).alias("hash_hex"))
+    # Used twice: pinned, so that a reader behind it opens each file once.
+    new = checkpointed(new.select(*key, "hash_hex"))
     kept = file_hashes.join(new.select(*key), key, "left_anti")
     return kept.select(*key, "hash_hex").unionByName(new.select(*key, "hash_hex"))
 

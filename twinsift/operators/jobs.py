@@ -148,12 +148,15 @@ def update_status(
     )
 
 
-def submit_requests(requests: DataFrame, jobs: DataFrame, job_roots: DataFrame) -> DataFrame:
+def submit_requests(requests: DataFrame, jobs: DataFrame, job_roots: DataFrame, submission: str = "") -> DataFrame:
     """Outcome of job requests (seq, request_key, mode, root_ids sorted): new, existing, conflict.
 
-    The first request with a key owns the job id; later ones must ask for the same.
+    The first request with a key owns the job id; later ones must ask for the same. A request with
+    a null or empty key is one of its own: its id comes from ``submission`` and its seq, so that a
+    retry of the same submission repeats it.
     """
-    asked = requests.withColumn("job_id", idempotent_job_id(F.col("request_key")))
+    own = F.concat(F.lit(f"\0{submission}\0"), F.col("seq").cast("string"))
+    asked = requests.withColumn("job_id", idempotent_job_id(F.coalesce(F.nullif("request_key", F.lit("")), own)))
     stored = jobs.select("job_id", F.col("mode").alias("old_mode")).join(
         job_roots.groupBy("job_id").agg(F.sort_array(F.collect_list("root_id")).alias("old_roots")), "job_id", "left"
     )

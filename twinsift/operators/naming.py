@@ -27,7 +27,7 @@ def _numbered_family(path: Column) -> Column:
     return F.array_compact(F.array(own, inner, last))
 
 
-def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def next_available_path(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Plan (item_id, target_path, ...) with targets that are free when moved in item order.
 
     A taken target becomes ``stem.N.suffix`` with the first free N. The r-th item that wants a
@@ -61,7 +61,7 @@ def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int =
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("path", P.numbered_path(F.col("base"), F.col("n")))
     )
-    for _ in range(max_rounds):
+    while True:  # numbers only ever rise, and each base has only so many rivals
         shared = (
             placed.groupBy("path")
             .agg(F.min("item_id").alias("keeper"), F.count(F.lit(1)).alias("claims"))
@@ -83,4 +83,3 @@ def next_available_path(plan: DataFrame, existing: DataFrame, max_rounds: int =
             .withColumn("n", F.col("n") + F.coalesce("lost", F.lit(0)))
             .select("item_id", "base", "n", P.numbered_path(F.col("base"), F.col("n")).alias("path"))
         )
-    raise RuntimeError(f"targets not settled after {max_rounds} rounds")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from twinsift.functions import paths as P
 from twinsift.operators.naming import next_available_path
+from twinsift.operators.skew import attach
+from twinsift.session import checkpointed
 
 _ROLLBACK_STATUSES = ["executed", "partially_failed"]
 
@@ -28,37 +30,48 @@ def _judged(checked: DataFrame, columns: list[str], error: Column) -> DataFrame:
     )
 
 
+def _pending(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items still to be carried out, and those already decided, which stay as they are."""
+    waits = F.coalesce(F.col("status"), F.lit("pending")) == "pending"
+    return plan.where(waits), plan.where(~waits)
+
+
 def evaluate_move(plan: DataFrame, manifest: DataFrame, trash_dir: str) -> DataFrame:
-    """Moves to the trash: done with the final target, or failed with the reason."""
+    """Moves of pending items to the trash: done with the final target, or failed with the reason."""
+    plan, decided = _pending(plan)
     target = F.coalesce("target_path", P.trash_path(F.col("source_path"), trash_dir))
     error = (
         F.when(F.col("source_is_file").isNull(), F.concat(F.lit("source file not found: "), "source_path"))
         .when(~F.col("source_is_file"), F.concat(F.lit("source path is not a file: "), "source_path"))
         .when(
             ~P.inside_trash(target, trash_dir),
-            F.concat(F.lit("target path must be inside NAS_TRASH_DIR: "), target),
+            F.concat(F.lit("target path is not below the trash folder: "), target),
         )
     )
     judged = _judged(_with_source(plan, manifest).withColumn("target_path", target), plan.columns, error)
     moved = next_available_path(judged.where("status = 'done'"), manifest.select("path"))
-    return moved.unionByName(judged.where("status = 'failed'"))
+    return moved.unionByName(judged.where("status = 'failed'")).unionByName(decided)
 
 
 def evaluate_delete(plan: DataFrame, manifest: DataFrame, hard_delete: bool = False) -> DataFrame:
-    """Permanent deletes; all fail unless hard delete is enabled."""
+    """Permanent deletes of pending items; all fail unless hard delete is enabled."""
+    plan, decided = _pending(plan)
     if not hard_delete:
-        return _judged(plan, plan.columns, F.lit("hard delete is disabled (HARD_DELETE_ENABLED=false)"))
+        refused = _judged(plan, plan.columns, F.lit("permanent deletion is off (hard_delete=False)"))
+        return refused.unionByName(decided)
     error = F.when(
         F.col("source_is_file").isNull(), F.concat(F.lit("source file not found: "), "source_path")
     ).when(~F.col("source_is_file"), F.concat(F.lit("source path is not a file: "), "source_path"))
-    return _judged(_with_source(plan, manifest), plan.columns, error)
+    return _judged(_with_source(plan, manifest), plan.columns, error).unionByName(decided)
 
 
 def evaluate_restore(plan: DataFrame, manifest: DataFrame, movements: DataFrame) -> DataFrame:
-    """Restores: the trash copy must exist, its old place be free and the movement open.
+    """Restores of pending items: the trash copy must exist, its old place be free and the movement
+    open. Of several good items with one target the first (smallest item_id) is restored.
 
     ``source_batch_id`` names the batch whose movement a done item closes.
     """
+    plan, decided = _pending(plan)
     occupied = manifest.select(F.col("path").alias("target_path"), F.lit(True).alias("target_exists"))
     matched = match_movement(plan, movements).select(
         "file_id", "source_path", "target_path", F.col("batch_id").alias("source_batch_id")
@@ -81,7 +94,19 @@ def evaluate_restore(plan: DataFrame, manifest: DataFrame, movements: DataFrame)
             ),
         )
     )
-    return _judged(checked, [*plan.columns, "source_batch_id"], error)
+    checked = checkpointed(checked.withColumn("__error", error))
+    winners = (
+        checked.where("__error IS NULL")
+        .groupBy("target_path")
+        .agg(F.min("item_id").alias("__winner"), F.count(F.lit(1)).alias("__rivals"))
+    )
+    arbitrated = attach(checked, winners, ["target_path"], ["item_id"], how="left", counts="__rivals")
+    error = F.when(
+        F.col("__error").isNull() & (F.col("item_id") != F.col("__winner")),
+        F.concat(F.lit("restore target already exists: "), "target_path"),
+    ).otherwise(F.col("__error"))
+    judged = _judged(arbitrated, [*plan.columns, "source_batch_id"], error)
+    return judged.unionByName(decided.withColumn("source_batch_id", F.lit(None).cast("string")))
 
 
 def batch_status(items: DataFrame) -> DataFrame:
@@ -199,7 +224,7 @@ def rolled_back(batches: DataFrame, movements: DataFrame, touched: DataFrame | N
     """
     touched = movements if touched is None else touched
     done = touched.select("batch_id").distinct().join(
-        movements.where("restored_at IS NULL").select("batch_id"), "batch_id", "left_anti"
+        movements.where("restored_at IS NULL").select("batch_id").distinct(), "batch_id", "left_anti"
     )
     marked = batches.join(done.withColumn("closed", F.lit(True)), "batch_id", "left")
     status = F.when(
@@ -216,7 +241,7 @@ def confirmable(batches: DataFrame, items: DataFrame, hard_delete: bool = False)
         .when(F.col("filled").isNull(), "batch has no action items")
         .when(
             (F.col("action_type") == "delete_permanent") & F.lit(not hard_delete),
-            "hard delete is disabled (HARD_DELETE_ENABLED=false)",
+            "permanent deletion is off (hard_delete=False)",
         )
     )
     return batches.join(filled, "batch_id", "left").select(

@@ -11,28 +11,27 @@ from twinsift.session import checkpointed
 
 # A key with at least this many rows is split into slices of about this size.
 HOT_ROWS = 2_000_000
-# Only the largest keys are ever split, so the broadcast list of hot keys has at most this many
-# rows; any key beyond it holds less than 1/HOT_KEYS of the input.
-HOT_KEYS = 1_000
+# A key also counts as hot only if it holds more than one in so many of all rows. So there are
+# never more hot keys than this, and their list is small enough to broadcast at any scale.
+MOST_HOT_KEYS = 100_000
 
 _SALT = "__salt"
 _SLICES = "__slices"
 _COUNT = "__rows"
 
 
-def hot_keys(sized: DataFrame, keys: Sequence[str], count: str, limit: int) -> DataFrame | None:
-    """Keys with at least ``limit`` rows and into how many slices to cut them; None if none.
+def hot_keys(sized: DataFrame, keys: Sequence[str], count: str, hot_rows: int) -> DataFrame | None:
+    """All keys with too many rows and into how many slices to cut them; None if there are none.
 
-    At most HOT_KEYS rows pass through the driver.
+    Too many is ``hot_rows``, or the MOST_HOT_KEYS-th part of all rows if that is more.
     """
-    found = (
-        sized.where(F.col(count) >= limit)
-        .orderBy(F.desc(count), *keys)
-        .select(*keys, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias(_SLICES))
-        .limit(HOT_KEYS)
+    total = sized.agg(F.sum(count)).first()[0] or 0
+    limit = max(hot_rows, -(-total // MOST_HOT_KEYS))
+    found = sized.where(F.col(count) >= limit).select(
+        *keys, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias(_SLICES)
     )
-    rows = found.collect()
-    return sized.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    found = checkpointed(found)
+    return None if found.isEmpty() else found
 
 
 def attach(

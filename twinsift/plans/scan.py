@@ -78,7 +78,8 @@ def scan(
         due = checkpointed(_due_by_size(refreshed, file_hashes))
     due = due.where("changed")
     kept = file_hashes.join(refreshed.where("changed").select("file_id"), "file_id", "left_anti")
-    hashes = checkpointed(index.upsert_hashes(kept, read_prints(due)))
+    # The kept hashes are those of other files, so the prints are read once and only added.
+    hashes = checkpointed(kept.unionByName(read_prints(due)))
     changes = refreshed.where(F.col("last_seen_job_id") == job_id).select("changed")
     totals = index.scan_metrics(listing, changes)
 

@@ -5,59 +5,49 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _table(long="", string="", integer="", double="", timestamp="", order=""):
-    kinds = {}
-    for names, kind in (
-        (long, T.LongType()),
-        (string, T.StringType()),
-        (integer, T.IntegerType()),
-        (double, T.DoubleType()),
-        (timestamp, T.TimestampType()),
-    ):
-        kinds.update({name: kind for name in names.split()})
-    return T.StructType([T.StructField(name, kinds[name]) for name in order.split()])
-
-
-SCAN_ROOTS = _table(
-    order="root_id path enabled", long="root_id", string="path", integer="enabled"
-)
+_KINDS = {
+    "long": T.LongType(),
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """The schema that a DDL string names; unlike Spark's own parser it needs no session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
+# Tables and columns of the data model.
+SCAN_ROOTS = _table("root_id long, path string, enabled int")
 
 SCAN_JOBS = _table(
-    order="job_id mode status requested_at started_at finished_at error_message files_seen "
-    "files_indexed exact_groups_found similar_groups_found reclaimable_bytes",
-    string="job_id mode status error_message",
-    timestamp="requested_at started_at finished_at",
-    long="files_seen files_indexed exact_groups_found similar_groups_found reclaimable_bytes",
+    "job_id string, mode string, status string, requested_at timestamp, started_at timestamp, "
+    "finished_at timestamp, error_message string, files_seen long, files_indexed long, "
+    "exact_groups_found long, similar_groups_found long, reclaimable_bytes long"
 )
 
-SCAN_JOB_ROOTS = _table(order="job_id root_id", string="job_id", long="root_id")
+SCAN_JOB_ROOTS = _table("job_id string, root_id long")
 
 LISTING = _table(
-    order="root_id rel_path abs_path file_name size_bytes mtime_epoch_ns ctime_epoch_ns inode dev",
-    long="root_id size_bytes mtime_epoch_ns ctime_epoch_ns inode dev",
-    string="rel_path abs_path file_name",
+    "root_id long, rel_path string, abs_path string, file_name string, size_bytes long, "
+    "mtime_epoch_ns long, ctime_epoch_ns long, inode long, dev long"
 )
 
 FILES = _table(
-    order="file_id root_id rel_path abs_path file_name extension mime_type size_bytes "
-    "mtime_epoch_ns ctime_epoch_ns inode dev width height exif_datetime_original exif_make "
-    "exif_model first_seen_job_id last_seen_job_id is_present updated_at",
-    long="file_id root_id size_bytes mtime_epoch_ns ctime_epoch_ns inode dev",
-    integer="width height is_present",
-    string="rel_path abs_path file_name extension mime_type exif_datetime_original exif_make "
-    "exif_model first_seen_job_id last_seen_job_id",
-    timestamp="updated_at",
+    "file_id long, root_id long, rel_path string, abs_path string, file_name string, "
+    "extension string, mime_type string, size_bytes long, mtime_epoch_ns long, ctime_epoch_ns long, "
+    "inode long, dev long, width int, height int, exif_datetime_original string, exif_make string, "
+    "exif_model string, first_seen_job_id string, last_seen_job_id string, is_present int, "
+    "updated_at timestamp"
 )
 
-FILE_HASHES = _table(
-    order="file_id hash_type hash_hex", long="file_id", string="hash_type hash_hex"
-)
+FILE_HASHES = _table("file_id long, hash_type string, hash_hex string")
 
 FILE_MOVEMENTS = _table(
-    order="movement_id file_id batch_id from_path to_path moved_at restored_at",
-    long="movement_id file_id",
-    string="batch_id from_path to_path",
-    timestamp="moved_at restored_at",
+    "movement_id long, file_id long, batch_id string, from_path string, to_path string, "
+    "moved_at timestamp, restored_at timestamp"
 )
 
 # Stored names and enumerations of the data model.

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from twinsift.functions import paths as P
 from twinsift.functions.fingerprints import dhash64, phash64
 from twinsift.schemas import CONTENT_HASH, DHASH, PHASH
-from twinsift.session import checkpointed
+from twinsift.session import checkpointed, ship_package
 
 _ENTRY = T.StructType(
     [
@@ -87,11 +87,12 @@ def list_files(roots: DataFrame, folders_per_task: int = 200) -> DataFrame:
     level of folders is one distributed pass whose result is pinned by a checkpoint.
     """
     spark = roots.sparkSession
+    ship_package(spark)
     level = roots.select("root_id", F.col("path").alias("root_path"), F.col("path").alias("abs_path"))
     files = None
     folder_count = level.count()
     while folder_count:
-        tasks = max(1, min(-(-folder_count // folders_per_task), 20_000))
+        tasks = -(-folder_count // folders_per_task)
         tasks = max(tasks, min(folder_count, spark.sparkContext.defaultParallelism))
         entries = checkpointed(level.repartition(tasks).mapInArrow(_list_folders, _ENTRY))
         found = entries.where(~F.col("is_dir"))
@@ -213,12 +214,13 @@ def _dealt(changed: DataFrame, bytes_per_task: int) -> DataFrame:
     cost = F.when(F.col("needs_digest"), F.col("size_bytes")).otherwise(0) + _SEEK_COST
     total = due.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
     least = changed.sparkSession.sparkContext.defaultParallelism
-    tasks = int(min(max(total // bytes_per_task, least), 100_000))
+    tasks = int(max(total // bytes_per_task, least))
     return due.repartition(tasks, "file_id").select("file_id", "abs_path", "needs_digest")
 
 
 def read_changed_content(changed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
     """Bytes of the changed files (file_id, abs_path, size_bytes, changed) for small files."""
+    ship_package(changed.sparkSession)
     return _dealt(changed, bytes_per_task).mapInArrow(_read_contents, _CONTENT)
 
 
@@ -231,6 +233,7 @@ def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> Da
     :func:`twinsift.functions.fingerprints.fingerprint`: samples of the right length are
     returned unchanged by the sampling step.
     """
+    ship_package(changed.sparkSession)
     read = _dealt(changed, bytes_per_task).mapInArrow(_digest_contents, _DIGEST)
     wide = read.select(
         "file_id",

@@ -72,10 +72,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 def contents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # A small table in fewer splits than there are cores is spread before the costly hashing.
-    cores = spark.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) * 4 < cores:
-        docs = docs.repartition(cores)
+    # Spread evenly before the costly hashing, however the table is split into files.
+    docs = docs.repartition("doc_id")
     return docs.select((F.col("doc_id") + 1).alias("file_id"), F.col("text").cast("binary").alias("content"))
 
 
