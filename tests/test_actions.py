@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import files, movements, rows
 from twinsift.operators import naming, outcomes, planning
+from twinsift.schemas import FILE_MOVEMENTS
 from twinsift.plans import cleanup
 
 TRASH = "/nas/.trash"
@@ -161,6 +162,27 @@ def test_restore_outcomes(spark):
     ]
 
 
+def test_decided_items_stay_and_rivals_are_arbitrated(spark):
+    columns = "item_id long, file_id long, source_path string, target_path string, status string, error_message string"
+    manifest = spark.createDataFrame([("/t/a", True), ("/t/b", True), ("/nas/x", True)], "path string, is_file boolean")
+    moves = spark.createDataFrame(
+        [(1, 1, "b1", "/nas/a", "/t/a", None, None), (2, 2, "b2", "/nas/a", "/t/b", None, None)], FILE_MOVEMENTS
+    )
+    plan = spark.createDataFrame(
+        [(2, 2, "/t/b", "/nas/a", "pending", None), (1, 1, "/t/a", "/nas/a", "pending", None), (3, 3, "/t/a", "/nas/q", "skipped", "no")],
+        columns,
+    )
+    got = outcomes.evaluate_restore(plan, manifest, moves).orderBy("item_id")
+    assert [(r.item_id, r.status, r.error_message) for r in got.collect()] == [
+        (1, "done", None),
+        (2, "failed", "restore target already exists: /nas/a"),
+        (3, "skipped", "no"),
+    ]
+    decided = spark.createDataFrame([(7, 7, "/nas/x", None, "failed", "old"), (8, 8, "/nas/x", None, "skipped", None)], columns)
+    for evaluated in (outcomes.evaluate_move(decided, manifest, TRASH), outcomes.evaluate_delete(decided, manifest, True)):
+        assert {(r.item_id, r.status, r.error_message) for r in evaluated.collect()} == {(7, "failed", "old"), (8, "skipped", None)}
+
+
 def test_batch_states_and_stats(spark):
     df = spark.createDataFrame(
         [("a", "done"), ("a", "skipped"), ("b", "done"), ("b", "failed"), ("c", "failed"), ("d", "pending")], "batch_id string, status string"

@@ -32,8 +32,11 @@ def _judged(checked: DataFrame, columns: list[str], error: Column) -> DataFrame:
 
 def _pending(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items still to be carried out, and those already decided, which stay as they are."""
+    if "status" not in plan.columns:
+        plan = plan.withColumn("status", F.lit("pending"))
+    decided = plan if "error_message" in plan.columns else plan.withColumn("error_message", F.lit(None).cast("string"))
     waits = F.coalesce(F.col("status"), F.lit("pending")) == "pending"
-    return plan.where(waits), plan.where(~waits)
+    return plan.where(waits), decided.where(~waits)
 
 
 def evaluate_move(plan: DataFrame, manifest: DataFrame, trash_dir: str) -> DataFrame:
@@ -67,7 +70,7 @@ def evaluate_delete(plan: DataFrame, manifest: DataFrame, hard_delete: bool = Fa
 
 def evaluate_restore(plan: DataFrame, manifest: DataFrame, movements: DataFrame) -> DataFrame:
     """Restores of pending items: the trash copy must exist, its old place be free and the movement
-    open. Of several good items with one target the first (smallest item_id) is restored.
+    open. Of several good items with one target the first (smallest item_id, or file_id) is restored.
 
     ``source_batch_id`` names the batch whose movement a done item closes.
     """
@@ -94,15 +97,16 @@ def evaluate_restore(plan: DataFrame, manifest: DataFrame, movements: DataFrame)
             ),
         )
     )
-    checked = checkpointed(checked.withColumn("__error", error))
+    order = F.col("item_id") if "item_id" in plan.columns else F.struct("file_id", "source_path")
+    checked = checkpointed(checked.withColumn("__error", error).withColumn("__order", order))
     winners = (
         checked.where("__error IS NULL")
         .groupBy("target_path")
-        .agg(F.min("item_id").alias("__winner"), F.count(F.lit(1)).alias("__rivals"))
+        .agg(F.min("__order").alias("__winner"), F.count(F.lit(1)).alias("__rivals"))
     )
-    arbitrated = attach(checked, winners, ["target_path"], ["item_id"], how="left", counts="__rivals")
+    arbitrated = attach(checked, winners, ["target_path"], ["file_id"], how="left", counts="__rivals")
     error = F.when(
-        F.col("__error").isNull() & (F.col("item_id") != F.col("__winner")),
+        F.col("__error").isNull() & (F.col("__order") != F.col("__winner")),
         F.concat(F.lit("restore target already exists: "), "target_path"),
     ).otherwise(F.col("__error"))
     judged = _judged(arbitrated, [*plan.columns, "source_batch_id"], error)
