@@ -282,3 +282,20 @@ def test_root_filter_reaches_the_parquet_scan(spark, tmp_path):
     plan = tables.files_in_roots(stored, [1]).select("file_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(is_present,1)" in plan and "root_id" in plan.split("PushedFilters")[1]
     assert "abs_path" not in plan.split("ReadSchema")[1]
+
+
+def test_new_prints_are_read_once_on_a_filled_index(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    stored = spark.createDataFrame([(1, "phash64", "abc"), (2, "phash64", "x"), (9, "dhash64", "y")], FILE_HASHES)
+    new = spark.createDataFrame([(1, "phash64", "def"), (3, "phash64", "g")], FILE_HASHES).mapInArrow(read, FILE_HASHES)
+    got = index.upsert_hashes(stored, new)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "phash64", "def"), (2, "phash64", "x"), (3, "phash64", "g"), (9, "dhash64", "y"),
+    ]
+    assert reads.value == 2
