@@ -254,3 +254,30 @@ def test_moving_an_absent_file_fails_the_batch(spark):
     got = cleanup.carry_out_move(draft, nothing, movements(spark, (1, 1, "x", "/a", "/b", True)), TRASH, F.lit("2026-03-13 10:00:00"))
     assert got.items.first().error_message == "source file not found: /nas/photo/gone.jpg"
     assert got.status.first().status == "failed"
+
+
+def test_drafts_refuse_what_they_cannot_plan(spark):
+    table = files(spark, dict(file_id=1, abs_path="/nas/a"), dict(file_id=2, abs_path="/nas/b"))
+    ids = spark.createDataFrame([(1,), (2,), (2,), (9,), (0,), (None,)], "file_id long")
+    refused = planning.refused_ids(ids, table, "move_to_trash")
+    assert {(r.file_id, r.reason) for r in refused.collect()} == {
+        (9, "file is not indexed"), (0, "id is not positive"), (None, "id is not positive"),
+    }
+    ledger = movements(spark, (7, 2, "old", "/nas/b", "/t/b", False), (8, 1, "old", "/nas/a", "/t/a", True))
+    refused = planning.refused_ids(ids.where("file_id < 3 AND file_id > 0"), table, "restore", ledger)
+    assert [tuple(r) for r in refused.collect()] == [(1, "file has no open movement")]
+    with pytest.raises(ValueError, match="not indexed"):
+        cleanup.draft_batch("b", ids.where("file_id > 0"), table, "move_to_trash", TRASH)
+    with pytest.raises(ValueError, match="no files are selected"):
+        cleanup.draft_batch("b", ids.where("false"), table, "move_to_trash", TRASH)
+
+
+def test_a_draft_is_confirmed_once(spark):
+    table = files(spark, dict(file_id=1, abs_path="/nas/a"))
+    draft = cleanup.draft_batch("b", table, table, "delete_permanent", TRASH)
+    header = cleanup.batch_header(draft, "delete_permanent", "me", F.lit("2026-03-13 10:00:00"))
+    assert header.count() == 1 and header.first().status == "draft"
+    assert cleanup.confirm(header, draft).first().status == "draft"
+    confirmed = cleanup.confirm(header, draft, hard_delete=True)
+    assert confirmed.first().status == "confirmed" and confirmed.columns == header.columns
+    assert not outcomes.confirmable(confirmed, draft, hard_delete=True).first().can_confirm

@@ -78,3 +78,13 @@ def test_the_list_of_hot_keys_is_bounded_by_the_limit_it_implies(spark, monkeypa
     data, df = skewed(spark)
     sized = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert [r.k for r in hot_keys(sized, ["k"], "n", 2).collect()] == ["hot"]
+
+
+def test_semi_and_anti_joins_spread_hot_keys(spark):
+    rows_ = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    keys = spark.createDataFrame([(0,), (2,)], "k long")
+    kept = attach(rows_, keys, ["k"], ["v"], how="left_semi", hot_rows=100)
+    gone = attach(rows_, keys, ["k"], ["v"], how="left_anti", hot_rows=100)
+    assert kept.columns == gone.columns == ["k", "v"]
+    assert (kept.count(), gone.count()) == (2000, 1000)
+    assert kept.select("k").distinct().count() == 2 and gone.select("v").distinct().count() == 1000

@@ -94,7 +94,9 @@ def bulk_decision(
     """
     if decision not in DECISIONS:
         raise ValueError(f"decision must be one of: {', '.join(DECISIONS)}")
-    chosen = items if group_keys is None else items.join(group_keys.select(*GROUP).distinct(), GROUP, "left_semi")
+    chosen = items
+    if group_keys is not None:
+        chosen = attach(items, group_keys.select(*GROUP).distinct(), GROUP, ["file_id"], how="left_semi")
     if file_ids is not None:
         chosen = chosen.join(file_ids.select("file_id").distinct(), "file_id", "left_semi")
     else:

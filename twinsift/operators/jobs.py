@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.text import idempotent_job_id, is_stale
-from twinsift.operators.skew import global_index
+from twinsift.operators.skew import attach, global_index
 from twinsift.schemas import ACTIVE_JOB_STATUSES, DEFAULT_JOB_TIMEOUT_SECONDS
+from twinsift.session import checkpointed
 from twinsift.sources.tables import page as page_of
 
 METRICS = ["files_seen", "files_indexed", "exact_groups_found", "similar_groups_found", "reclaimable_bytes"]
@@ -101,19 +102,28 @@ def deletable(
 def delete_jobs(
     doomed: DataFrame, jobs: DataFrame, job_roots: DataFrame, files: DataFrame,
     exact_groups: DataFrame, similar_groups: DataFrame,
+    exact_items: DataFrame | None = None, similar_items: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables after deleting jobs (job_id): their rows go, files forget having been seen by them."""
-    ids = doomed.select("job_id").distinct()
-    without = lambda df: df.join(ids, "job_id", "left_anti")
+    """Tables after deleting jobs (job_id): their rows go, files forget having been seen by them.
+
+    Group items, where given, go with their groups. One job may own most groups or have seen
+    all files last, so its rows are spread.
+    """
+    ids = checkpointed(doomed.select("job_id").distinct())
+
+    def without(df: DataFrame) -> DataFrame:
+        return attach(df, ids, ["job_id"], df.columns, how="left_anti").select(*df.columns)
 
     def forget(df: DataFrame, column: str) -> DataFrame:
-        gone = ids.select(F.col("job_id").alias(column), F.lit(True).alias("gone"))
-        kept = F.when(F.col("gone").isNull(), F.col(column))
-        return df.join(gone, column, "left").select(
+        gone = ids.select(F.col("job_id").alias(column), F.lit(True).alias("__gone"))
+        kept = F.when(F.col("__gone").isNull(), F.col(column))
+        return attach(df, gone, [column], ["file_id"], how="left").select(
             *[kept.alias(c) if c == column else F.col(c) for c in files.columns]
         )
 
+    items = {"exact_items": exact_items, "similar_items": similar_items}
     return {
+        **{name: without(df) for name, df in items.items() if df is not None},
         "jobs": without(jobs),
         "job_roots": without(job_roots),
         "files": forget(forget(files, "first_seen_job_id"), "last_seen_job_id"),

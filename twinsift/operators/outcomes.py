@@ -195,17 +195,14 @@ def rollback_plan(batches: DataFrame, movements: DataFrame) -> DataFrame:
     able = batches.where(
         (F.col("action_type") == "move_to_trash") & F.col("status").isin(_ROLLBACK_STATUSES)
     ).select("batch_id")
-    return (
-        movements.where("restored_at IS NULL")
-        .join(able, "batch_id", "left_semi")
-        .select(
-            F.col("batch_id").alias("rollback_of"),
-            "movement_id",
-            "file_id",
-            F.col("to_path").alias("source_path"),
-            F.col("from_path").alias("target_path"),
-            F.lit("pending").alias("status"),
-        )
+    open_rows = movements.where("restored_at IS NULL")
+    return attach(open_rows, able.distinct(), ["batch_id"], ["movement_id"], how="left_semi").select(
+        F.col("batch_id").alias("rollback_of"),
+        "movement_id",
+        "file_id",
+        F.col("to_path").alias("source_path"),
+        F.col("from_path").alias("target_path"),
+        F.lit("pending").alias("status"),
     )
 
 

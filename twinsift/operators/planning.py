@@ -92,10 +92,31 @@ def job_preview(
     )
 
 
+def refused_ids(
+    ids: DataFrame, files: DataFrame, action: str, movements: DataFrame | None = None
+) -> DataFrame:
+    """Selected ids that no item can be planned for, each with the reason."""
+    action = _check_action(action)
+    judged = ids.select("file_id").distinct().join(
+        files.select("file_id", F.lit(True).alias("known")), "file_id", "left"
+    )
+    reason = F.when(F.coalesce("file_id", F.lit(0)) <= 0, "id is not positive").when(
+        F.col("known").isNull(), "file is not indexed"
+    )
+    if action == "restore":
+        moved = movements.where("restored_at IS NULL").select("file_id", F.lit(True).alias("moved")).distinct()
+        judged = judged.join(moved, "file_id", "left")
+        reason = reason.when(F.col("moved").isNull(), "file has no open movement")
+    return judged.select("file_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def plan_items(
     ids: DataFrame, files: DataFrame, action: str, trash_dir: str, movements: DataFrame | None = None
 ) -> DataFrame:
-    """Pending items: where each file is and where it goes (nowhere for a delete)."""
+    """Pending items: where each file is and where it goes (nowhere for a delete).
+
+    The ids of :func:`refused_ids` have no item.
+    """
     action = _check_action(action)
     wanted = ids.select("file_id").distinct()
     if action == "restore":

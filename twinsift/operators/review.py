@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators.decisions import GROUP, MEMBER
+from twinsift.operators.skew import attach
 from twinsift.sources.tables import page as page_of
 
 SCOPES = ["selected", "selected_groups", "all_in_group", "all_filtered"]
@@ -51,5 +52,5 @@ def resolve_scope(
         return file_ids.select("file_id").distinct().orderBy("file_id")
     chosen = non_primary(items)
     if scope != "all_filtered":
-        chosen = chosen.join(groups.select(*GROUP).distinct(), GROUP, "left_semi")
+        chosen = attach(chosen, groups.select(*GROUP).distinct(), GROUP, ["file_id"], how="left_semi")
     return chosen.select("file_id").distinct().orderBy("file_id")

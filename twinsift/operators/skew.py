@@ -48,7 +48,8 @@ def attach(
 
     ``counts`` names the column of ``per_key`` that holds the rows per key; without it they
     are counted. Rows of a hot key are spread over slices by a hash of ``spread_by`` and the
-    value row is repeated once per slice. Nothing is dropped: ``how`` decides as in a join.
+    value row is repeated once per slice. ``how`` decides as in a join: inner, left, left_semi or
+    left_anti.
     ``total`` is the counted number of rows, if known: too few rows cannot hold a hot key.
 
     The values are checkpointed, so that they are worked out once and chains of calls keep

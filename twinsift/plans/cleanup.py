@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators import outcomes
-from twinsift.operators.planning import job_non_primary_files, plan_items
+from twinsift.operators.planning import job_non_primary_files, plan_items, refused_ids
 from twinsift.operators.skew import global_index
 from twinsift.session import checkpointed
 
@@ -33,6 +33,13 @@ def draft_batch(
     batch_id: str, ids: DataFrame, files: DataFrame, action: str, trash_dir: str,
     movements: DataFrame | None = None,
 ) -> DataFrame:
+    """Pending items of the given files; an empty selection or any refused id refuses the draft."""
+    ids = checkpointed(ids.select("file_id").distinct())
+    if ids.isEmpty():
+        raise ValueError("no files are selected")
+    refused = refused_ids(ids, files, action, movements).first()
+    if refused is not None:
+        raise ValueError(f"file {refused.file_id} cannot be drafted: {refused.reason}")
     plan = plan_items(ids, files, action, trash_dir, movements)
     numbered = global_index(plan, ["file_id"], "item_id", start=1)
     return numbered.select(
@@ -41,6 +48,28 @@ def draft_batch(
     )
 
 
+def batch_header(
+    items: DataFrame, action: str, requested_by: str, requested_at: Column,
+    dry_run: bool = False, summary: str | None = None,
+) -> DataFrame:
+    """One draft row for each batch of drafted items."""
+    return items.select("batch_id").distinct().select(
+        "batch_id", F.lit(action).alias("action_type"), F.lit("draft").alias("status"),
+        F.lit(requested_by).alias("requested_by"), F.lit(int(dry_run)).alias("dry_run"),
+        F.lit(summary).cast("string").alias("summary"), requested_at.cast("timestamp").alias("requested_at"),
+    )
+
+
+def confirm(batches: DataFrame, items: DataFrame, hard_delete: bool = False) -> DataFrame:
+    """Batches with every draft that can be confirmed confirmed; the others stay as they are."""
+    able = outcomes.confirmable(batches, items, hard_delete).where("can_confirm").select(
+        "batch_id", F.lit("confirmed").alias("__new")
+    )
+    return batches.join(able, "batch_id", "left").select(
+        *[F.coalesce("__new", "status").alias(c) if c == "status" else F.col(c) for c in batches.columns]
+    )
+
+
 def carry_out_move(items: DataFrame, manifest: DataFrame, movements: DataFrame, trash_dir: str, now: Column) -> BatchResult:
     """Outcome of a trash batch and the ledger with one open movement per moved file."""
     done = checkpointed(outcomes.evaluate_move(items, manifest, trash_dir))

@@ -200,6 +200,21 @@ def a15_rollback_verdict(spark, sf):
     return verdict.withColumn("error", F.coalesce("error", F.lit("")))
 
 
+@query("""
+    SELECT DISTINCT user_id - 5 AS file_id, CASE WHEN user_id <= 5 THEN 'id is not positive'
+             WHEN user_id - 5 NOT IN (SELECT file_id FROM files) THEN 'file is not indexed' ELSE 'file has no open movement' END AS reason
+    FROM events WHERE user_id <= 5 OR user_id - 5 NOT IN (SELECT file_id FROM files)
+      OR user_id - 5 NOT IN (SELECT file_id FROM movements WHERE NOT restored)""")
+def a6_refused_ids(spark, sf):
+    """Ids as events name them: some are not positive, not indexed or never moved."""
+    return planning.refused_ids(_event_ids(spark, sf), d.files(spark, sf), "restore", d.file_movements(spark, sf))
+
+
+@query("SELECT batch_id, CASE WHEN status = 'draft' THEN 'confirmed' ELSE status END AS status FROM batches")
+def a18_confirm(spark, sf):
+    return cleanup.confirm(d.action_batches(spark, sf), d.action_items(spark, sf)).select("batch_id", "status")
+
+
 @query("""
     SELECT movement_id, restored OR movement_id IN (SELECT max(movement_id) FROM movements WHERE NOT restored GROUP BY file_id) AS closed
     FROM movements""")
@@ -228,16 +243,22 @@ def a18_confirmable(spark, sf):
 
 
 @query("""
-    SELECT count(*) AS items, count_if(is_present = 1 AND doc_id % 17 <> 0)::BIGINT AS moved,
-           count_if(is_present = 1 AND doc_id % 17 <> 0)::BIGINT AS restored, 'rolled_back' AS status
-    FROM files WHERE file_id IN (SELECT file_id FROM items WHERE is_primary = 0)""")
+    SELECT items, moved, moved AS restored, 'rolled_back' AS status, 'confirmed' AS before,
+           (SELECT count(*) FROM movements) + moved AS ledger_rows,
+           (SELECT max(movement_id) FROM movements) + moved AS last_movement,
+           (SELECT count(*) FROM movements WHERE NOT restored) AS still_open
+    FROM (SELECT count(*) AS items, count_if(is_present = 1 AND doc_id % 17 <> 0)::BIGINT AS moved
+          FROM files WHERE file_id IN (SELECT file_id FROM items WHERE is_primary = 0))""")
 def e3_cleanup_and_rollback(spark, sf):
-    """Move a job's non-primaries to the trash, then roll the whole batch back."""
+    """Move a job's non-primaries to the trash, then roll the whole batch back, on top of a ledger
+    that already holds open movements of some of the files."""
     files, manifest = d.files(spark, sf), d.manifest(spark, sf)
-    no_moves = d.file_movements(spark, sf).where("false")
+    ledger = d.file_movements(spark, sf)
     when = F.lit("2026-01-01 00:00:00")
     draft = cleanup.draft_job_batch("b1", d.JOB, d.exact_items(spark, sf), d.similar_items(spark, sf), files, "move_to_trash", d.TRASH)
-    moved = cleanup.carry_out_move(draft, manifest, no_moves, d.TRASH, when)
+    header = cleanup.batch_header(draft, "move_to_trash", "tester", when)
+    confirmed = cleanup.confirm(header, draft).select("batch_id", F.col("status").alias("before"))
+    moved = cleanup.carry_out_move(draft, manifest, ledger, d.TRASH, when)
     batches = moved.status.select("batch_id", F.lit("move_to_trash").alias("action_type"), "status")
     gone = moved.items.where("status = 'done'").select("source_path", "target_path")
     left = manifest.join(gone.select(F.col("source_path").alias("path")), "path", "left_anti").unionByName(
@@ -250,4 +271,10 @@ def e3_cleanup_and_rollback(spark, sf):
         F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "done").alias("moved")
     )
     undone = touched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("restored"))
-    return final.join(counted, "batch_id").join(undone, "batch_id").select("items", "moved", "restored", "status")
+    kept = back.movements.agg(
+        F.count(F.lit(1)).alias("ledger_rows"), F.max("movement_id").alias("last_movement"),
+        F.count_if(F.col("restored_at").isNull()).alias("still_open"), F.lit("b1").alias("batch_id"),
+    )
+    for part in (confirmed, counted, undone, kept):
+        final = final.join(part, "batch_id")
+    return final.select("items", "moved", "restored", "status", "before", "ledger_rows", "last_movement", "still_open")

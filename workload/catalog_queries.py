@@ -53,13 +53,28 @@ def j4_job_status(spark, sf):
     return rows.select("job_id", "status", F.array_join(F.transform("roots", line), ",").alias("roots"))
 
 
-def _dependencies(spark, sf):
-    groups = exact.exact_groups(d.exact_cands(spark, sf), d.JOB).withColumn(
-        "job_id", F.concat(F.lit("job-"), (F.col("reclaimable_bytes") % 1000).cast("string"))
+def _of_jobs(df, column):
+    """Rows spread over many jobs by a number."""
+    return df.withColumn("job_id", F.concat(F.lit("job-"), (F.col(column) % 1000).cast("string")))
+
+
+def _groups(spark, sf):
+    return (
+        _of_jobs(exact.exact_groups(d.exact_cands(spark, sf), d.JOB), "reclaimable_bytes"),
+        _of_jobs(similar.similar_groups(d.similar_items(spark, sf)), "anchor_file_id"),
     )
-    similar_groups = similar.similar_groups(d.similar_items(spark, sf)).withColumn(
-        "job_id", F.concat(F.lit("job-"), (F.col("anchor_file_id") % 1000).cast("string"))
+
+
+def _delete_failed(spark, sf):
+    table = d.scan_jobs(spark, sf)
+    return jobs.delete_jobs(
+        table.where("status = 'failed'"), table, d.scan_job_roots(spark, sf), d.files(spark, sf), *_groups(spark, sf),
+        _of_jobs(d.exact_items(spark, sf), "file_id"), _of_jobs(d.similar_items(spark, sf), "file_id"),
     )
+
+
+def _dependencies(spark, sf):
+    groups, similar_groups = _groups(spark, sf)
     return jobs.delete_dependencies(
         d.scan_jobs(spark, sf), groups, similar_groups, d.action_items(spark, sf), d.files(spark, sf)
     )
@@ -101,22 +116,36 @@ def j7_deletable(spark, sf):
            coalesce(CASE WHEN last_seen_job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed') THEN last_seen_job_id END, '-') AS last_seen_job_id
     FROM files""")
 def j8_delete_jobs(spark, sf):
-    table = d.scan_jobs(spark, sf)
-    no_groups = spark.createDataFrame([], "job_id string")
-    after = jobs.delete_jobs(
-        table.where("status = 'failed'"), table, d.scan_job_roots(spark, sf), d.files(spark, sf), no_groups, no_groups
-    )
+    after = _delete_failed(spark, sf)
     shown = [F.coalesce(c, F.lit("-")).alias(c) for c in ("first_seen_job_id", "last_seen_job_id")]
     return after["files"].select("file_id", *shown)
 
 
 @query("SELECT job_id, root_id FROM job_roots WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed')")
 def j8_delete_jobs_cascade(spark, sf):
-    table = d.scan_jobs(spark, sf)
-    no_groups = spark.createDataFrame([], "job_id string")
-    return jobs.delete_jobs(
-        table.where("status = 'failed'"), table, d.scan_job_roots(spark, sf), d.files(spark, sf), no_groups, no_groups
-    )["job_roots"]
+    return _delete_failed(spark, sf)["job_roots"]
+
+
+@query("""
+    SELECT kind, job_id, key, file_id
+    FROM (SELECT 'exact' AS kind, 'job-' || (file_id % 1000) AS job_id, signature AS key, file_id FROM exact_members
+          UNION ALL SELECT 'similar', 'job-' || (file_id % 1000), anchor_file_id::VARCHAR, file_id FROM similar_members
+          UNION ALL SELECT 'exact_group', 'job-' || (reclaimable_bytes % 1000), signature, 0 FROM exact_groups
+          UNION ALL SELECT 'similar_group', 'job-' || (anchor_file_id % 1000), anchor_file_id::VARCHAR, 0
+                    FROM (SELECT DISTINCT anchor_file_id FROM similar_members))
+    WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed')""")
+def j8_delete_jobs_groups(spark, sf):
+    after = _delete_failed(spark, sf)
+    shown = lambda name, kind, key, file_id: after[name].select(
+        F.lit(kind).alias("kind"), "job_id", F.col(key).cast("string").alias("key"), file_id.cast("long").alias("file_id")
+    )
+    none = F.lit(0)
+    return (
+        shown("exact_items", "exact", "signature", F.col("file_id"))
+        .unionByName(shown("similar_items", "similar", "anchor_file_id", F.col("file_id")))
+        .unionByName(shown("exact_groups", "exact_group", "signature", none))
+        .unionByName(shown("similar_groups", "similar_group", "anchor_file_id", none))
+    )
 
 
 @query("""
