@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.helpers import files, listing, rows
 from twinsift.functions.fingerprints import fingerprint
 from twinsift.operators import index
-from twinsift.plans.scan import drop_job, run_job, save_scan, scan_roots
+from twinsift.plans.scan import drop_job, load_index, run_job, save_scan, scan_roots
 from twinsift.schemas import FILE_HASHES, FILES, SCAN_JOBS
 from twinsift.sources import listing as src
 from twinsift.sources import tables
@@ -233,12 +233,35 @@ def test_storing_a_scan_twice_and_dropping_it(spark, tmp_path):
     save_scan(result, base)
     save_scan(result, base)
     assert spark.read.parquet(f"{base}/exact_groups").count() == 1
-    stored = tables.read_snapshot(spark, f"{base}/files")
-    assert stored.count() == 2
-    tables.overwrite_snapshot(stored.where("file_name = 'a'"), f"{base}/files")
-    assert tables.read_snapshot(spark, f"{base}/files").count() == 1
+    files, hashes = load_index(spark, base, "j1")
+    assert rows(files, "file_id") == rows(result.files, "file_id") and hashes.count() == 6
+    # A later job starts from it and leaves it alone.
+    write(tmp_path / "in" / "c", b"C")
+    second = scan_roots(root_table(spark, tmp_path / "in"), files, hashes, "j/2")
+    save_scan(second, base)
+    assert load_index(spark, base, "j/2")[0].count() == 3
+    assert load_index(spark, base, "j1")[0].count() == 2
+    groups = spark.read.parquet(f"{base}/exact_groups")
+    assert rows(groups.select("job_id"), "job_id") == [("j/2",), ("j1",)]
     drop_job(spark, base, "j1")
-    assert not os.path.exists(f"{base}/exact_groups/job_id=j1")
+    assert rows(spark.read.parquet(f"{base}/exact_groups").select("job_id"), "job_id") == [("j/2",)]
+
+
+def test_the_ledger_only_grows(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    tables.append_ledger(spark.range(3), path)
+    tables.append_ledger(spark.range(3, 5), path)
+    assert rows(spark.read.parquet(path), "id") == [(0,), (1,), (2,), (3,), (4,)]
+
+
+def test_pages_follow_the_last_key(spark):
+    df = spark.createDataFrame([(r, f) for r in (1, 2) for f in range(1, 5)], "root_id long, file_id long")
+    seen, after = [], None
+    while page := [tuple(r) for r in tables.page_after(df, ["root_id", "file_id"], after, 3).collect()]:
+        seen, after = seen + page, page[-1]
+    assert seen == [(r, f) for r in (1, 2) for f in range(1, 5)]
+    with pytest.raises(ValueError):
+        tables.page_after(df, ["file_id"], None, 0)
 
 
 def test_empty_rebuild_removes_old_groups(spark, tmp_path):

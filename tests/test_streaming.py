@@ -2,8 +2,7 @@ import os
 
 from tests.helpers import listing, rows
 from twinsift.schemas import LISTING
-from twinsift.sources.tables import read_snapshot
-from twinsift.streaming.listings import create_index, index_batch, index_stream
+from twinsift.streaming.listings import create_index, index_batch, index_stream, read_index
 
 
 def seen(spark, path, job_root=1):
@@ -22,8 +21,7 @@ def test_arriving_listings_update_the_index(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(LISTING).parquet(inbox)
         index_stream(stream, base, str(tmp_path / "state"), availableNow=True).awaitTermination(120)
-        files = read_snapshot(spark, f"{base}/files")
-        return files, read_snapshot(spark, f"{base}/file_hashes")
+        return read_index(spark, base)
 
     files, hashes = run()
     assert rows(files.select("file_id", "file_name", "first_seen_job_id"), "file_id") == [(1, "a.txt", "stream-0")]
@@ -44,10 +42,31 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     a.write_bytes(b"alpha")
     base = str(tmp_path / "index")
     create_index(spark, base)
-    index_batch(seen(spark, a), base, "s-0")
-    once = rows(read_snapshot(spark, f"{base}/file_hashes"), "file_id", "hash_type")
-    index_batch(seen(spark, a), base, "s-0")
-    assert rows(read_snapshot(spark, f"{base}/file_hashes"), "file_id", "hash_type") == once
-    assert read_snapshot(spark, f"{base}/files").count() == 1
-    versions = [n for n in os.listdir(f"{base}/files") if n.startswith("v-")]
-    assert len(versions) == 2
+    index_batch(seen(spark, a), base, 0, "s-0")
+    files, hashes = read_index(spark, base)
+    once = rows(hashes, "file_id", "hash_type")
+    index_batch(seen(spark, a), base, 0, "s-0")
+    files, hashes = read_index(spark, base)
+    assert rows(hashes, "file_id", "hash_type") == once and len(once) == 3
+    assert files.count() == 1
+
+
+def test_a_batch_writes_only_what_it_saw(spark, tmp_path):
+    a, b = tmp_path / "a.txt", tmp_path / "b.txt"
+    a.write_bytes(b"alpha")
+    b.write_bytes(b"beta")
+    base = str(tmp_path / "index")
+    create_index(spark, base)
+    index_batch(seen(spark, a).unionByName(seen(spark, b)), base, 0, "s-0")
+    index_batch(seen(spark, b), base, 1, "s-1")
+    stored = lambda name: spark.read.parquet(f"{base}/{name}").groupBy("batch").count()
+    assert rows(stored("files"), "batch") == [(0, 2), (1, 1)]
+    # The unchanged file is seen again but not read again.
+    assert rows(stored("file_hashes"), "batch") == [(0, 6)]
+    files, hashes = read_index(spark, base)
+    assert rows(files.select("file_id", "last_seen_job_id"), "file_id") == [(1, "s-0"), (2, "s-1")]
+    assert hashes.count() == 6 and read_index(spark, base, before=0)[0].count() == 0
+    copy = str(tmp_path / "copy")
+    create_index(spark, copy, files, hashes)
+    again = read_index(spark, copy)
+    assert rows(again[0], "file_id") == rows(files, "file_id") and again[1].count() == 6

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.operators import exact, index, jobs, scoring, similar
-from twinsift.schemas import CONTENT_HASH, DEFAULT_THRESHOLD
+from twinsift.schemas import CONTENT_HASH, DEFAULT_THRESHOLD, FILE_HASHES, FILES
 from twinsift.session import checkpointed
 from twinsift.sources.listing import fingerprint_changed, list_files, path_attributes
-from twinsift.sources.tables import delete_job_groups, overwrite_snapshot, replace_job_groups
+from twinsift.sources.tables import delete_job_groups, partition_folder, replace_job_groups, replace_partition
+
+GROUP_TABLES = ("exact_groups", "exact_items", "similar_groups", "similar_items")
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def scan(
     if skip_unique_sizes:
         due = checkpointed(_due_by_size(refreshed, file_hashes))
     due = due.where("changed")
-    kept = file_hashes.join(refreshed.where("changed").select("file_id"), "file_id", "left_anti")
+    kept = file_hashes.join(due.select("file_id"), "file_id", "left_anti")
     # The kept hashes are those of other files, so the prints are read once and only added.
     hashes = checkpointed(kept.unionByName(read_prints(due)))
     changes = refreshed.where(F.col("last_seen_job_id") == job_id).select("changed")
@@ -126,22 +128,27 @@ def scan_roots(roots: DataFrame, files: DataFrame, file_hashes: DataFrame, job_i
 
 
 def save_scan(result: ScanResult, base: str) -> None:
-    """Store a scan. Groups of the job are replaced first, the index is switched last."""
-    tables = {
-        "exact_groups": result.exact_groups,
-        "exact_items": result.exact_items,
-        "similar_groups": result.similar_groups,
-        "similar_items": result.similar_items,
-    }
-    for name, df in tables.items():
-        replace_job_groups(df, f"{base}/{name}", result.job_id)
-    overwrite_snapshot(result.file_hashes, f"{base}/file_hashes")
-    overwrite_snapshot(result.files, f"{base}/files")
+    """Store a scan in the partitions of its job.
+
+    Nothing of another job is touched: the index of the last completed job stays as it is, and this
+    one counts once the job table says that the job is completed. A repeated job replaces its own
+    partitions, so its input must be the index of an earlier job.
+    """
+    for name in GROUP_TABLES:
+        replace_job_groups(getattr(result, name), f"{base}/{name}", result.job_id)
+    replace_partition(result.file_hashes, f"{base}/file_hashes", "job_id", result.job_id)
+    replace_partition(result.files, f"{base}/files", "job_id", result.job_id)
+
+
+def load_index(spark: SparkSession, base: str, job_id: str) -> tuple[DataFrame, DataFrame]:
+    """Files and hashes as a completed job left them."""
+    stored = lambda name, schema: spark.read.schema(schema).parquet(partition_folder(f"{base}/{name}", "job_id", job_id))
+    return stored("files", FILES), stored("file_hashes", FILE_HASHES)
 
 
 def drop_job(spark: SparkSession, base: str, job_id: str) -> None:
     """Remove the stored groups of a deleted job."""
-    for name in ("exact_groups", "exact_items", "similar_groups", "similar_items"):
+    for name in GROUP_TABLES:
         delete_job_groups(spark, f"{base}/{name}", job_id)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,22 @@ def page(df: DataFrame, order: Sequence[str | Column], page: int = 1, page_size:
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def page_after(
+    df: DataFrame, order: Sequence[str], after: Sequence | None = None, page_size: int = 50
+) -> DataFrame:
+    """The rows that follow the key ``after`` of the last page, in ascending order of ``order``.
+
+    However deep the page, no task keeps more than ``page_size`` rows. The columns of ``order``
+    hold no nulls and together tell all rows apart.
+    """
+    if page_size < 1:
+        raise ValueError("page_size starts at 1")
+    if after is not None:
+        last = [F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]
+        df = df.where((F.col(order[0]) >= last[0]) & (F.struct(*order) > F.struct(*last)))
+    return df.orderBy(*order).limit(page_size)
+
+
 def list_by_root(files: DataFrame, root_id: int, limit: int = 500, offset: int = 0) -> DataFrame:
     return files.where(F.col("root_id") == root_id).orderBy("file_id").offset(offset).limit(limit)
 
@@ -45,58 +61,32 @@ def hashes_for_file(file_hashes: DataFrame, file_id: int) -> DataFrame:
     return file_hashes.where(F.col("file_id") == file_id).orderBy("hash_type")
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+def partition_folder(path: str, column: str, value: str | int) -> str:
+    """Folder of one partition; characters that mean something in a path are escaped as Spark does."""
+    safe = re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):02X}" if m[0].isascii() else m[0], str(value))
+    return f"{path}/{column}={safe}"
 
 
-def replace_job_groups(df: DataFrame, path: str, job_id: str) -> None:
-    """Rebuild one job's partition; an empty result leaves that job without rows.
+def replace_partition(df: DataFrame, path: str, column: str, value: str | int) -> None:
+    """Write all rows of one partition, in place of what it held; other partitions are not touched.
 
-    The partition folder is overwritten by name because dynamic partition overwrite would keep
-    the old rows when the new result is empty.
+    The folder is overwritten by name because dynamic partition overwrite would keep the old rows
+    when the new result is empty.
     """
-    rows = df.where(F.col("job_id") == job_id).drop("job_id")
-    rows.write.mode("overwrite").parquet(f"{path}/job_id={job_id}")
+    df.drop(column).write.mode("overwrite").parquet(partition_folder(path, column, value))
+
+
+def replace_job_groups(df: DataFrame, path: str, job_id: str) -> None:
+    """Rebuild one job's partition; an empty result leaves that job without rows."""
+    replace_partition(df.where(F.col("job_id") == job_id), path, "job_id", job_id)
 
 
 def delete_job_groups(spark: SparkSession, path: str, job_id: str) -> None:
-    fs, target = _filesystem(spark, f"{path}/job_id={job_id}")
-    fs.delete(target, True)
+    """Leave one job without rows in a stored table."""
+    schema = spark.read.parquet(path).drop("job_id").schema
+    replace_partition(spark.createDataFrame([], schema), path, "job_id", job_id)
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
     """Movements are only ever added."""
     df.write.mode("append").parquet(path)
-
-
-def overwrite_snapshot(df: DataFrame, path: str) -> str:
-    """Write a new version of a table next to the old one, then switch the pointer to it.
-
-    A job that dies before the switch leaves the old version current, and a query that reads
-    the old version can safely be its own source.
-    """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/pointer")
-    return f"{path}/{version}"
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Current version of a table written by :func:`overwrite_snapshot`."""
-    current = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "written_at")).first()[0]
-    return spark.read.parquet(f"{path}/{current}")
-
-
-def vacuum_snapshot(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Delete all but the newest versions; a reader of an older one must be done by then."""
-    pointers = spark.read.parquet(f"{path}/pointer").orderBy(F.desc("written_at")).limit(keep)
-    kept = {row.version for row in pointers.select("version").collect()}
-    fs, folder = _filesystem(spark, path)
-    for entry in fs.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith("v-") and name not in kept:
-            fs.delete(entry.getPath(), True)

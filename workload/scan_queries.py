@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints as fp
 from twinsift.operators import components, exact, index, scoring, similar
 from twinsift.plans.scan import scan
 from twinsift.schemas import HASH_TYPES
+from twinsift.session import shared_dir
 from twinsift.sources import tables as src
 from twinsift.sources.listing import path_attributes
 from workload import derived as d
@@ -72,6 +75,37 @@ def s6_hashes_for_file(spark, sf):
     return src.hashes_for_file(d.file_hashes(spark, sf), 7)
 
 
+@query("SELECT root_id, file_id FROM files WHERE (root_id, file_id) > (2, 100) ORDER BY root_id, file_id LIMIT 50")
+def s5_page_after(spark, sf):
+    files = d.files(spark, sf).select("root_id", "file_id")
+    return src.page_after(files, ["root_id", "file_id"], (2, 100), 50)
+
+
+@query("""
+    SELECT 'job-current' AS job_id, group_key AS signature, file_id FROM items WHERE group_kind = 'exact' AND is_primary = 1
+    UNION ALL SELECT 'job-other', group_key, file_id FROM items WHERE group_kind = 'exact'""")
+def s7_replace_job_groups(spark, sf):
+    """Two jobs store all their items; then one is rebuilt with its primaries only."""
+    path = f"{shared_dir(spark)}/s7-{uuid.uuid4().hex}"
+    items = d.exact_items(spark, sf).select("job_id", "signature", "file_id", "is_primary")
+    src.replace_job_groups(items, path, d.JOB)
+    src.replace_job_groups(items.withColumn("job_id", F.lit("job-other")), path, "job-other")
+    src.replace_job_groups(items.where("is_primary = 1"), path, d.JOB)
+    return spark.read.parquet(path).select("job_id", "signature", "file_id")
+
+
+@query("SELECT movement_id, file_id, batch_id, restored FROM movements")
+def s8_append_ledger(spark, sf):
+    """Closed movements are stored first, open ones added."""
+    path = f"{shared_dir(spark)}/s8-{uuid.uuid4().hex}"
+    moves = d.file_movements(spark, sf)
+    src.append_ledger(moves.where("restored_at IS NOT NULL"), path)
+    src.append_ledger(moves.where("restored_at IS NULL"), path)
+    return spark.read.parquet(path).select(
+        "movement_id", "file_id", "batch_id", F.col("restored_at").isNotNull().alias("restored")
+    )
+
+
 # ---- incremental index --------------------------------------------------------------------
 
 
@@ -149,11 +183,11 @@ def f1_content_hash(spark, sf):
 
 
 @query("""
-    SELECT file_id, array_to_string(s65, ',') AS s65, array_to_string(s64, ',') AS s64 FROM sampled WHERE n > 0""")
+    SELECT file_id, CASE WHEN n > 0 THEN array_to_string(s65, ',') END AS s65,
+           CASE WHEN n > 0 THEN array_to_string(s64, ',') END AS s64 FROM sampled""")
 def f2_sample_bytes(spark, sf):
     joined = lambda k: F.array_join(fp.sample_bytes(F.col("content"), k).cast("array<string>"), ",")
-    rows = d.contents(spark, sf).where(F.octet_length("content") > 0)
-    return rows.select("file_id", joined(65).alias("s65"), joined(64).alias("s64"))
+    return d.contents(spark, sf).select("file_id", joined(65).alias("s65"), joined(64).alias("s64"))
 
 
 @query("SELECT file_id, dhash64 FROM hashes")
