@@ -2,13 +2,15 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinsift.llm.decontaminate import best_match, contaminated, drop_contaminated, plain
 from twinsift.llm.mixing import mix
-from twinsift.llm.ngram_join import similar_documents
+from twinsift.llm.ngram_join import _apart, similar_documents
 from twinsift.llm.quality_crf import score_quality
 from twinsift.llm.substring import remove_repeats
 from twinsift.llm.template_tree import drop_recurring_lines
@@ -74,6 +76,27 @@ def test_similar_documents_equal_brute_force(spark):
         assert sorted((tuple(r) for r in got.collect()), key=str) == wanted
 
 
+def test_classes_apart_that_may_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        n = rng.randrange(3, 30)
+        for place, gram in enumerate(sorted(rng.sample(range(40), n))):
+            component = 0 if i < 20 else rng.randrange(1, 15) if i % 2 else i
+            rows.append((gram, bytes([i]), n, place, 0, bytes([component])))
+    component_of = {r[1]: r[5] for r in rows}
+    rows = [(*r[:5], component_of[r[1]]) for r in rows]
+    wanted = {
+        (min(x[1], y[1]), max(x[1], y[1]))
+        for x, y in combinations(rows, 2)
+        if x[0] == y[0] and x[5] != y[5] and 7 * min(x[2] - x[3], y[2] - y[3]) >= 3 * (x[2] + y[2])
+    }
+    labelled = spark.createDataFrame(rows, "gram long, node binary, n int, place int, own int, component binary")
+    for slice_rows in (2, 1000):
+        got = [(bytes(r.a), bytes(r.b)) for r in _apart(labelled, Fraction(3, 4), slice_rows).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_repeats_equal_brute_force(spark):
     docs = corpus()
     order = lambda i: float("inf") if i is None else i

@@ -45,6 +45,7 @@ from twinsift.llm.shared_keys import (
 )
 from twinsift.llm.words import hashed_words, ngrams
 from twinsift.operators.components import connected_components
+from twinsift.operators.skew import attach
 from twinsift.session import checkpointed
 
 _LAST_ID = (1 << 63) - 1
@@ -52,6 +53,8 @@ _ROWS_SCHEMA = "id long, n int, node binary, grams array<long>"
 _RARE_SCHEMA = "node binary, n int, own int, grams array<long>"
 # The ids of classes to compare, up to so many of 16 bytes, are broadcast to pick their sets.
 BROADCAST_CLASSES = 1_000_000
+# Classes that look for others on one n-gram in one task.
+SLICE = 2048
 
 
 def _sets(table: pa.Table, n: int) -> list[np.ndarray]:
@@ -188,6 +191,45 @@ def _possible(threshold: Fraction):
     return after >= t * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
 
 
+def _apart(labelled: DataFrame, threshold: Fraction, slice_rows: int = SLICE) -> DataFrame:
+    """Pairs (a, b) of classes of different components that meet on an n-gram and may link.
+
+    Two classes that are apart cannot both be of the largest component of their n-gram, and the
+    smaller of two that may link could link with one of its own size there (a head). So only the
+    classes outside the largest component look for others, and of each pair one must be a head. Those
+    that look are dealt into slices, so an n-gram that many have is no single task.
+    """
+    t = F.lit(threshold.numerator) / F.lit(threshold.numerator + threshold.denominator)
+    labelled = labelled.withColumn("head", F.col("n") - F.col("place") >= 2 * t * F.col("n") - F.lit(1e-6))
+    grams = (
+        labelled.groupBy("gram", "component")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("head").alias("head"))
+        .groupBy("gram")
+        .agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("largest"), F.max("head").alias("any"))
+        .where("rows > largest.rows and any")
+        .select("gram", "rows", F.col("largest.component").alias("largest"), (F.col("rows") - F.col("largest.rows")).alias("looking"))
+    )
+    met = checkpointed(
+        attach(labelled, grams, ["gram"], ["node"], counts="rows").withColumn(
+            "slices", F.ceil(F.col("looking") / slice_rows).cast("int")
+        )
+    )
+    looking = met.where("component <> largest").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    others = met.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return (
+            x.alias("x")
+            .join(y.alias("y"), ["gram", "slice"])
+            .where("x.component <> y.component")
+            .where(_possible(threshold))
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        )
+
+    found = pairs(others, looking.where("head")).unionByName(pairs(others.where("head"), looking.where("not head")))
+    return found.distinct()
+
+
 def links(sets: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
     """Links (a, b) between classes (node, grams) that connect all that similarity connects. Rows of
     one class may repeat.
@@ -213,14 +255,7 @@ def links(sets: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
             "component", F.coalesce("component", "node")
         )
     )
-    apart = (
-        labelled.alias("x")
-        .join(labelled.alias("y"), "gram")
-        .where("x.node < y.node and x.component <> y.component")
-        .where(_possible(threshold))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
+    apart = _apart(labelled, threshold)
     rest = checkpointed(apart.join(near, ["a", "b"], "left_anti"))
     return first.unionByName(_linked(rest, sets, threshold))
 
