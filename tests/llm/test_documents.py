@@ -156,6 +156,22 @@ def test_recurring_lines(spark):
     assert got[None].n_dropped == 2 and got[503].n_dropped == 0
 
 
+def test_copies_take_no_votes_from_unlike_documents(spark):
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"v{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(n))
+    shared = "Read the rules of this place first"
+    body = lambda n: "\n".join(text(9) for _ in range(n))
+    copied, near = body(9), body(9).split("\n")
+    docs = [(i, f"{body(7)}\n{shared}", "a") for i in range(60)]
+    docs += [(1000 + i, f"{copied}\n{shared}", "a") for i in range(400)]
+    for i in range(400):
+        words = [line.split() for line in near]
+        words[rng.randrange(9)][rng.randrange(9)] = text(1)
+        docs.append((2000 + i, "\n".join([*map(" ".join, words), shared]), "a"))
+    got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, docs)).collect()}
+    assert all(got[i] == t.removesuffix(f"\n{shared}") for i, t, _ in docs)
+
+
 def sellers(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]

@@ -7,11 +7,14 @@ number of words and its first words: that is its leaf. Two kinds of template com
 * for a leaf with several masked lines, the words that nearly all its lines have at the same place,
   with ``<*>`` elsewhere, if these constant words make up most of the line.
 
-A template recurs if documents with enough different signatures hold it. The signature of a document
-is the smallest and the largest hash of its lines' first words, so exact copies count once and near
-copies hardly more: text that repeats because the whole document was copied is left to the
-document-level operators, and only lines shared by unlike documents go. A third of all documents may
-hold one line: documents vote once per template and votes are counted before they are shuffled.
+A template recurs if enough unlike documents hold it: text that repeats because the whole document was
+copied is left to the document-level operators. Exact copies count once. For near copies, the marks of
+a document are the hashes of its lines' first words, and its signature are the two smallest and two
+largest marks beside that of the template's own line. Where a good part of the texts that agree in one
+of these marks have one signature, they are near copies, and the other signatures with that mark count
+as more of them. So copies, however many, take nothing away from the unlike documents. A third of all
+documents may hold one line: documents vote once per template and votes are counted before they are
+shuffled.
 
 Edge cases: empty lines are neither counted nor dropped; a null text has no lines and stays null; a
 document may lose all its lines and keeps an empty text; rows with equal doc_id and text are treated
@@ -57,12 +60,12 @@ def _places(depth: int):
 
 
 def _general(docs: DataFrame, leaves: DataFrame, depth: int, constant: float, similar: float) -> DataFrame:
-    """(key, body, at, leaf): lines that fit the generalised template of their leaf."""
-    _, _, leaf = _places(depth)
+    """(key, body, at, leaf, mark): lines that fit the generalised template of their leaf."""
+    _, lead, leaf = _places(depth)
     small = leaves.count() <= BROADCAST_LEAVES
     inside = _lines(docs).withColumn("leaf", leaf).join(F.broadcast(leaves) if small else leaves, "leaf")
     # Few lines are in such leaves; kept, they are read four times without scanning the texts again.
-    inside = checkpointed(inside.select("key", "body", "at", "leaf", F.split("line", " ").alias("words")))
+    inside = checkpointed(inside.select("key", "body", "at", "leaf", F.xxhash64(lead).alias("mark"), F.split("line", " ").alias("words")))
     values = inside.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").count()
     fixed = (
         values.groupBy("leaf", "place")
@@ -73,13 +76,62 @@ def _general(docs: DataFrame, leaves: DataFrame, depth: int, constant: float, si
     )
     fits = F.forall("fixed", lambda x: F.get(F.col("words"), x["place"]) == x["word"])
     enough = F.size("fixed") >= F.greatest(F.lit(depth + 1), F.ceil(similar * F.size("words")))
-    return attach(inside, fixed, ["leaf"], ["key", "at"]).where(enough & fits).select("key", "body", "at", "leaf")
+    return attach(inside, fixed, ["leaf"], ["key", "at"]).where(enough & fits).select("key", "body", "at", "leaf", "mark")
+
+
+def _signed(votes: DataFrame) -> DataFrame:
+    """Votes (mark, ends, ..) with ``parts``, the two smallest and two largest marks of the document
+    beside that of the line, and their hash, the signature."""
+    others = F.filter("ends", lambda x: x != F.col("mark"))
+    parts = F.when(F.size("others") == 0, F.array("mark")).otherwise(
+        F.array_distinct(F.concat(F.slice("others", 1, 2), F.slice(F.reverse("others"), 1, 2)))
+    )
+    return (
+        votes.withColumn("others", others)
+        .withColumn("parts", parts)
+        .withColumn("signature", F.xxhash64("parts"))
+        .drop("others", "ends", "mark")
+    )
+
+
+def _unlike(holders: DataFrame, key: str, least: int, share: float, stray: float) -> DataFrame:
+    """Keys that enough unlike documents hold, of (key, body, signature, parts)."""
+    held = checkpointed(
+        holders.groupBy(key, "body")
+        .agg(F.min(F.struct("signature", "parts")).alias("s"))
+        .groupBy(key, "s")
+        .agg(F.count(F.lit(1)).alias("texts"))
+        .select(key, "s.signature", "s.parts", "texts")
+    )
+    by_part = held.select(key, "signature", "texts", F.explode("parts").alias("part"))
+    crowds = checkpointed(
+        by_part.groupBy(key, "part")
+        .agg(F.max("texts").alias("top"), F.sum("texts").alias("total"))
+        .where((F.col("top") > 1) & (F.col("top") >= share * F.col("total")))
+        .select(key, "part", "top")
+    )
+    small = crowds.count() <= BROADCAST_LEAVES
+    copies = (
+        by_part.join(F.broadcast(crowds) if small else crowds, [key, "part"])
+        .where("top > texts")
+        .groupBy(key, "signature")
+        .agg(F.max("texts").alias("copies"))
+    )
+    return (
+        held.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("signatures"), F.sum(F.when(F.col("texts") > 1, F.col("texts")).otherwise(0)).alias("crowd"))
+        .join(copies.groupBy(key).agg(F.count(F.lit(1)).alias("near"), F.sum("copies").alias("copies")), key, "left")
+        .withColumn("unlike", F.col("signatures") - F.coalesce("near", F.lit(0)))
+        .where(F.col("unlike") >= least + stray * F.when(F.col("near") > 0, F.col("crowd") + F.col("copies")).otherwise(0))
+        .select(key)
+    )
 
 
 def recurring_lines(
     docs: DataFrame,
     least: int = 10,
     share: float = 0.25,
+    stray: float = 0.02,
     depth: int = 3,
     constant: float = 0.9,
     similar: float = 0.6,
@@ -87,52 +139,45 @@ def recurring_lines(
     """(key, body, lines, drop) per distinct document with lines: how many lines it has and the
     positions (from 0, in the text split at newlines) of those whose template recurs.
 
-    A template recurs if at least ``least`` signatures hold it and these are at least ``share`` of
-    the documents that do. In a leaf, a word is constant if ``constant`` of the lines have it there,
+    A template recurs if at least ``least`` unlike documents hold it. Texts that agree in a mark are
+    near copies if ``share`` of them have one signature; ``stray`` of the near copies may differ in all
+    marks and are not taken for unlike documents. In a leaf, a word is constant if ``constant`` of the lines have it there,
     and there is a general template if at least ``similar`` of the words are constant.
     """
     _, lead, leaf = _places(depth)
     lines = checkpointed(
         _lines(docs).select(
-            "key", "body", "at", leaf.alias("leaf"), F.xxhash64("line").alias("template"), F.md5(lead).alias("mark")
+            "key", "body", "at", leaf.alias("leaf"), F.xxhash64("line").alias("template"), F.xxhash64(lead).alias("mark")
         )
     )
-    per_doc = lines.groupBy("key", "body").agg(
-        F.xxhash64(F.min("mark"), F.max("mark")).alias("signature"),
-        F.collect_set(F.struct("template", "leaf")).alias("votes"),
-        F.count(F.lit(1)).alias("lines"),
-    )
-    per_doc = checkpointed(per_doc)
-    votes = per_doc.select("signature", F.inline("votes"))
-
-    def recurs(holders: DataFrame, key: str) -> DataFrame:
-        """Keys held by enough signatures, of (key, signature, docs)."""
-        return (
-            holders.groupBy(key)
-            .agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("signatures"))
-            .where((F.col("signatures") >= least) & (F.col("signatures") >= share * F.col("docs")))
-            .select(key)
+    marks = F.array_sort(F.collect_set("mark"))
+    per_doc = checkpointed(
+        lines.groupBy("key", "body")
+        .agg(
+            marks.alias("ends"),
+            F.collect_set(F.struct("template", "leaf", "mark")).alias("votes"),
+            F.count(F.lit(1)).alias("lines"),
         )
-
-    held = checkpointed(votes.groupBy("template", "leaf", "signature").agg(F.count(F.lit(1)).alias("docs")))
-    same = recurs(held, "template")
+        # With six ends, two at each side are left without any one of them.
+        .withColumn("ends", F.when(F.size("ends") > 6, F.concat(F.slice("ends", 1, 3), F.slice("ends", -3, 3))).otherwise(F.col("ends")))
+    )
+    votes = per_doc.select("body", "ends", F.inline("votes"))
+    held = checkpointed(votes.select("template", "leaf", "body").distinct())
+    often = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least).select("template")
+    often = checkpointed(often)
+    few = often.count() <= BROADCAST_LEAVES
+    same = _unlike(_signed(votes.join(F.broadcast(often) if few else often, "template")), "template", least, share, stray)
     leaves = (
-        held.groupBy("leaf", "signature")
-        .agg(F.sum("docs").alias("docs"), F.min("template").alias("low"), F.max("template").alias("high"))
+        held.groupBy("leaf", "body")
+        .agg(F.min("template").alias("low"), F.max("template").alias("high"))
         .groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("signatures"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .where((F.col("signatures") >= least) & (F.col("low") < F.col("high")))
+        .agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where((F.col("texts") >= least) & (F.col("low") < F.col("high")))
         .select("leaf")
     )
     general = checkpointed(_general(docs, checkpointed(leaves), depth, constant, similar))
-    holders = (
-        general.select("key", "body", "leaf")
-        .distinct()
-        .join(per_doc.select("key", "body", "signature"), ["key", "body"])
-        .groupBy("leaf", "signature")
-        .agg(F.count(F.lit(1)).alias("docs"))
-    )
-    alike = recurs(holders, "leaf")
+    holders = general.select("key", "body", "leaf", "mark").distinct().join(per_doc.select("key", "body", "ends"), ["key", "body"])
+    alike = _unlike(_signed(holders), "leaf", least, share, stray)
     found = (
         attach(lines.select("key", "body", "at", "template"), same, ["template"], ["key", "at"])
         .select("key", "body", "at")
