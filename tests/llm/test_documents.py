@@ -172,6 +172,22 @@ def test_copies_take_no_votes_from_unlike_documents(spark):
     assert all(got[i] == t.removesuffix(f"\n{shared}") for i, t, _ in docs)
 
 
+def test_templates_that_share_a_leaf(spark):
+    rng = random.Random(19)
+    text = lambda n: " ".join(f"v{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(n))
+    body = lambda: "\n".join(text(9) for _ in range(5))
+    # The copied line and a name that is constant elsewhere must not hide the templates.
+    copied = f"{body()}\nShared by user group on every day again"
+    kinds = ("Shared by user {} on this site today", "Shared by user group in {} last night", "Shared by user {} of our club once")
+    docs = [(i, f"{body()}\n{kinds[i % 3].format(text(1))}", "a") for i in range(90)]
+    docs += [(90, f"{body()}\n{kinds[0].format('group')}", "a")]
+    prose = [(200 + i, f"{body()}\nShared by user {text(5)}", "a") for i in range(150)]
+    prose += [(1000 + i, copied, "a") for i in range(300)]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, docs + prose)).collect()}
+    assert all(got[i] == t.rsplit("\n", 1)[0] for i, t, _ in docs)
+    assert all(got[i] == t for i, t, _ in prose)
+
+
 def sellers(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]

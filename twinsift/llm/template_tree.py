@@ -4,8 +4,11 @@ A line, trimmed, is masked (words with a digit become ``<*>``) and filed in the
 number of words and its first words: that is its leaf. Two kinds of template come from the tree:
 
 * the masked line itself;
-* for a leaf with several masked lines, the words that nearly all its lines have at the same place,
-  with ``<*>`` elsewhere, if these constant words make up most of the line.
+* generalised templates of a leaf: a word is constant if enough texts have it in the same place of
+  the leaf, ``<*>`` stands for the others, and lines with the same constant words make a template if
+  they are enough and these words are most of the line. A leaf so has as many templates as it holds,
+  and other lines in it take none away. A line belongs to every template that it fits, also where a
+  variable word of it is constant in another template.
 
 A template recurs if enough unlike documents hold it: text that repeats because the whole document was
 copied is left to the document-level operators. Exact copies count once. For near copies, the marks of
@@ -59,24 +62,56 @@ def _places(depth: int):
     return words, lead, F.xxhash64(words, lead)
 
 
-def _general(docs: DataFrame, leaves: DataFrame, depth: int, constant: float, similar: float) -> DataFrame:
-    """(key, body, at, leaf, mark): lines that fit the generalised template of their leaf."""
+def _general(docs: DataFrame, leaves: DataFrame, depth: int, least: int, similar: float) -> DataFrame:
+    """(key, body, at, mark, group): lines and the generalised templates of their leaf that they fit."""
     _, lead, leaf = _places(depth)
     small = leaves.count() <= BROADCAST_LEAVES
     inside = _lines(docs).withColumn("leaf", leaf).join(F.broadcast(leaves) if small else leaves, "leaf")
-    # Few lines are in such leaves; kept, they are read four times without scanning the texts again.
-    inside = checkpointed(inside.select("key", "body", "at", "leaf", F.xxhash64(lead).alias("mark"), F.split("line", " ").alias("words")))
-    values = inside.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").count()
+    # Few lines are in such leaves; kept, they are read again without scanning the texts again.
+    inside = checkpointed(
+        inside.select(
+            "key", "body", "at", "leaf", F.xxhash64(lead).alias("mark"), F.xxhash64("line").alias("template"), "line"
+        )
+    )
+    # Each masked line once, with the number of different texts that hold it.
+    masked = checkpointed(
+        inside.groupBy("leaf", "template", "body")
+        .agg(F.min("line").alias("line"))
+        .groupBy("leaf", "template")
+        .agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("texts"))
+        .withColumn("words", F.split("line", " "))
+        .drop("line")
+    )
+    word = ["leaf", "place", "word"]
+    placed = masked.select(
+        "leaf", "template", "texts", F.size("words").alias("n"), F.posexplode("words").alias("place", "word")
+    ).where(F.col("place") >= depth)
+    frequent = checkpointed(placed.groupBy(*word).agg(F.sum("texts").alias("having")).where(F.col("having") >= least))
     fixed = (
-        values.groupBy("leaf", "place")
-        .agg(F.max(F.struct("count", "word")).alias("top"), F.sum("count").alias("lines"))
-        .where(F.col("top.count") >= constant * F.col("lines"))
-        .groupBy("leaf")
-        .agg(F.sort_array(F.collect_list(F.struct("place", F.col("top.word").alias("word")))).alias("fixed"))
+        attach(placed, frequent, word, ["template"])
+        .groupBy("leaf", "template", "texts", "n")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"),
+            F.min(F.struct("having", "place", "word")).alias("rarest"),
+        )
+        .where(F.size("fixed") + depth >= F.greatest(F.lit(depth + 1), F.ceil(similar * F.col("n"))))
+        .withColumn("group", F.xxhash64("leaf", "fixed"))
+    )
+    fixed = checkpointed(fixed)
+    groups = (
+        fixed.groupBy("leaf", "group")
+        .agg(F.sum("texts").alias("texts"), F.min("fixed").alias("needed"), F.min("rarest").alias("rarest"))
+        .where(F.col("texts") >= least)
+        .select("leaf", "group", "needed", "rarest.place", "rarest.word")
+    )
+    # A template is looked up by its rarest constant word, by every line that has this word there.
+    lines = fixed.select("leaf", "template", "fixed", F.inline("fixed"))
+    fits = (
+        attach(lines, groups, word, ["template"])
+        .where(F.size(F.array_except("needed", "fixed")) == 0)
+        .select("leaf", "template", "group")
     )
-    fits = F.forall("fixed", lambda x: F.get(F.col("words"), x["place"]) == x["word"])
-    enough = F.size("fixed") >= F.greatest(F.lit(depth + 1), F.ceil(similar * F.size("words")))
-    return attach(inside, fixed, ["leaf"], ["key", "at"]).where(enough & fits).select("key", "body", "at", "leaf", "mark")
+    return attach(inside.drop("line"), fits, ["leaf", "template"], ["key", "at"]).select("key", "body", "at", "mark", "group")
 
 
 def _signed(votes: DataFrame) -> DataFrame:
@@ -133,7 +168,6 @@ def recurring_lines(
     share: float = 0.25,
     stray: float = 0.02,
     depth: int = 3,
-    constant: float = 0.9,
     similar: float = 0.6,
 ) -> DataFrame:
     """(key, body, lines, drop) per distinct document with lines: how many lines it has and the
@@ -141,8 +175,9 @@ def recurring_lines(
 
     A template recurs if at least ``least`` unlike documents hold it. Texts that agree in a mark are
     near copies if ``share`` of them have one signature; ``stray`` of the near copies may differ in all
-    marks and are not taken for unlike documents. In a leaf, a word is constant if ``constant`` of the lines have it there,
-    and there is a general template if at least ``similar`` of the words are constant.
+    marks and are not taken for unlike documents. In a leaf, a word is constant if ``least`` texts have
+    it there, and there is a general template if at least ``similar`` of the words are constant and
+    ``least`` texts have lines with just these.
     """
     _, lead, leaf = _places(depth)
     lines = checkpointed(
@@ -175,13 +210,13 @@ def recurring_lines(
         .where((F.col("texts") >= least) & (F.col("low") < F.col("high")))
         .select("leaf")
     )
-    general = checkpointed(_general(docs, checkpointed(leaves), depth, constant, similar))
-    holders = general.select("key", "body", "leaf", "mark").distinct().join(per_doc.select("key", "body", "ends"), ["key", "body"])
-    alike = _unlike(_signed(holders), "leaf", least, share, stray)
+    general = checkpointed(_general(docs, checkpointed(leaves), depth, least, similar))
+    holders = general.select("key", "body", "group", "mark").distinct().join(per_doc.select("key", "body", "ends"), ["key", "body"])
+    alike = _unlike(_signed(holders), "group", least, share, stray)
     found = (
         attach(lines.select("key", "body", "at", "template"), same, ["template"], ["key", "at"])
         .select("key", "body", "at")
-        .unionByName(attach(general, alike, ["leaf"], ["key", "at"]).select("key", "body", "at"))
+        .unionByName(attach(general, alike, ["group"], ["key", "at"]).select("key", "body", "at"))
     )
     drop = found.groupBy("key", "body").agg(F.collect_set("at").alias("drop"))
     return per_doc.select("key", "body", "lines").join(drop, ["key", "body"], "left")
