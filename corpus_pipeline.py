@@ -5,8 +5,10 @@ return the columns of documents; the last returns what the mix takes of each doc
 each stage as Parquet to the shared folder and reads it again, so a later stage never recomputes an
 earlier one and survives lost executors.
 
-Edge cases: rows that share a doc_id stay or go together; a document without a doc_id is never
-dropped as a near copy; a document that loses all its lines stays with an empty text.
+Edge cases: rows are told apart by doc_id and text, so rows that share a doc_id are judged one by one;
+of repeated rows one stays, and a document without a doc_id stays only if its group has none with one;
+rows without words are copies only if doc_id and text are equal; a document that loses all its lines
+stays with an empty text.
 """
 
 from __future__ import annotations
@@ -38,9 +40,22 @@ def lines(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """One document, that with the smallest id, of each group of near copies."""
-    others = similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that with the smallest id, of each group of near copies."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = similar_documents(keyed.select(F.col("__key").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("__key"), "component_id"
+    )
+    least = (
+        keyed.select("__key", "doc_id")
+        .distinct()
+        .join(groups.distinct(), "__key")
+        .groupBy("component_id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
+        .select("first.__key")
+    )
+    # Repeated rows are reduced before they are shuffled.
+    rows = keyed.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(least, "__key", "left_semi").select("row.*")
 
 
 def benchmark(spark, docs, sf_dir):

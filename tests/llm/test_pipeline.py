@@ -47,3 +47,13 @@ def test_pipeline_over_planted_documents(spark, tmp_path):
     assert not {i for i, _ in leaks} & ids[4]
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, final.collect()), key=str) == sorted(map(tuple, seen[-1].collect()), key=str)
+
+
+def test_near_copies_by_row(spark, tmp_path):
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(300)], k=60))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (3, text(4))]
+    rows += [(None, text(1)), (None, text(5)), (None, text(5)), (None, text(6)), (7, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()), key=str)
+    wanted = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (None, text(5)), (None, text(6)), (7, None), (8, None), (8, "")]
+    assert got == sorted(wanted, key=str)
