@@ -188,6 +188,16 @@ def test_templates_that_share_a_leaf(spark):
     assert all(got[i] == t for i, t, _ in prose)
 
 
+def test_long_lines_of_few_unlike_documents(spark):
+    rng = random.Random(29)
+    text = lambda n: " ".join(f"v{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(n))
+    body = lambda: "\n".join(text(9) for _ in range(5))
+    ends = [("All rights reserved.", 7), ("Read more", 7), ("Made for four pages", 4), ("Read on", 12)]
+    docs = [(100 * k + i, f"{body()}\n{end}", "a") for k, (end, n) in enumerate(ends) for i in range(n)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(frame(spark, docs)).collect()}
+    assert got == {i: int(i // 100 in (0, 3)) for i, _, _ in docs}
+
+
 def sellers(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]

@@ -129,14 +129,15 @@ def _signed(votes: DataFrame) -> DataFrame:
     )
 
 
-def _unlike(holders: DataFrame, key: str, least: int, share: float, stray: float) -> DataFrame:
-    """Keys that enough unlike documents hold, of (key, body, signature, parts)."""
+def _unlike(holders: DataFrame, key: str, share: float, stray: float) -> DataFrame:
+    """Keys that enough unlike documents hold, of (key, body, signature, parts, least): how many are
+    enough depends on the key."""
     held = checkpointed(
         holders.groupBy(key, "body")
-        .agg(F.min(F.struct("signature", "parts")).alias("s"))
+        .agg(F.min(F.struct("signature", "parts", "least")).alias("s"))
         .groupBy(key, "s")
         .agg(F.count(F.lit(1)).alias("texts"))
-        .select(key, "s.signature", "s.parts", "texts")
+        .select(key, "s.signature", "s.parts", "s.least", "texts")
     )
     by_part = held.select(key, "signature", "texts", F.explode("parts").alias("part"))
     crowds = checkpointed(
@@ -154,10 +155,10 @@ def _unlike(holders: DataFrame, key: str, least: int, share: float, stray: float
     )
     return (
         held.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("signatures"), F.sum(F.when(F.col("texts") > 1, F.col("texts")).otherwise(0)).alias("crowd"))
+        .agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("signatures"), F.sum(F.when(F.col("texts") > 1, F.col("texts")).otherwise(0)).alias("crowd"))
         .join(copies.groupBy(key).agg(F.count(F.lit(1)).alias("near"), F.sum("copies").alias("copies")), key, "left")
         .withColumn("unlike", F.col("signatures") - F.coalesce("near", F.lit(0)))
-        .where(F.col("unlike") >= least + stray * F.when(F.col("near") > 0, F.col("crowd") + F.col("copies")).otherwise(0))
+        .where(F.col("unlike") >= F.col("least") + stray * F.when(F.col("near") > 0, F.col("crowd") + F.col("copies")).otherwise(0))
         .select(key)
     )
 
@@ -165,6 +166,8 @@ def _unlike(holders: DataFrame, key: str, least: int, share: float, stray: float
 def recurring_lines(
     docs: DataFrame,
     least: int = 10,
+    least_long: int = 5,
+    long_words: int = 3,
     share: float = 0.25,
     stray: float = 0.02,
     depth: int = 3,
@@ -173,16 +176,19 @@ def recurring_lines(
     """(key, body, lines, drop) per distinct document with lines: how many lines it has and the
     positions (from 0, in the text split at newlines) of those whose template recurs.
 
-    A template recurs if at least ``least`` unlike documents hold it. Texts that agree in a mark are
+    A template recurs if at least ``least`` unlike documents hold it; for a whole line of at least
+    ``long_words`` words, ``least_long`` are enough. Texts that agree in a mark are
     near copies if ``share`` of them have one signature; ``stray`` of the near copies may differ in all
     marks and are not taken for unlike documents. In a leaf, a word is constant if ``least`` texts have
     it there, and there is a general template if at least ``similar`` of the words are constant and
     ``least`` texts have lines with just these.
     """
-    _, lead, leaf = _places(depth)
+    words, lead, leaf = _places(depth)
+    needed = F.when(words >= long_words, least_long).otherwise(least)
     lines = checkpointed(
         _lines(docs).select(
-            "key", "body", "at", leaf.alias("leaf"), F.xxhash64("line").alias("template"), F.xxhash64(lead).alias("mark")
+            "key", "body", "at", leaf.alias("leaf"), F.xxhash64("line").alias("template"), F.xxhash64(lead).alias("mark"),
+            needed.alias("least"),
         )
     )
     marks = F.array_sort(F.collect_set("mark"))
@@ -190,18 +196,19 @@ def recurring_lines(
         lines.groupBy("key", "body")
         .agg(
             marks.alias("ends"),
-            F.collect_set(F.struct("template", "leaf", "mark")).alias("votes"),
+            F.collect_set(F.struct("template", "leaf", "mark", "least")).alias("votes"),
             F.count(F.lit(1)).alias("lines"),
         )
         # With six ends, two at each side are left without any one of them.
         .withColumn("ends", F.when(F.size("ends") > 6, F.concat(F.slice("ends", 1, 3), F.slice("ends", -3, 3))).otherwise(F.col("ends")))
     )
     votes = per_doc.select("body", "ends", F.inline("votes"))
-    held = checkpointed(votes.select("template", "leaf", "body").distinct())
-    often = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least).select("template")
+    held = checkpointed(votes.select("template", "leaf", "body", "least").distinct())
+    often = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("least").alias("least"))
+    often = often.where("texts >= least").select("template")
     often = checkpointed(often)
     few = often.count() <= BROADCAST_LEAVES
-    same = _unlike(_signed(votes.join(F.broadcast(often) if few else often, "template")), "template", least, share, stray)
+    same = _unlike(_signed(votes.join(F.broadcast(often) if few else often, "template")), "template", share, stray)
     leaves = (
         held.groupBy("leaf", "body")
         .agg(F.min("template").alias("low"), F.max("template").alias("high"))
@@ -212,7 +219,7 @@ def recurring_lines(
     )
     general = checkpointed(_general(docs, checkpointed(leaves), depth, least, similar))
     holders = general.select("key", "body", "group", "mark").distinct().join(per_doc.select("key", "body", "ends"), ["key", "body"])
-    alike = _unlike(_signed(holders), "group", least, share, stray)
+    alike = _unlike(_signed(holders.withColumn("least", F.lit(least))), "group", share, stray)
     found = (
         attach(lines.select("key", "body", "at", "template"), same, ["template"], ["key", "at"])
         .select("key", "body", "at")
