@@ -34,6 +34,8 @@ from twinsift.session import checkpointed
 
 # Leaf lists up to so many rows (8 bytes each) are broadcast, larger ones shuffled.
 BROADCAST_LEAVES = 1_000_000
+# The same for words and templates of leaves, some 100 bytes each.
+BROADCAST_WORDS = 100_000
 
 
 def _masked(line: F.Column) -> F.Column:
@@ -87,8 +89,9 @@ def _general(docs: DataFrame, leaves: DataFrame, depth: int, least: int, similar
         "leaf", "template", "texts", F.size("words").alias("n"), F.posexplode("words").alias("place", "word")
     ).where(F.col("place") >= depth)
     frequent = checkpointed(placed.groupBy(*word).agg(F.sum("texts").alias("having")).where(F.col("having") >= least))
+    few_words = frequent.count() <= BROADCAST_WORDS
     fixed = (
-        attach(placed, frequent, word, ["template"])
+        (placed.join(F.broadcast(frequent), word) if few_words else attach(placed, frequent, word, ["template"]))
         .groupBy("leaf", "template", "texts", "n")
         .agg(
             F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"),
@@ -104,10 +107,12 @@ def _general(docs: DataFrame, leaves: DataFrame, depth: int, least: int, similar
         .where(F.col("texts") >= least)
         .select("leaf", "group", "needed", "rarest.place", "rarest.word")
     )
+    groups = checkpointed(groups)
+    few_groups = groups.count() <= BROADCAST_WORDS
     # A template is looked up by its rarest constant word, by every line that has this word there.
     lines = fixed.select("leaf", "template", "fixed", F.inline("fixed"))
     fits = (
-        attach(lines, groups, word, ["template"])
+        (lines.join(F.broadcast(groups), word) if few_groups else attach(lines, groups, word, ["template"]))
         .where(F.size(F.array_except("needed", "fixed")) == 0)
         .select("leaf", "template", "group")
     )
