@@ -30,8 +30,9 @@ def hot_keys(sized: DataFrame, keys: Sequence[str], count: str, hot_rows: int) -
     found = sized.where(F.col(count) >= limit).select(
         *keys, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias(_SLICES)
     )
-    found = checkpointed(found)
-    return None if found.isEmpty() else found
+    # At most MOST_HOT_KEYS rows; as local rows their size is known to every join planned on them.
+    rows = found.collect()
+    return sized.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def attach(
