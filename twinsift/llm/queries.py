@@ -6,16 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from twinsift.llm.conversation_repair import damage, repair
 from twinsift.llm.decontaminate import contaminated
 from twinsift.llm.embedding_join import near_duplicates
 from twinsift.llm.mixing import mix
 from twinsift.llm.ngram_join import similar_documents
+from twinsift.llm.packing import pack, pieces
 from twinsift.llm.quality_crf import score_quality
 from twinsift.llm.substring import remove_repeats
 from twinsift.llm.template_tree import drop_recurring_lines
 from twinsift.llm.toxicity import score_toxicity
 from twinsift.llm.url_filter import judge_urls
 from twinsift.llm.warc import read_archive, write_archive
+from twinsift.llm.whitening import whiten
 from twinsift.session import shared_dir
 
 QUERIES: dict = {}
@@ -263,3 +266,129 @@ def op3_quality_classifier(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op11_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+# The drawn damage, faults, costs and audits as SQL. A conversation is worked off from its end; v0 to v3
+# are the cost-to-go and best audit of the four grammar states.
+_CRC32 = """
+    xor(list_reduce(
+        [4294967295::bigint] || list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint),
+        lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))
+    ), 4294967295)
+"""
+
+
+def _least_of(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _step(cost: str, letter: str, state: int) -> str:
+    return f"{{'c': v{state}.c + {cost}, 'a': '{letter}' || v{state}.a}}"
+
+
+def _without_insert(state: int) -> str:
+    """Cost and audit of a state before a row, if nothing is inserted first."""
+    keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    given = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+    delete = _step("3", "D", state)
+    rerole = _step("2 + extra", "R", given)
+    cases = " ".join(
+        f"when initial = '{i}' then {_least_of(delete, rerole, _step('extra', 'K', then))}" for i, then in keep.items()
+    )
+    return f"case when gone then {delete} {cases} else {_least_of(delete, rerole)} end"
+
+
+@query(
+    rf"""
+    with recursive drawn as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {_CRC32.format(text="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d
+        from conversations
+    ),
+    damaged as (
+        select conv_id, turn, case when d = 4 then 'user' else role end as role,
+            case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+        from drawn, unnest(range(0, case when d = 3 then 2 else 1 end)) as t(i) where d <> 0
+    ),
+    placed as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as k,
+            count(*) over (partition by conv_id) as n,
+            regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as final
+        from damaged
+    ),
+    faults as (
+        select *, final = '' as blank, final <> '' and nth > 1 as duplicate,
+            final not in ('', '.', '!', '?') and nth = 1 as truncated, substr(role, 1, 1) as initial
+        from (select *, row_number() over (partition by conv_id, role, text order by k) as nth from placed)
+    ),
+    judged as (
+        select *, blank or duplicate as gone, truncated::int as extra,
+            coalesce(lag(initial) over (partition by conv_id order by k) || initial not in ('su', 'ua', 'au'), false) as illegal
+        from faults
+    ),
+    solved as (
+        select conv_id, n + 1 as k, {{'c': 0, 'a': ''}} as v0, {{'c': 4, 'a': 'II'}} as v1,
+            {{'c': 2, 'a': 'I'}} as v2, {{'c': 0, 'a': ''}} as v3
+        from (select distinct conv_id, n from judged)
+        union all
+        select conv_id, k, {_least_of("n0", "{'c': i2.c + 2, 'a': 'I' || i2.a}")}, {_least_of("n1", "{'c': i2.c + 2, 'a': 'I' || i2.a}")},
+            i2, {_least_of("n3", "{'c': n2.c + 2, 'a': 'I' || n2.a}")}
+        from (
+            select *, {_least_of("n2", "{'c': n3.c + 2, 'a': 'I' || n3.a}")} as i2
+            from (
+                select j.conv_id, j.k, {", ".join(f"{_without_insert(s)} as n{s}" for s in range(4))}
+                from solved s join judged j on j.conv_id is not distinct from s.conv_id and j.k = s.k - 1
+            )
+        )
+    ),
+    audits as (select conv_id, v0.c as cost, v0.a as audit from solved where k = 1),
+    letters as (
+        select conv_id, unnest(string_split(audit, '')) as letter, unnest(range(1, length(audit) + 1)) as pos from audits where audit <> ''
+    ),
+    numbered as (
+        select *, sum((letter <> 'I')::int) over w as k, sum((letter <> 'D')::int) over w as nth_out
+        from letters window w as (partition by conv_id order by pos)
+    ),
+    opened as (
+        select x.conv_id, x.pos, x.letter, x.nth_out, j.role, j.text, bool_or(x.nth_out = 1 and x.letter = 'K' and j.initial = 's')
+            over (partition by x.conv_id) as with_system
+        from numbered x left join judged j on j.conv_id is not distinct from x.conv_id and j.k = x.k and x.letter <> 'I'
+        where x.letter <> 'D'
+    ),
+    written as (
+        select conv_id, string_agg(
+                case when letter = 'K' then role when (nth_out + with_system::int) % 2 = 1 then 'user' else 'assistant' end
+                    || ':' || case when letter = 'I' then '' else text end, chr(10) order by pos) as repaired
+        from opened group by conv_id
+    ),
+    totals as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank,
+            sum(duplicate::int) as duplicate, sum(truncated::int) as truncated, sum(illegal::int) as illegal
+        from judged group by conv_id
+    )
+    select c.conv_id, {", ".join(f"coalesce({x}, 0)::bigint as {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+        coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+    from (select distinct conv_id from conversations) c
+    left join totals t on t.conv_id is not distinct from c.conv_id
+    left join audits a on a.conv_id is not distinct from c.conv_id
+    left join written w on w.conv_id is not distinct from c.conv_id
+    """
+)
+def op12_conversation_structure_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damage(conversations), conversations)
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
