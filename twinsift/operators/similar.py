@@ -3,9 +3,9 @@
 Prints are first reduced to distinct values, so copies never meet each other. Pairs of prints
 come from bit blocks: two prints within ``threshold`` must be close in at least one block, so
 each print is filed under its block value and under every value one bit away, and only prints
-filed under the same value are compared. A block value shared by too many prints is never
-compared as a whole; its prints are filed again by the bits not used yet, until the buckets are
-small. Nothing is capped: the search finds every pair.
+filed under the same value are compared. A crowded bucket is cut into slices and each pair of slices
+is a task of its own. Where even that is too much work, its prints are filed again by the bits not
+used yet, as long as this makes the buckets smaller. Nothing is capped: the search finds every pair.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from twinsift.functions.fingerprints import from_hex64, hamming
 from twinsift.operators.components import connected_components
 from twinsift.operators.skew import attach
+from twinsift.operators.slices import class_sizes, triangle_join
 from twinsift.schemas import DEFAULT_THRESHOLD, PHASH
 from twinsift.session import checkpointed
 from twinsift.sources.tables import files_in_roots
 
-# Buckets above this size are refined instead of compared.
+# Buckets above this size are compared slice by slice; a slice has as many prints at most.
 BUCKET_ROWS = 20_000
-# A large bucket in which all but this share of BUCKET_ROWS flip the same bit is compared
-# directly: rows that flip the same bit need no comparison here.
-FEW_SHARE = 20
+# A bucket is filed again if it needs more comparisons than a bucket of this size compared as a whole.
+REFINE_ROWS = 1_000_000
 
 
 def similar_candidates(
@@ -81,7 +81,7 @@ def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
     At the first level all rows follow the same rules, so these are a constant; later the small
     rule table (fixed by the threshold, not by the data) is broadcast and joined on the path.
     """
-    kept = [f"flip{i}" for i in range(level + 1)]
+    kept = [f"flip{i}" for i in range(level + 1)] + (["parent"] if level else [])
     if level == 0:
         constant = F.array(
             *[
@@ -149,43 +149,25 @@ def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> D
     return pairs
 
 
-def _split_lopsided(
-    rows: DataFrame, level: int, threshold: int, few: int, hot_rows: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """(rows still to refine, pairs of the buckets that need no refining) of large buckets.
+def _compare_slices(rows: DataFrame, level: int, threshold: int, links_only: bool, slice_rows: int) -> DataFrame:
+    """What ``_compare`` finds, for buckets cut into slices. ``rows`` has the classes of its bucket.
 
-    One block value held by many prints floods the buckets one bit away as well, where nearly
-    all rows flip the same bit. There the few other rows (a bounded list per bucket) are
-    compared with all rows, which stay spread over tasks.
+    A block value held by many prints floods the buckets one bit away as well, where nearly all rows
+    flip the same bit. These do not meet each other, so such a bucket costs its few other rows only.
     """
-    flips = [f"flip{i}" for i in range(level + 1)]
-    flip, bucket = flips[-1], ["path", "bucket"]
-    classes = rows.groupBy(*bucket, flip).agg(F.count(F.lit(1)).alias("n"))
-    shape = classes.groupBy(*bucket).agg(
-        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by(flip, "n").alias("top")
-    )
-    lopsided = (F.col("top") != 0) & (F.col("size") - F.col("most") <= few)
-    told = checkpointed(
-        attach(rows, shape, bucket, ["print"], counts="size", hot_rows=hot_rows).select(
-            *rows.columns, "size", "top", lopsided.alias("lopsided")
-        )
-    )
-    flooded = told.where("lopsided").drop("lopsided")
-    others = flooded.where(F.col(flip) != F.col("top")).groupBy(*bucket, "size").agg(
-        F.collect_list(F.struct(F.col("print").alias("other"), *[F.col(f).alias(f"{f}_o") for f in flips])).alias("others")
-    )
-    met = attach(flooded.drop("size"), others, bucket, ["print"], counts="size", hot_rows=hot_rows).select(
-        "print", "top", *flips, F.inline("others")
-    )
-    # Two of the few meet twice, so only one order counts.
-    met = met.where((F.col("print") < F.col("other")) | ((F.col("print") > F.col("other")) & (F.col(flip) == F.col("top"))))
-    first = F.col("print") < F.col("other")
-    pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
-    pairs = met.select(
-        pick("print", "other", "a"), pick("other", "print", "b"),
-        *[pick(f, f"{f}_o", f"{f}_a") for f in flips], *[pick(f"{f}_o", f, f"{f}_b") for f in flips],
-    ).where((hamming(F.col("a"), F.col("b")) <= threshold) & _meets(flips))
-    return told.where("NOT lopsided").select(*rows.columns), pairs.select("a", "b")
+    last = f"flip{level}"
+    kept = [f"flip{i}" for i in range(level)]
+    near = hamming(F.col("print"), F.col("hub")) <= threshold
+    rows = rows.withColumn("near", near)
+    met = triangle_join(rows, ["path", "bucket"], "print", last, ["near", *kept], slice_rows)
+    match = (hamming(F.col("print_a"), F.col("print_b")) <= threshold) & _meets([*kept, last])
+    if links_only:
+        match = match & ~(F.col("near_a") & F.col("near_b"))
+    pairs = met.where(match).select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
+    if links_only:
+        spokes = rows.where("near AND print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
+        pairs = pairs.unionByName(spokes)
+    return pairs
 
 
 def print_counts(candidates: DataFrame) -> DataFrame:
@@ -196,7 +178,8 @@ def print_counts(candidates: DataFrame) -> DataFrame:
 
 
 def _search(
-    distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int, hot_rows: int | None = None
+    distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int, hot_rows: int | None = None,
+    refine_rows: int = REFINE_ROWS,
 ) -> DataFrame:
     if threshold < 0:
         raise ValueError("threshold must not be negative")
@@ -204,34 +187,43 @@ def _search(
         return distinct.sparkSession.createDataFrame([], "a long, b long")
     found = None
     prints = distinct.count()
-    may_be_hot = prints > bucket_rows
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
     paths = {0: list(range(64))}
-    level = 0
+    bucket, level = ["path", "bucket"], 0
     while True:
         rules, below = _children(paths, threshold)
         total = prints * len(rules) if level == 0 else None
         rows = _sized(_file_under(rows, rules, level), level, total, hot_rows)
-        paths = {p: free for p, free in below.items() if len(free) > threshold}
-        if not may_be_hot or not paths:
-            last = _compare(rows, level, threshold, links_only)
-            return (last if found is None else found.unionByName(last)).distinct()
-        refine = (F.col("size") > bucket_rows) & F.col("path").isin(list(paths))
-        small = _compare(rows.where(~refine), level, threshold, links_only)
+        if prints <= bucket_rows:
+            return _compare(rows, level, threshold, links_only).distinct()
+        small = _compare(rows.where(F.col("size") <= bucket_rows), level, threshold, links_only)
         found = small if found is None else found.unionByName(small)
-        rows = checkpointed(rows.where(refine).drop("size", "hub"))
-        if rows.isEmpty():
+        crowded = checkpointed(rows.where(F.col("size") > bucket_rows))
+        if crowded.isEmpty():
+            return found.distinct()
+        shapes = class_sizes(crowded, bucket, f"flip{level}")
+        told = checkpointed(
+            attach(crowded.drop("size"), shapes, bucket, ["print"], counts="size", hot_rows=hot_rows)
+        )
+        paths = {p: free for p, free in below.items() if len(free) > threshold}
+        deep = (F.col("work") > float(refine_rows) ** 2 / 2) & F.col("path").isin(list(paths))
+        if level:  # filing again must have made the bucket smaller
+            deep = deep & (F.col("size") <= F.col("parent") / 2)
+        found = found.unionByName(_compare_slices(told.where(~deep), level, threshold, links_only, bucket_rows))
+        rows = told.where(deep)
+        if not paths or rows.isEmpty():
             return found.distinct()
-        rows, pairs = _split_lopsided(rows, level, threshold, max(1, bucket_rows // FEW_SHARE), hot_rows)
-        found = found.unionByName(pairs)
+        rows = rows.drop("hub", "classes", "work", "parent").withColumnRenamed("size", "parent")
         level += 1
 
 
 def similar_pairs(
-    prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS
+    prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS,
+    refine_rows: int = REFINE_ROWS,
 ) -> DataFrame:
     """Every pair of distinct prints within the threshold: print_a < print_b, distance."""
-    pairs = _search(checkpointed(prints.select("print").distinct()), threshold, False, bucket_rows)
+    distinct = checkpointed(prints.select("print").distinct())
+    pairs = _search(distinct, threshold, False, bucket_rows, refine_rows=refine_rows)
     return pairs.select(
         F.col("a").alias("print_a"), F.col("b").alias("print_b"),
         hamming(F.col("a"), F.col("b")).alias("distance"),
@@ -240,7 +232,7 @@ def similar_pairs(
 
 def similar_links(
     prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS,
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, refine_rows: int = REFINE_ROWS,
 ) -> DataFrame:
     """Enough pairs (src, dst) within the threshold to connect what all pairs connect.
 
@@ -248,7 +240,7 @@ def similar_links(
     dense cluster costs one link per print and bucket instead of all its pairs.
     """
     distinct = checkpointed(prints.select("print").distinct())
-    return _as_links(_search(distinct, threshold, True, bucket_rows, hot_rows))
+    return _as_links(_search(distinct, threshold, True, bucket_rows, hot_rows, refine_rows))
 
 
 def _as_links(links: DataFrame) -> DataFrame:
