@@ -52,41 +52,7 @@ def upsert_files(files: DataFrame, listing: DataFrame, job_id: str, now: Column
 
     ``listing`` has one row per path. New ids continue after the highest id in path order.
     """
-    now = F.current_timestamp() if now is None else now
-    listed = [c for c in files.columns if c in listing.columns and c not in ("abs_path", *_KEPT)]
-    seen = listing.select("abs_path", F.lit(True).alias("seen"), *[F.col(c).alias(f"new_{c}") for c in listed])
-
-    def current(c: str) -> Column:
-        if c in ("abs_path", "updated_at", *_KEPT):
-            return F.col(c)
-        fresh = {"last_seen_job_id": F.lit(job_id), "is_present": F.lit(1)}.get(
-            c, F.col(f"new_{c}") if c in listed else F.lit(None)
-        )
-        kind = files.schema[c].dataType
-        return F.when(F.col("seen"), fresh.cast(kind)).otherwise(F.col(c)).alias(c)
-
-    known = files.join(seen, "abs_path", "left").select(*[current(c) for c in files.columns])
-
-    inserted = {
-        "first_seen_job_id": F.lit(job_id),
-        "last_seen_job_id": F.lit(job_id),
-        "is_present": F.lit(1),
-        "updated_at": now,
-        "file_id": F.col("file_id"),
-        "abs_path": F.col("abs_path"),
-    }
-    last_id = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
-    fresh = listing.drop(*[c for c in _KEPT if c in listing.columns]).join(
-        files.select("abs_path"), "abs_path", "left_anti"
-    )
-    numbered = global_index(fresh, ["abs_path"], "file_id", start=last_id + 1)
-    new = numbered.select(
-        *[
-            inserted.get(c, F.col(c) if c in listed else F.lit(None)).cast(files.schema[c].dataType).alias(c)
-            for c in files.columns
-        ]
-    )
-    return known.unionByName(new)
+    return refresh_index(files, listing, [], job_id, now).drop("changed")
 
 
 def mark_missing(
@@ -117,7 +83,8 @@ def refresh_index(
     """Index after a scan with ``changed`` per row: detect, upsert and mark missing in one join.
 
     Gives what :func:`detect_changes`, :func:`upsert_files` and :func:`mark_missing` give one
-    after another, but shuffles the index and the listing (one row per path) only once.
+    after another, but shuffles the index and the listing (one row per path) only once. An index
+    that is stored in buckets of the path (``sources.tables.save_bucketed``) is not shuffled at all.
     """
     now = F.current_timestamp() if now is None else now
     listed = [c for c in files.columns if c in listing.columns and c not in ("abs_path", *_KEPT)]

@@ -5,13 +5,12 @@ and batch. Two prints within the threshold differ by few bits in some block, so
 its own block values and all values that near them; known prints are read as they are stored and never
 filed again. A pair counts in the first block that shows it, so it is found once.
 
-Groups are kept as links and labels. Removed prints take their links along; components that lose or
-gain a link are labelled again from the links of their own members, all others keep their labels.
+Components follow: those that a new print touches grow as one node each, those that lose a print are
+searched again among their own members, all others keep their labels.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
 from twinsift.operators.components import connected_components
+from twinsift.operators.similar import similar_links
 from twinsift.operators.skew import attach
 from twinsift.operators.slices import SLICE_ROWS, sliced_join
 from twinsift.schemas import DEFAULT_THRESHOLD
@@ -96,99 +96,94 @@ def new_prints(index: DataFrame, prints: DataFrame) -> DataFrame:
     return prints.select("print").distinct().join(known, "print", "left_anti")
 
 
+def _meet(
+    homes: DataFrame, probes: DataFrame, threshold: int, slice_rows: int, hot_rows: int | None
+) -> DataFrame:
+    """Pairs (print, probe) within the threshold, each in the first block that shows it."""
+    met = sliced_join(homes, probes, ["block", "value"], ["print"], ["probe"], slice_rows, hot_rows)
+    a, b = F.col("print"), F.col("probe")
+    near = (hamming(a, b) <= threshold) & (F.col("block") == _first_block(a, b, threshold))
+    return met.where(near).select("print", "probe")
+
+
 def delta_pairs(
     index: DataFrame, prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, slice_rows: int = SLICE_ROWS,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Pairs (print_a < print_b, distance) within the threshold with at least one print new to the index.
 
-    A new print meets the stored prints and the other new ones; two stored prints never meet.
+    New prints meet the stored ones and each other; two stored prints never meet.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     fresh = checkpointed(new_prints(index, prints))
     probes = probe_prints(fresh, threshold)
-    homes = index.select(*["block", "value", "print"], F.lit(False).alias("fresh")).unionByName(
-        file_prints(fresh, threshold).withColumn("fresh", F.lit(True))
-    )
-    met = sliced_join(homes, probes, ["block", "value"], ["print"], ["probe"], slice_rows, hot_rows)
+    old = _meet(index, probes, threshold, slice_rows, hot_rows)
+    own = _meet(file_prints(fresh, threshold), probes, threshold, slice_rows, hot_rows).where("print < probe")
     a, b = F.col("print"), F.col("probe")
-    near = (
-        (a != b)
-        & (~F.col("fresh") | (a < b))
-        & (hamming(a, b) <= threshold)
-        & (F.col("block") == _first_block(a, b, threshold))
-    )
-    return met.where(near).select(
+    return old.unionByName(own).select(
         F.least(a, b).alias("print_a"), F.greatest(a, b).alias("print_b"), hamming(a, b).alias("distance")
     )
 
 
-# ---- components that follow
-
-
-@dataclass(frozen=True)
-class PrintGroups:
-    """Links (src, dst) between prints and the component (id, component) of every linked print."""
-
-    links: DataFrame
-    labels: DataFrame
+def pairs_after(
+    stored_pairs: DataFrame, index: DataFrame, added: DataFrame, removed: DataFrame, threshold: int = DEFAULT_THRESHOLD,
+    slice_rows: int = SLICE_ROWS, hot_rows: int | None = None,
+) -> DataFrame:
+    """All pairs after prints came and went: stored ones whose prints are left, and those of new prints."""
+    gone = checkpointed(removed.select("print").distinct())
+    live = index.join(gone, "print", "left_anti").select(*index.columns)
+    kept = stored_pairs.select("print_a", "print_b", "distance")
+    for end in ("print_a", "print_b"):
+        kept = kept.join(gone.withColumnRenamed("print", end), end, "left_anti")
+    return kept.select("print_a", "print_b", "distance").unionByName(
+        delta_pairs(live, added, threshold, slice_rows, hot_rows)
+    )
 
 
-def label_links(links: DataFrame, hot_rows: int | None = None) -> PrintGroups:
-    links = checkpointed(links.select("src", "dst"))
-    return PrintGroups(links, connected_components(links, hot_rows=hot_rows))
+# ---- components that follow
 
 
-def update_groups(
-    groups: PrintGroups, added: DataFrame, removed: DataFrame, hot_rows: int | None = None
-) -> PrintGroups:
-    """Groups after links (src, dst) were added and prints removed.
+def update_labels(
+    labels: DataFrame, index: DataFrame, added: DataFrame, removed: DataFrame, threshold: int = DEFAULT_THRESHOLD,
+    slice_rows: int = SLICE_ROWS, hot_rows: int | None = None,
+) -> DataFrame:
+    """Components (id, component) of near prints after prints were added to and removed from the index.
 
-    A component without a removed print only grows: it stands for all its members in the rounds that
-    follow. One that lost a print may fall apart and is labelled from its remaining links. Labels
-    of all other components stay as they are; only the labels and links are read for them.
+    ``labels`` are those before, of every print with a near one, and ``index`` holds the prints before.
+    A component without a removed print can only grow: in the rounds that follow it is one node, however
+    many prints it has. One that lost a print may fall apart, so its other prints are searched again
+    among themselves. All other labels stay as they are.
     """
-    gone = checkpointed(removed.select(F.col("print").alias("id")).distinct())
-    hurt = checkpointed(groups.labels.join(gone, "id").select("component").distinct())
-    broken = groups.labels.join(hurt, "component", "left_semi").select("id")
-    # Links of components that lost a print, without those of the print.
-    own = groups.links.join(broken.withColumnRenamed("id", "src"), "src", "left_semi")
-    for end in ("src", "dst"):
-        own = own.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    whole = checkpointed(groups.labels.join(hurt, "component", "left_anti"))
-    apart = connected_components(own, hot_rows=hot_rows)
-    labels = checkpointed(whole.select("id", "component").unionByName(apart.select("id", "component")))
-
-    added = checkpointed(added.select("src", "dst"))
-    named = added
-    for end in ("src", "dst"):
-        known = labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
-        # A print with many new links is the end of all of them.
-        ends = named.groupBy(end).agg(F.count(F.lit(1)).alias("held")).join(known, end, "left")
-        named = attach(named, ends, [end], ["dst" if end == "src" else "src"], how="left", counts="held", hot_rows=hot_rows).drop("held")
-    contracted = named.select(
-        "src", "dst",
-        F.coalesce("src_component", "src").alias("from"), F.coalesce("dst_component", "dst").alias("to"),
+    gone = checkpointed(removed.select("print").distinct())
+    hurt = checkpointed(labels.join(gone.withColumnRenamed("print", "id"), "id").select("component").distinct())
+    left = (
+        labels.join(hurt, "component", "left_semi")
+        .select(F.col("id").alias("print"))
+        .join(gone, "print", "left_anti")
+    )
+    again = connected_components(similar_links(left, threshold, hot_rows=hot_rows), hot_rows=hot_rows)
+    labels = checkpointed(
+        labels.join(hurt, "component", "left_anti").select("id", "component").unionByName(again.select("id", "component"))
+    )
+
+    live = index.join(gone, "print", "left_anti").select(*index.columns)
+    fresh = checkpointed(new_prints(live, added))
+    met = checkpointed(_meet(live, probe_prints(fresh, threshold), threshold, slice_rows, hot_rows))
+    # A stored print stands for its component; one link of a new print to a component is enough.
+    held = met.groupBy("print").agg(F.count(F.lit(1)).alias("held"))
+    named = held.join(labels.withColumnRenamed("id", "print"), "print", "left").select(
+        "print", "held", F.coalesce("component", "print").alias("node")
     )
-    merged = connected_components(
-        contracted.select(F.col("from").alias("src"), F.col("to").alias("dst")).where("src <> dst").distinct(),
-        hot_rows=hot_rows,
-    ).withColumnRenamed("component", "whole")
-    fresh = (
-        contracted.select(F.explode(F.array("src", "dst")).alias("id"))
-        .distinct()
-        .join(labels.select("id"), "id", "left_anti")
-        .withColumn("component", F.col("id"))
+    to_old = attach(met, named, ["print"], ["probe"], counts="held", hot_rows=hot_rows).select(
+        F.col("probe").alias("src"), F.col("node").alias("dst")
     )
-    every = labels.unionByName(fresh)
-    sized = every.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
-    moved = merged.withColumnRenamed("id", "component").join(sized, "component")
-    relabelled = attach(every, moved, ["component"], ["id"], how="left", counts="held", hot_rows=hot_rows)
-    kept = groups.links
-    for end in ("src", "dst"):
-        kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    return PrintGroups(
-        checkpointed(kept.select("src", "dst").unionByName(added)),
-        checkpointed(relabelled.select("id", F.coalesce("whole", "component").alias("component"))),
+    edges = to_old.distinct().unionByName(similar_links(fresh, threshold, hot_rows=hot_rows))
+    merged = checkpointed(connected_components(edges, hot_rows=hot_rows).withColumnRenamed("component", "whole"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    moved = merged.withColumnRenamed("id", "component").join(sizes, "component")
+    grown = attach(labels, moved, ["component"], ["id"], how="left", counts="held", hot_rows=hot_rows)
+    joined = merged.join(labels.select("id"), "id", "left_anti").select("id", F.col("whole").alias("component"))
+    return checkpointed(
+        grown.select("id", F.coalesce("whole", "component").alias("component")).unionByName(joined)
     )

@@ -19,7 +19,8 @@ RULES = [
 ]
 FALLBACK_REASON = "fallback_lowest_file_id"
 
-_FILE_COLUMNS = ["width", "height", "size_bytes", "exif_datetime_original", "mtime_epoch_ns"]
+# What scoring needs to know of a file.
+FILE_COLUMNS = ["width", "height", "size_bytes", "exif_datetime_original", "mtime_epoch_ns"]
 
 
 def resolution() -> Column:
@@ -27,7 +28,7 @@ def resolution() -> Column:
 
 
 def with_file_attributes(items: DataFrame, files: DataFrame) -> DataFrame:
-    return items.join(files.select("file_id", *_FILE_COLUMNS), "file_id")
+    return items.join(files.select("file_id", *FILE_COLUMNS), "file_id")
 
 
 def group_extremes(members: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths as P
-from twinsift.functions.fingerprints import fingerprint
+from twinsift.functions.fingerprints import fingerprint, from_hex64
+from twinsift.operators.components import connected_components
 from twinsift.operators.decisions import unified_items
 from twinsift.operators.exact import exact_candidates, exact_group_items
+from twinsift.operators.maintenance import ExactState, build_state, load_state, members_of, refresh_state, save_state
 from twinsift.operators.outcomes import batch_status
+from twinsift.operators.print_index import store_prints, stored_prints
 from twinsift.operators.scoring import score_groups
-from twinsift.operators.similar import find_similar, similar_candidates
-from twinsift.session import checkpointed
+from twinsift.operators.similar import find_similar, similar_candidates, similar_links, similar_pairs
+from twinsift.session import checkpointed, shared_dir
+from twinsift.sources.tables import hashes_wide
 
 TRASH = "/nas/.trash"
 JOB = "job-current"
 
-_stored: dict[tuple, DataFrame] = {}
+_stored: dict[tuple, DataFrame | str] = {}
 
 
 def _store(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -28,6 +34,16 @@ def _store(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
+def _folder(spark: SparkSession, sf: str, name: str, fill) -> str:
+    """A shared folder that ``fill`` writes once per Spark application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fill(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -119,6 +135,70 @@ def similar_cands(spark: SparkSession, sf: str) -> DataFrame:
     return similar_candidates(files(spark, sf), file_hashes(spark, sf))
 
 
+# ---- what the scan before the current one stored
+
+
+def files_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the scan before: some of today's were unknown, those marked missing since were there."""
+    return files(spark, sf).where((F.col("file_id") - 1) % 10 != 0)
+
+
+def changed_since() -> Column:
+    """Whether a known file had other contents then; its print of another kind stands for the old one."""
+    return (F.col("file_id") - 1) % 7 == 0
+
+
+def hash_values(spark: SparkSession, sf: str) -> DataFrame:
+    return hashes_wide(file_hashes(spark, sf))
+
+
+def prints_before(spark: SparkSession, sf: str) -> DataFrame:
+    value = F.when(changed_since(), F.col("dhash64")).otherwise(F.col("phash64"))
+    known = files_before(spark, sf).select("file_id").join(hash_values(spark, sf), "file_id")
+    return known.select("file_id", from_hex64(value).alias("print"))
+
+
+def pairs_before(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(spark, sf, "pairs_before", lambda: similar_pairs(prints_before(spark, sf)))
+
+
+def labels_before(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(spark, sf, "labels_before", lambda: connected_components(similar_links(prints_before(spark, sf))))
+
+
+def print_index_before(spark: SparkSession, sf: str) -> DataFrame:
+    base = _folder(spark, sf, "print-index", lambda path: store_prints(prints_before(spark, sf), path, "first"))
+    return stored_prints(spark, base)
+
+
+def prints_gone(spark: SparkSession, sf: str) -> DataFrame:
+    return prints_before(spark, sf).select("print").distinct().join(
+        similar_cands(spark, sf).select("print").distinct(), "print", "left_anti"
+    )
+
+
+def members_before(spark: SparkSession, sf: str) -> DataFrame:
+    signature = F.when(changed_since(), F.col("phash64")).otherwise(F.col("blake3_full"))
+    known = files_before(spark, sf)
+    signed = known.select("file_id").join(hash_values(spark, sf), "file_id").select("file_id", signature.alias("signature"))
+    return members_of(signed, known)
+
+
+def exact_state_after(spark: SparkSession, sf: str) -> ExactState:
+    """The state that the scan before stored, brought up to date with the files that changed since."""
+
+    def store(path: str) -> None:
+        save_state(build_state(members_before(spark, sf), parts=16), path)
+        before = members_before(spark, sf).select("file_id", "signature")
+        now = members_of(exact_cands(spark, sf), files(spark, sf))
+        same = ["file_id", "signature"]
+        refresh_state(
+            spark, path, before.join(now.select(*same), same, "left_anti"), now.join(before, same, "left_anti"), parts=16
+        )
+
+    return load_state(spark, _folder(spark, sf, "exact-state", store))
+
+
 def exact_items(spark: SparkSession, sf: str) -> DataFrame:
     return _store(spark, sf, "exact_items", lambda: score_groups(
         exact_group_items(exact_cands(spark, sf), JOB), files(spark, sf), ["job_id", "signature"]))

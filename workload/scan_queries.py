@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints as fp
-from twinsift.operators import components, exact, index, scoring, similar
+from twinsift.operators import components, exact, index, maintenance, print_index, scoring, similar
 from twinsift.plans.scan import scan
-from twinsift.schemas import HASH_TYPES
+from twinsift.schemas import FILES, HASH_TYPES
 from twinsift.session import shared_dir
 from twinsift.sources import tables as src
 from twinsift.sources.listing import path_attributes
@@ -141,6 +141,29 @@ def i3_upsert_files(spark, sf):
     )
 
 
+@query("""
+    SELECT o.file_id, o.root_id, o.rel_path, o.abs_path, o.file_name, '.txt' AS extension, 'text/plain' AS mime_type,
+           coalesce(f.size_bytes, o.size_bytes) AS size_bytes, o.mtime_epoch_ns,
+           CASE WHEN f.abs_path IS NULL THEN o.width END AS width, CASE WHEN f.abs_path IS NULL THEN o.height END AS height,
+           CASE WHEN f.abs_path IS NULL THEN o.exif END AS exif_datetime_original, o.first_seen_job_id,
+           CASE WHEN f.abs_path IS NULL AND (o.root_id NOT IN (1, 2) OR o.is_present = 0) THEN o.last_seen_job_id ELSE 'job-current' END AS last_seen_job_id,
+           (CASE WHEN f.abs_path IS NOT NULL THEN 1 WHEN o.root_id IN (1, 2) THEN 0 ELSE o.is_present END)::INT AS is_present
+    FROM index_before o LEFT JOIN files f USING (abs_path)
+    UNION ALL
+    SELECT (SELECT max(file_id) FROM index_before) + row_number() OVER (ORDER BY abs_path), root_id, rel_path, abs_path, file_name, '.txt', 'text/plain',
+           size_bytes, mtime_epoch_ns, NULL, NULL, NULL, 'job-current', 'job-current', 1
+    FROM files WHERE abs_path NOT IN (SELECT abs_path FROM index_before)""")
+def i3_refresh_bucketed_index(spark, sf):
+    """A rescan over an index that is stored in buckets of its path; times of change aside, all columns."""
+    name = f"index_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    src.save_bucketed(d.prev_files(spark, sf), name, path, buckets=8)
+    listed = path_attributes(d.listing(spark, sf))
+    after = index.refresh_index(src.open_bucketed(spark, name, path, FILES, buckets=8), listed, [1, 2], d.JOB)
+    empty = ["ctime_epoch_ns", "inode", "dev", "exif_make", "exif_model", "updated_at", "changed"]
+    return after.drop(*empty)
+
+
 @query("""
     SELECT p.file_id, (CASE WHEN gone THEN 0 ELSE p.is_present END)::INT AS is_present,
            CASE WHEN gone THEN 'job-current' ELSE p.last_seen_job_id END AS last_seen_job_id
@@ -295,6 +318,40 @@ def g3_connected_components(spark, sf):
     return labels.join(sizes, "component").select(fp.to_hex64(F.col("id")).alias("print"), "linked")
 
 
+_PAIRS = """
+    SELECT lpad(lower(to_hex(least(a, b))), 16, '0') AS low, lpad(lower(to_hex(greatest(a, b))), 16, '0') AS high,
+           bit_count(xor(a, b))::INT AS distance
+    FROM near WHERE a < b"""
+
+
+def _hex_pairs(pairs):
+    a, b = fp.to_hex64(F.col("print_a")), fp.to_hex64(F.col("print_b"))
+    return pairs.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), "distance")
+
+
+@query(_PAIRS)
+def g2_similar_pairs_after_rescan(spark, sf):
+    """Pairs stored by the scan before, without those of removed prints, and the pairs of new prints."""
+    return _hex_pairs(print_index.pairs_after(
+        d.pairs_before(spark, sf), d.print_index_before(spark, sf), d.similar_cands(spark, sf), d.prints_gone(spark, sf)))
+
+
+@query(_PAIRS + """ AND (a NOT IN (SELECT p FROM before) OR b NOT IN (SELECT p FROM before))""")
+def g2_pairs_of_new_prints(spark, sf):
+    return _hex_pairs(print_index.delta_pairs(
+        d.print_index_before(spark, sf).join(d.prints_gone(spark, sf), "print", "left_anti").select("block", "value", "print"),
+        d.similar_cands(spark, sf)))
+
+
+@query("SELECT * FROM similar_members")
+def g4_similar_group_items_after_rescan(spark, sf):
+    """Components of the scan before, continued with the prints that came and went since."""
+    now = d.similar_cands(spark, sf)
+    labels = print_index.update_labels(
+        d.labels_before(spark, sf), d.print_index_before(spark, sf), now, d.prints_gone(spark, sf))
+    return similar.similar_group_items(now, labels, d.JOB)
+
+
 @query("SELECT * FROM similar_members")
 def g4_similar_group_items(spark, sf):
     return similar.find_similar(d.similar_cands(spark, sf), d.JOB, 8)
@@ -340,6 +397,17 @@ def k5_score_exact_groups(spark, sf):
     return scoring.score_groups(items, d.files(spark, sf), ["job_id", "signature"]).drop("job_id")
 
 
+@query("SELECT group_key AS signature, file_id, keep_score, reason, is_primary FROM items WHERE group_kind = 'exact'")
+def k5_exact_items_after_rescan(spark, sf):
+    """Scored items of the scan before, where only signatures of changed files were worked out again."""
+    return d.exact_state_after(spark, sf).items.drop("part")
+
+
+@query("SELECT * FROM exact_groups")
+def x3_exact_groups_after_rescan(spark, sf):
+    return maintenance.for_job(d.exact_state_after(spark, sf).groups, d.JOB)
+
+
 @query("""
     SELECT i.file_id, m.anchor_file_id, distance_to_anchor, confidence, i.keep_score, i.reason, i.is_primary
     FROM items i JOIN similar_members m ON m.file_id = i.file_id AND m.anchor_file_id::VARCHAR = i.group_key

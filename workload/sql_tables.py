@@ -36,6 +36,14 @@ TABLES = {
         SELECT file_id + 1000000, root_id, abs_path || '.old', size_bytes,
                mtime_epoch_ns, width, first_seen_job_id, last_seen_job_id, is_present
         FROM files WHERE doc_id % 13 = 0""",
+    "index_before": """
+        SELECT file_id, root_id, rel_path, abs_path, file_name, size_bytes - (CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS size_bytes,
+               mtime_epoch_ns, width, height, exif, first_seen_job_id, last_seen_job_id, is_present
+        FROM files WHERE doc_id % 10 <> 0
+        UNION ALL
+        SELECT file_id + 1000000, root_id, rel_path || '.old', abs_path || '.old', file_name || '.old', size_bytes, mtime_epoch_ns,
+               width, height, exif, first_seen_job_id, last_seen_job_id, is_present
+        FROM files WHERE doc_id % 13 = 0""",
     "changes": """
         SELECT f.abs_path, f.size_bytes, p.file_id IS NULL AS is_new,
                p.file_id IS NULL OR p.size_bytes <> f.size_bytes OR p.mtime_epoch_ns <> f.mtime_epoch_ns
@@ -82,6 +90,9 @@ TABLES = {
         SELECT pprint AS p, count(*) AS copies, min(file_id) AS first_id FROM similar_cands GROUP BY pprint""",
     "near": """
         SELECT a.p AS a, b.p AS b FROM nodes a JOIN nodes b ON a.p <> b.p AND bit_count(xor(a.p, b.p)) <= 8""",
+    "before": """
+        SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN dprint ELSE pprint END AS p
+        FROM prints JOIN files USING (file_id) WHERE doc_id % 10 <> 0""",
     "reached": """
         SELECT a AS start, b AS p FROM near UNION SELECT r.start, n.b FROM reached r JOIN near n ON n.a = r.p""",
     "labels_of": """
