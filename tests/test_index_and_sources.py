@@ -247,11 +247,22 @@ def test_storing_a_scan_twice_and_dropping_it(spark, tmp_path):
     assert rows(spark.read.parquet(f"{base}/exact_groups").select("job_id"), "job_id") == [("j/2",)]
 
 
-def test_the_ledger_only_grows(spark, tmp_path):
+def test_a_batch_that_is_appended_twice_is_in_the_ledger_once(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    tables.append_ledger(spark.range(3), path)
-    tables.append_ledger(spark.range(3, 5), path)
-    assert rows(spark.read.parquet(path), "id") == [(0,), (1,), (2,), (3,), (4,)]
+    first = movements(spark, (1, 1, "7", "/a", "/t/a", False), (2, 2, "7", "/b", "/t/b", False))
+    tables.append_ledger(first, path)
+    tables.append_ledger(movements(spark, (3, 1, "b/2", "/a", "/t/a", False)), path)
+    tables.append_ledger(first, path)
+    stored = tables.read_ledger(spark, path)
+    assert rows(stored.select("movement_id", "batch_id"), "movement_id") == [(1, "7"), (2, "7"), (3, "b/2")]
+    assert stored.schema == FILE_MOVEMENTS
+
+
+def test_pages_after_a_key_go_both_ways(spark):
+    df = spark.createDataFrame([(r, f) for r in (1, 2) for f in range(1, 5)], "root_id long, file_id long")
+    down = tables.page_after(df, ["root_id", "file_id"], (2, 2), 2, descending=True)
+    assert [tuple(r) for r in down.collect()] == [(2, 1), (1, 4)]
+    assert [r.file_id for r in tables.list_by_root(df, 1, limit=2, after=2).collect()] == [3, 4]
 
 
 def test_pages_follow_the_last_key(spark):

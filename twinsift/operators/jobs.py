@@ -10,6 +10,7 @@ from twinsift.operators.skew import attach, global_index
 from twinsift.schemas import ACTIVE_JOB_STATUSES, DEFAULT_JOB_TIMEOUT_SECONDS
 from twinsift.session import checkpointed
 from twinsift.sources.tables import page as page_of
+from twinsift.sources.tables import page_after
 
 METRICS = ["files_seen", "files_indexed", "exact_groups_found", "similar_groups_found", "reclaimable_bytes"]
 RUNTIME = ["status", "started_at", "finished_at", "error_message", *METRICS]
@@ -29,11 +30,20 @@ def filter_jobs(jobs: DataFrame, status: str | None = None, mode: str | None = N
 
 def list_jobs(
     jobs: DataFrame, status: str | None = None, mode: str | None = None, order: str = "desc",
-    page: int = 1, page_size: int = 50,
+    page: int = 1, page_size: int = 50, after: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page of matching jobs, one-row total)."""
+    """(page of matching jobs, one-row total).
+
+    ``after`` is the (requested_at, job_id) that the page before ended with; it takes the place of
+    ``page`` and costs the same however deep the page is.
+    """
     matching = filter_jobs(jobs, status, mode)
-    return page_of(matching, _direction(order), page, page_size), matching.agg(F.count(F.lit(1)).alias("total"))
+    ordered = _direction(order)
+    if after is None:
+        found = page_of(matching, ordered, page, page_size)
+    else:
+        found = page_after(matching, ["requested_at", "job_id"], after, page_size, descending=order == "desc")
+    return found, matching.agg(F.count(F.lit(1)).alias("total"))
 
 
 def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:

@@ -113,6 +113,48 @@ def evaluate_restore(plan: DataFrame, manifest: DataFrame, movements: DataFrame)
     return judged.unionByName(decided.withColumn("source_batch_id", F.lit(None).cast("string")))
 
 
+def executable(batches: DataFrame, items: DataFrame) -> DataFrame:
+    """Whether each batch (batch_id, status) can be carried out, with the reason if not."""
+    waits = items.where(F.coalesce("status", F.lit("pending")) == "pending").select("batch_id").distinct()
+    error = F.when(F.col("status") != "confirmed", "only confirmed batch can be executed").when(
+        F.col("waits").isNull(), "batch has no pending items"
+    )
+    return batches.join(waits.withColumn("waits", F.lit(True)), "batch_id", "left").select(
+        "batch_id", error.isNull().alias("can_execute"), error.alias("error")
+    )
+
+
+def evaluate_confirmed(
+    batches: DataFrame, items: DataFrame, manifest: DataFrame, movements: DataFrame, trash_dir: str, hard_delete: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(items, batches) after all confirmed batches (batch_id, action_type, status) were carried out.
+
+    Only pending items of confirmed batches are judged, by the action of their batch; all other items
+    and batches stay as they are. ``items`` has item_id, batch_id, file_id, source_path, target_path and
+    status; names that several moves want go by item id, whatever their batch.
+    """
+    if "error_message" not in items.columns:
+        items = items.withColumn("error_message", F.lit(None).cast("string"))
+    columns = items.columns
+    able = executable(batches, items).where("can_execute").select("batch_id")
+    action = batches.join(able, "batch_id").select("batch_id", F.col("action_type").alias("__action"))
+    sized = items.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__held"))
+    told = attach(items, action.join(sized, "batch_id"), ["batch_id"], ["item_id"], how="left", counts="__held")
+    told = checkpointed(told.drop("__held"))
+    of = lambda kind: told.where(F.col("__action") == kind).select(*columns)
+    judged = checkpointed(
+        evaluate_move(of("move_to_trash"), manifest, trash_dir).select(*columns)
+        .unionByName(evaluate_delete(of("delete_permanent"), manifest, hard_delete).select(*columns))
+        .unionByName(evaluate_restore(of("restore"), manifest, movements).select(*columns))
+    )
+    after = batch_status(judged).select("batch_id", F.col("status").alias("__after"))
+    status = F.coalesce("__after", "status").alias("status")
+    return (
+        told.where("__action IS NULL").select(*columns).unionByName(judged),
+        batches.join(after, "batch_id", "left").select(*[status if c == "status" else F.col(c) for c in batches.columns]),
+    )
+
+
 def batch_status(items: DataFrame) -> DataFrame:
     """Status of each batch after its items were carried out."""
     counted = items.groupBy("batch_id").agg(

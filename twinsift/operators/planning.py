@@ -53,6 +53,18 @@ def preview(ids: DataFrame, files: DataFrame, action: str, movements: DataFrame
     ).select(F.lit(action).alias("action_type"), "*")
 
 
+def preview_selection(ids: DataFrame, files: DataFrame, action: str, movements: DataFrame | None = None) -> DataFrame:
+    """Preview of files that were picked one by one (file_id, pos): an empty pick is refused, as are
+    ids that are not positive. A whole job without anything to clean up has a preview of zeros instead."""
+    kept, rejected = normalize_file_ids(ids)
+    bad = rejected.first()
+    if bad is not None:
+        raise ValueError(f"file_ids must be positive, not {bad.file_id}")
+    if kept.isEmpty():
+        raise ValueError("file_ids must not be empty")
+    return preview(kept, files, action, movements)
+
+
 def job_non_primary_files(exact_items: DataFrame, similar_items: DataFrame, job_id: str) -> DataFrame:
     """File ids that are a non-primary in a group of either kind."""
     pick = lambda items: items.where((F.col("job_id") == job_id) & (F.col("is_primary") == 0)).select("file_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinsift.operators.decisions import GROUP, MEMBER
 from twinsift.operators.skew import attach
 from twinsift.sources.tables import page as page_of
+from twinsift.sources.tables import page_after
 
 SCOPES = ["selected", "selected_groups", "all_in_group", "all_filtered"]
 
@@ -15,11 +16,16 @@ _ORDER = {"exact": "signature", "similar": "anchor_file_id"}
 
 
 def list_groups(
-    groups: DataFrame, kind: str, job_id: str, page: int = 1, page_size: int = 50
+    groups: DataFrame, kind: str, job_id: str, page: int = 1, page_size: int = 50, after: str | int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(page of group headers in creation order, one-row total)."""
+    """(page of group headers in creation order, one-row total).
+
+    ``after`` is the key (signature or anchor file) that the page before ended with, in place of ``page``.
+    """
     of_job = groups.where(F.col("job_id") == job_id)
-    return page_of(of_job, [_ORDER[kind]], page, page_size), of_job.agg(F.count(F.lit(1)).alias("total"))
+    key = _ORDER[kind]
+    found = page_of(of_job, [key], page, page_size) if after is None else page_after(of_job, [key], [after], page_size)
+    return found, of_job.agg(F.count(F.lit(1)).alias("total"))
 
 
 def group_details(items: DataFrame, files: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -90,9 +90,30 @@ def carry_out_restore(items: DataFrame, manifest: DataFrame, movements: DataFram
 
 
 def rollback(source: DataFrame, batch_id: str, movements: DataFrame) -> DataFrame:
-    """Restore items of a new batch that undoes the given source batches."""
-    plan = outcomes.rollback_plan(source, movements)
+    """Restore items of a new batch that undoes the one given source batch."""
+    if source.limit(2).count() != 1:
+        raise ValueError("a rollback has one source batch")
+    return _restore_items(outcomes.rollback_plan(source, movements), F.lit(batch_id))
+
+
+def rollback_batches(
+    sources: DataFrame, movements: DataFrame, requested_by: str, requested_at: Column, prefix: str = "rollback-"
+) -> tuple[DataFrame, DataFrame]:
+    """(drafted headers, restore items) that undo many batches: each source has a batch of its own,
+    named by prefix and source. Sources that cannot be rolled back have none."""
+    plan = checkpointed(outcomes.rollback_plan(sources, movements))
+    name = F.concat(F.lit(prefix), "rollback_of")
+    headers = plan.select("rollback_of").distinct().select(
+        name.alias("batch_id"), F.lit("restore").alias("action_type"), F.lit("draft").alias("status"),
+        F.lit(requested_by).alias("requested_by"), F.lit(0).alias("dry_run"),
+        F.concat(F.lit("rollback_of="), "rollback_of").alias("summary"),
+        requested_at.cast("timestamp").alias("requested_at"),
+    )
+    return headers, _restore_items(plan, name)
+
+
+def _restore_items(plan: DataFrame, batch_id: Column) -> DataFrame:
     return plan.select(
-        F.col("movement_id").alias("item_id"), F.lit(batch_id).alias("batch_id"), "file_id",
+        F.col("movement_id").alias("item_id"), batch_id.alias("batch_id"), "file_id",
         "source_path", "target_path", "status", F.lit(None).cast("string").alias("error_message"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from twinsift.schemas import HASH_TYPES
+from twinsift.schemas import FILE_MOVEMENTS, HASH_TYPES
 
 
 def files_in_roots(
@@ -29,9 +29,9 @@ def page(df: DataFrame, order: Sequence[str | Column], page: int = 1, page_size:
 
 
 def page_after(
-    df: DataFrame, order: Sequence[str], after: Sequence | None = None, page_size: int = 50
+    df: DataFrame, order: Sequence[str], after: Sequence | None = None, page_size: int = 50, descending: bool = False
 ) -> DataFrame:
-    """The rows that follow the key ``after`` of the last page, in ascending order of ``order``.
+    """The rows that follow the key ``after`` of the last page, in the order of the columns ``order``.
 
     However deep the page, no task keeps more than ``page_size`` rows. The columns of ``order``
     hold no nulls and together tell all rows apart.
@@ -40,12 +40,19 @@ def page_after(
         raise ValueError("page_size starts at 1")
     if after is not None:
         last = [F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]
-        df = df.where((F.col(order[0]) >= last[0]) & (F.struct(*order) > F.struct(*last)))
-    return df.orderBy(*order).limit(page_size)
+        first, key, other = F.col(order[0]), F.struct(*order), F.struct(*last)
+        df = df.where((first <= last[0]) & (key < other) if descending else (first >= last[0]) & (key > other))
+    return df.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).limit(page_size)
 
 
-def list_by_root(files: DataFrame, root_id: int, limit: int = 500, offset: int = 0) -> DataFrame:
-    return files.where(F.col("root_id") == root_id).orderBy("file_id").offset(offset).limit(limit)
+def list_by_root(
+    files: DataFrame, root_id: int, limit: int = 500, offset: int = 0, after: int | None = None
+) -> DataFrame:
+    """Files of a root by id; ``after`` is the last id of the page before, in place of an offset."""
+    of_root = files.where(F.col("root_id") == root_id)
+    if after is not None:
+        return page_after(of_root, ["file_id"], [after], limit)
+    return of_root.orderBy("file_id").offset(offset).limit(limit)
 
 
 def hashes_wide(file_hashes: DataFrame) -> DataFrame:
@@ -88,9 +95,20 @@ def delete_job_groups(spark: SparkSession, path: str, job_id: str) -> None:
     replace_partition(spark.createDataFrame([], schema), path, "job_id", job_id)
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    """Movements are only ever added."""
-    df.write.mode("append").parquet(path)
+def append_ledger(df: DataFrame, path: str, files_per_batch: int = 8) -> None:
+    """Add the movements of whole batches (batch_id), each to the partition of its batch.
+
+    A job that is repeated replaces the movements of its batches, so nothing is there twice; the
+    movements of other batches are not touched.
+    """
+    spread = df.repartition("batch_id", F.pmod(F.xxhash64("movement_id"), F.lit(files_per_batch)))
+    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch_id").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All movements; a batch's are found without reading the others'."""
+    return spark.read.schema(FILE_MOVEMENTS).parquet(path).select(*FILE_MOVEMENTS.fieldNames())
 
 
 # ---- tables in buckets of a key

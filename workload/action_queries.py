@@ -119,6 +119,55 @@ def a9_evaluate_move(spark, sf):
     return done.select("file_id", "target_path", "status", F.coalesce("error_message", F.lit("")).alias("error_message"))
 
 
+def _batches_to_execute(spark, sf):
+    """Every second batch is confirmed; a third of the items wait."""
+    number = F.split("batch_id", "-")[1].cast("long")
+    confirmed = (number % 2 == 1) & (number % 10 != 9) & (number % 7 != 6)
+    batches = d.action_batches(spark, sf).select(
+        "batch_id",
+        F.when(number % 7 == 5, "delete_permanent").otherwise(F.col("action_type")).alias("action_type"),
+        F.when(confirmed, "confirmed").otherwise(F.col("status")).alias("status"),
+    )
+    items = d.action_items(spark, sf).select(
+        "item_id", "batch_id", "file_id", "source_path", F.lit(None).cast("string").alias("target_path"),
+        F.when(F.col("item_id") % 3 == 0, "pending").otherwise(F.col("status")).alias("status"),
+    )
+    return batches, items
+
+
+_DUE = """
+    SELECT i.item_id, i.b, i.file_id, doc_id, '/nas/.trash' || abs_path AS t, i.batch_id,
+           CASE WHEN i.item_id % 3 = 0 THEN 'pending' ELSE i.status END AS status,
+           i.item_id % 3 = 0 AND b % 2 = 1 AND b % 10 <> 9 AND b % 7 <> 6 AS due, b % 7 = 5 AS deletes,
+           CASE WHEN is_present = 0 THEN 'source file not found: ' || abs_path
+                WHEN doc_id % 17 = 0 THEN 'source path is not a file: ' || abs_path ELSE '' END AS e
+    FROM action_items i JOIN files f USING (file_id)"""
+
+
+@query(f"""
+    SELECT item_id, CASE WHEN NOT due THEN status WHEN e = '' THEN 'done' ELSE 'failed' END AS status,
+           CASE WHEN due THEN e ELSE '' END AS error_message,
+           CASE WHEN NOT due OR deletes THEN '' WHEN e <> '' OR n = 0 THEN t ELSE t[:-5] || '.' || n || '.txt' END AS target_path
+    FROM (SELECT *, row_number() OVER (PARTITION BY due AND NOT deletes AND e = '', file_id ORDER BY item_id) - 1
+                 + CASE WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM ({_DUE}))""")
+def a9_evaluate_confirmed(spark, sf):
+    """Only pending items of confirmed batches are carried out, each by the action of its batch."""
+    batches, items = _batches_to_execute(spark, sf)
+    done, _ = outcomes.evaluate_confirmed(
+        batches, items, d.manifest(spark, sf), d.file_movements(spark, sf), d.TRASH, hard_delete=True)
+    return done.select(
+        "item_id", "status", *[F.coalesce(c, F.lit("")).alias(c) for c in ("error_message", "target_path")])
+
+
+@query(f"""
+    SELECT batch_id, b % 2 = 1 AND b % 10 <> 9 AND b % 7 <> 6 AS can_execute,
+           CASE WHEN b % 2 = 1 AND b % 10 <> 9 AND b % 7 <> 6 THEN '' ELSE 'only confirmed batch can be executed' END AS error
+    FROM (SELECT DISTINCT b, batch_id FROM ({_DUE}))""")
+def a9_executable_batches(spark, sf):
+    verdict = outcomes.executable(*_batches_to_execute(spark, sf))
+    return verdict.withColumn("error", F.coalesce("error", F.lit("")))
+
+
 @query("""
     SELECT file_id, CASE WHEN is_present = 0 THEN 'source file not found: ' || abs_path
              WHEN doc_id % 17 = 0 THEN 'source path is not a file: ' || abs_path ELSE '' END AS error_message
@@ -226,6 +275,17 @@ def a16_close_movements(spark, sf):
     return after.select("movement_id", F.col("restored_at").isNotNull().alias("closed"))
 
 
+@query("""
+    SELECT 'rollback-' || m.batch_id AS batch_id, 'rollback_of=' || m.batch_id AS summary, movement_id AS item_id, to_path AS source_path
+    FROM movements m JOIN batches b USING (batch_id)
+    WHERE NOT restored AND action_type = 'move_to_trash' AND status IN ('executed', 'partially_failed')""")
+def a15_rollback_batches(spark, sf):
+    """Every batch that can be rolled back gets a restore batch of its own."""
+    headers, items = cleanup.rollback_batches(
+        d.action_batches(spark, sf), d.file_movements(spark, sf), "tester", F.lit("2026-01-01 00:00:00"))
+    return items.join(headers.select("batch_id", "summary"), "batch_id").select("batch_id", "summary", "item_id", "source_path")
+
+
 @query("""
     SELECT batch_id, CASE WHEN status IN ('executed', 'partially_failed') AND batch_id IN (SELECT batch_id FROM movements)
              AND batch_id NOT IN (SELECT batch_id FROM movements WHERE NOT restored) THEN 'rolled_back' ELSE status END AS status

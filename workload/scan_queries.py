@@ -96,12 +96,12 @@ def s7_replace_job_groups(spark, sf):
 
 @query("SELECT movement_id, file_id, batch_id, restored FROM movements")
 def s8_append_ledger(spark, sf):
-    """Closed movements are stored first, open ones added."""
+    """Every batch is appended with its movements still open, then once more as it is now."""
     path = f"{shared_dir(spark)}/s8-{uuid.uuid4().hex}"
     moves = d.file_movements(spark, sf)
-    src.append_ledger(moves.where("restored_at IS NOT NULL"), path)
-    src.append_ledger(moves.where("restored_at IS NULL"), path)
-    return spark.read.parquet(path).select(
+    src.append_ledger(moves.withColumn("restored_at", F.lit(None).cast("timestamp")), path)
+    src.append_ledger(moves, path)
+    return src.read_ledger(spark, path).select(
         "movement_id", "file_id", "batch_id", F.col("restored_at").isNotNull().alias("restored")
     )
 
