@@ -232,28 +232,78 @@ def test_trash_and_rollback(spark):
     manifest = spark.createDataFrame([("/nas/photo/a.jpg", True), ("/nas/photo/b.jpg", True)], "path string, is_file boolean")
     ledger = movements(spark, (7, 2, "old", "/nas/x", "/t/x", True))
     draft = cleanup.draft_job_batch("b1", "j", exact, similar, table, "move_to_trash", TRASH)
-    moved = cleanup.carry_out_move(draft, manifest, ledger, TRASH, now)
-    assert rows(moved.status.select("batch_id", "status"), "batch_id") == [("b1", "executed")]
-    assert rows(moved.movements.select("movement_id", "file_id", "from_path", "to_path"), "movement_id")[1] == (
-        8, 1, "/nas/photo/a.jpg", "/nas/.trash/nas/photo/a.jpg",
-    )
-    batches = moved.status.select("batch_id", F.lit("move_to_trash").alias("action_type"), "status")
-    undo = cleanup.rollback(batches, "b2", moved.movements)
+    header = cleanup.batch_header(draft, "move_to_trash", "me", now)
+    moved, unconfirmed = outcomes.evaluate_confirmed(header, draft, manifest, ledger, TRASH)
+    assert moved.first().status == "pending" and unconfirmed.first().status == "draft"
+    moved, batches = outcomes.evaluate_confirmed(cleanup.confirm(header, draft), draft, manifest, ledger, TRASH)
+    assert batches.first().status == "executed"
+    assert rows(moved.select("file_id", "source_path", "target_path", "status"), "file_id") == [
+        (1, "/nas/photo/a.jpg", "/nas/.trash/nas/photo/a.jpg", "done"),
+    ]
+    # The ledger as whoever moved the file has written it.
+    ledger = ledger.unionByName(movements(spark, (8, 1, "b1", "/nas/photo/a.jpg", "/nas/.trash/nas/photo/a.jpg", False)))
+    undo = cleanup.rollback(batches, "b2", ledger)
     after = spark.createDataFrame([("/nas/photo/b.jpg", True), ("/nas/.trash/nas/photo/a.jpg", True)], "path string, is_file boolean")
-    back = cleanup.carry_out_restore(undo, after, moved.movements, now)
-    assert rows(back.status.select("batch_id", "status"), "batch_id") == [("b2", "executed")]
-    assert back.movements.where("restored_at IS NULL").count() == 0
-    touched = back.items.select(F.col("source_batch_id").alias("batch_id"))
-    assert outcomes.rolled_back(batches, back.movements, touched).first().status == "rolled_back"
+    header = cleanup.confirm(cleanup.batch_header(undo, "restore", "me", now), undo)
+    back, restored = outcomes.evaluate_confirmed(header, undo, after, ledger, TRASH)
+    assert restored.first().status == "executed"
+    closed = outcomes.close_movements(ledger, back, now)
+    assert closed.where("restored_at IS NULL").count() == 0
+    assert outcomes.rolled_back(batches, closed, undo.select(F.lit("b1").alias("batch_id"))).first().status == "rolled_back"
+    with pytest.raises(ValueError, match="one source batch"):
+        cleanup.rollback(batches.unionByName(batches.withColumn("batch_id", F.lit("b9"))), "b2", ledger)
+
+
+def test_each_rolled_back_batch_has_a_restore_batch_of_its_own(spark):
+    batches = spark.createDataFrame(
+        [("a", "move_to_trash", "executed"), ("b", "move_to_trash", "partially_failed"), ("c", "move_to_trash", "draft"),
+         ("d", "restore", "executed"), ("e", "move_to_trash", "executed")], "batch_id string, action_type string, status string")
+    ledger = movements(spark, *[(i, i, b, f"/x/{i}", f"/t/{i}", b == "e") for i, b in enumerate("aabcde")])
+    headers, undo = cleanup.rollback_batches(batches, ledger, "me", F.lit("2026-03-13 10:00:00"))
+    assert rows(headers.select("batch_id", "action_type", "status", "summary"), "batch_id") == [
+        ("rollback-a", "restore", "draft", "rollback_of=a"), ("rollback-b", "restore", "draft", "rollback_of=b"),
+    ]
+    assert rows(undo.select("batch_id", "item_id"), "item_id") == [("rollback-a", 0), ("rollback-a", 1), ("rollback-b", 2)]
+
+
+def test_only_pending_items_of_confirmed_batches_are_carried_out(spark):
+    batches = spark.createDataFrame(
+        [("m", "move_to_trash", "confirmed"), ("x", "delete_permanent", "confirmed"), ("q", "move_to_trash", "draft"),
+         ("done", "move_to_trash", "confirmed")], "batch_id string, action_type string, status string")
+    plan = spark.createDataFrame(
+        [(1, "m", 1, "/nas/a", None, "pending"), (2, "m", 2, "/nas/gone", None, "pending"), (3, "m", 3, "/nas/a", None, "done"),
+         (4, "x", 1, "/nas/a", None, "pending"), (5, "q", 1, "/nas/a", None, "pending"), (6, "done", 1, "/nas/a", None, "skipped")],
+        "item_id long, batch_id string, file_id long, source_path string, target_path string, status string")
+    manifest = spark.createDataFrame([("/nas/a", True)], "path string, is_file boolean")
+    verdict = {r.batch_id: r.error for r in outcomes.executable(batches, plan).collect()}
+    assert verdict == {"m": None, "x": None, "q": "only confirmed batch can be executed", "done": "batch has no pending items"}
+    after, status = outcomes.evaluate_confirmed(batches, plan, manifest, movements(spark), TRASH)
+    assert [r.status for r in after.orderBy("item_id").collect()] == ["done", "failed", "done", "failed", "pending", "skipped"]
+    assert rows(status.select("batch_id", "status"), "batch_id") == [
+        ("done", "confirmed"), ("m", "partially_failed"), ("q", "draft"), ("x", "failed"),
+    ]
+    after, status = outcomes.evaluate_confirmed(batches, plan, manifest, movements(spark), TRASH, hard_delete=True)
+    assert status.where("batch_id = 'x'").first().status == "executed"
+
+
+def test_an_empty_pick_has_no_preview(spark):
+    table = files(spark, dict(file_id=1, size_bytes=7))
+    ids = lambda *numbers: spark.createDataFrame([(n, i) for i, n in enumerate(numbers)], "file_id long, pos int")
+    assert planning.preview_selection(ids(1, 1), table, "move_to_trash").first().total_bytes == 7
+    for picked in (ids(), ids(1, 0)):
+        with pytest.raises(ValueError):
+            planning.preview_selection(picked, table, "move_to_trash")
 
 
 def test_moving_an_absent_file_fails_the_batch(spark):
     table = files(spark, dict(file_id=1, abs_path="/nas/photo/gone.jpg"))
     draft = cleanup.draft_batch("b", table, table, "move_to_trash", TRASH)
     nothing = spark.createDataFrame([], "path string, is_file boolean")
-    got = cleanup.carry_out_move(draft, nothing, movements(spark, (1, 1, "x", "/a", "/b", True)), TRASH, F.lit("2026-03-13 10:00:00"))
-    assert got.items.first().error_message == "source file not found: /nas/photo/gone.jpg"
-    assert got.status.first().status == "failed"
+    header = cleanup.batch_header(draft, "move_to_trash", "me", F.lit("2026-03-13 10:00:00"))
+    ledger = movements(spark, (1, 1, "x", "/a", "/b", True))
+    got, batches = outcomes.evaluate_confirmed(cleanup.confirm(header, draft), draft, nothing, ledger, TRASH)
+    assert got.first().error_message == "source file not found: /nas/photo/gone.jpg"
+    assert batches.first().status == "failed"
 
 
 def test_drafts_refuse_what_they_cannot_plan(spark):

@@ -4,11 +4,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import files, listing, rows
+from tests.helpers import files, listing, movements, rows
 from twinsift.functions.fingerprints import fingerprint
 from twinsift.operators import index
 from twinsift.plans.scan import drop_job, load_index, run_job, save_scan, scan_roots
-from twinsift.schemas import FILE_HASHES, FILES, SCAN_JOBS
+from twinsift.schemas import FILE_HASHES, FILE_MOVEMENTS, FILES, LISTING, SCAN_JOBS
+from twinsift.sources import folder_source
 from twinsift.sources import listing as src
 from twinsift.sources import tables
 
@@ -63,6 +64,53 @@ def test_streamed_prints_equal_those_of_the_whole_content(spark, tmp_path):
     assert whole[0][2] == hashlib.sha256(b"").hexdigest()
 
 
+def test_prints_from_chunks_equal_those_of_the_whole_content(spark, tmp_path):
+    sizes = [0, 1, 64, 65, 66, 1000, 70_001]
+    for i, size in enumerate(sizes):
+        write(tmp_path / f"{i}.bin", bytes((j * 31 + i * 7 + j // 251) % 256 for j in range(size)))
+    changed = spark.createDataFrame(
+        [(i, str(tmp_path / f"{i}.bin"), size, True) for i, size in enumerate(sizes)],
+        "file_id long, abs_path string, size_bytes long, changed boolean",
+    )
+    chunks = src.read_chunks(changed, chunk_bytes=1000)
+    assert rows(chunks.groupBy("file_id").count(), "file_id") == [(i, max(1, -(-size // 1000))) for i, size in enumerate(sizes)]
+    assert chunks.select(F.max(F.octet_length("content"))).first()[0] == 1000
+    whole = rows(fingerprint(src.read_changed_content(changed)), "file_id", "hash_type")
+    assert rows(src.fingerprint_chunks(chunks.orderBy(F.rand(3))), "file_id", "hash_type") == whole
+    with pytest.raises(Exception, match="chunk 3 is missing"):
+        src.fingerprint_chunks(chunks.where("chunk_no <> 3")).collect()
+
+
+def test_a_large_file_is_never_one_cell(spark, tmp_path):
+    size, path = 300 << 20, tmp_path / "large.bin"
+    with open(path, "wb") as file:
+        for i in range(size >> 20):
+            file.write(bytes([i % 251]) * (1 << 20))
+    changed = spark.createDataFrame([(1, str(path), size, True)], "file_id long, abs_path string, size_bytes long, changed boolean")
+    chunks = src.read_chunks(changed)
+    assert rows(src.fingerprint_chunks(chunks), "hash_type") == rows(src.fingerprint_changed(changed), "hash_type")
+
+
+def test_the_folder_source_lists_what_list_files_does(spark, tmp_path):
+    for name in ("a.jpg", ".hidden", "_x/y/z.TXT", ".dir/deep/er/f", "_x/k", "é ü/n"):
+        write(tmp_path / "one" / name, name.encode())
+    write(tmp_path / "two" / "b", b"2")
+    os.symlink(tmp_path / "one" / "_x", tmp_path / "one" / "folder_link")
+    roots = {1: str(tmp_path / "one"), 2: str(tmp_path / "two")}
+    table = spark.createDataFrame(list(roots.items()), "root_id long, path string")
+    want = rows(src.list_files(table).select(*LISTING.fieldNames()), "root_id", "rel_path")
+    for folders in (1, 3, 100):
+        assert rows(folder_source.read_folders(spark, roots, folders=folders), "root_id", "rel_path") == want
+    # Roots that are not asked for are not opened: the missing one does no harm.
+    lost = {**roots, 3: str(tmp_path / "gone")}
+    assert rows(folder_source.read_folders(spark, lost, [1, 2]), "root_id", "rel_path") == want
+    assert folder_source.read_folders(spark, lost, []).count() == 0
+    both = folder_source.read_folders(spark, roots)
+    assert both.where("root_id = 2").count() == 1 and both.count() == len(want)
+    with pytest.raises(Exception, match="No such file"):
+        folder_source.read_folders(spark, lost).collect()
+
+
 def test_path_attributes(spark):
     names = ["a.JPG", "b.tar.gz", "c.tgz", ".bashrc", "d.", "e", "f.unknownext", "g.txt.gz", "..h.png", "i.html.br"]
     df = spark.createDataFrame([(n,) for n in names], "file_name string")

@@ -122,6 +122,8 @@ def test_group_pages(spark):
     groups = spark.createDataFrame([("j", s, 2) for s in "dbca"] + [("k", "z", 2)], "job_id string, signature string, file_count long")
     got, total = review.list_groups(groups, "exact", "j", page=2, page_size=2)
     assert [r.signature for r in got.collect()] == ["c", "d"] and total.first().total == 4
+    after, _ = review.list_groups(groups, "exact", "j", page_size=2, after="b")
+    assert [r.signature for r in after.collect()] == ["c", "d"]
 
 
 # ---- jobs -------------------------------------------------------------------------------
@@ -144,6 +146,9 @@ def test_job_pages_newest_first(spark):
     assert (ids(page), total.first().total) == (["c"], 2)
     assert ids(jobs.list_jobs(catalog(spark), "completed", "both", page=2, page_size=1)[0]) == ["a"]
     assert ids(jobs.list_jobs(catalog(spark), order="asc")[0]) == ["e", "a", "b", "c", "d"]
+    last = jobs.list_jobs(catalog(spark), page_size=2)[0].collect()[-1]
+    following = jobs.list_jobs(catalog(spark), page_size=2, after=(last.requested_at, last.job_id))[0]
+    assert ids(following) == ids(jobs.list_jobs(catalog(spark), page=2, page_size=2)[0])
     assert ids(jobs.recent_jobs(catalog(spark), 2)) == ["d", "c"]
     assert ids(jobs.latest_processed(catalog(spark))) == ["d"]
     assert jobs.has_active(catalog(spark)).first().has_active

@@ -1,7 +1,9 @@
 import os
+import time
 
 from tests.helpers import listing, rows
 from twinsift.schemas import LISTING
+from twinsift.sources.folder_source import stream_folders
 from twinsift.streaming.listings import create_index, index_batch, index_stream, read_index
 
 
@@ -70,3 +72,35 @@ def test_a_batch_writes_only_what_it_saw(spark, tmp_path):
     create_index(spark, copy, files, hashes)
     again = read_index(spark, copy)
     assert rows(again[0], "file_id") == rows(files, "file_id") and again[1].count() == 6
+
+
+def test_a_stream_of_folders_brings_each_change_once(spark, tmp_path):
+    inbox = tmp_path / "in" / "deep"
+    inbox.mkdir(parents=True)
+    (inbox / "a.txt").write_bytes(b"alpha")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        time.sleep(0.1)
+        listed = stream_folders(spark, {1: str(tmp_path / "in")}, settle_ms=0)
+        query = listed.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        assert query.awaitTermination(120)
+        return rows(spark.read.schema(LISTING).parquet(out).select("rel_path", "size_bytes"), "rel_path", "size_bytes")
+
+    assert run() == [("deep/a.txt", 5)]
+    assert run() == [("deep/a.txt", 5)]
+    (inbox / "a.txt").write_bytes(b"alpha!")
+    (tmp_path / "in" / "b.txt").write_bytes(b"b")
+    assert run() == [("b.txt", 1), ("deep/a.txt", 5), ("deep/a.txt", 6)]
+
+
+def test_a_stream_of_folders_feeds_the_index(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"alpha")
+    base = str(tmp_path / "index")
+    create_index(spark, base)
+    time.sleep(0.1)
+    listed = stream_folders(spark, {1: str(tmp_path / "in")}, settle_ms=0)
+    index_stream(listed, base, str(tmp_path / "state"), availableNow=True).awaitTermination(120)
+    files, hashes = read_index(spark, base)
+    assert rows(files.select("file_id", "file_name"), "file_id") == [(1, "a.txt")] and hashes.count() == 3

@@ -1,8 +1,10 @@
-"""Clean-up batches: draft, confirm, outcome, ledger and rollback."""
+"""Clean-up batches: draft, confirm and rollback.
 
-from __future__ import annotations
+What becomes of a confirmed batch is told by ``outcomes.evaluate_confirmed``; movements are input,
+written by whoever moves files.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +15,6 @@ from twinsift.operators.skew import global_index
 from twinsift.session import checkpointed
 
 
-@dataclass(frozen=True)
-class BatchResult:
-    items: DataFrame
-    status: DataFrame
-    movements: DataFrame
-
-
 def draft_job_batch(
     batch_id: str, job_id: str, exact_items: DataFrame, similar_items: DataFrame, files: DataFrame,
     action: str, trash_dir: str, movements: DataFrame | None = None,
@@ -70,25 +65,6 @@ def confirm(batches: DataFrame, items: DataFrame, hard_delete: bool = False) ->
     )
 
 
-def carry_out_move(items: DataFrame, manifest: DataFrame, movements: DataFrame, trash_dir: str, now: Column) -> BatchResult:
-    """Outcome of a trash batch and the ledger with one open movement per moved file."""
-    done = checkpointed(outcomes.evaluate_move(items, manifest, trash_dir))
-    last_id = movements.agg(F.coalesce(F.max("movement_id"), F.lit(0))).first()[0]
-    moved = global_index(done.where("status = 'done'"), ["item_id"], "movement_id", start=last_id + 1)
-    entries = moved.select(
-        "movement_id", "file_id", "batch_id",
-        F.col("source_path").alias("from_path"), F.col("target_path").alias("to_path"),
-        now.cast("timestamp").alias("moved_at"), F.lit(None).cast("timestamp").alias("restored_at"),
-    )
-    return BatchResult(done, outcomes.batch_status(done), movements.unionByName(entries))
-
-
-def carry_out_restore(items: DataFrame, manifest: DataFrame, movements: DataFrame, now: Column) -> BatchResult:
-    """Outcome of a restore batch and the ledger with the undone movements closed."""
-    done = checkpointed(outcomes.evaluate_restore(items, manifest, movements))
-    return BatchResult(done, outcomes.batch_status(done), outcomes.close_movements(movements, done, now))
-
-
 def rollback(source: DataFrame, batch_id: str, movements: DataFrame) -> DataFrame:
     """Restore items of a new batch that undoes the one given source batch."""
     if source.limit(2).count() != 1:

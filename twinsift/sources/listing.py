@@ -39,10 +39,11 @@ _ENTRY = T.StructType(
         T.StructField("dev", T.LongType()),
     ]
 )
-_ROWS_PER_BATCH = 5_000
+ROWS_PER_BATCH = 5_000
 
 
-def _entries_of(root_id: int, root_path: str, folder: str) -> Iterator[tuple]:
+def entries_of(root_id: int, root_path: str, folder: str) -> Iterator[tuple]:
+    """What lies directly in a folder; a folder that cannot be opened is skipped unless it is the root."""
     try:
         found = os.scandir(folder)
     except OSError:
@@ -68,12 +69,12 @@ def _entries_of(root_id: int, root_path: str, folder: str) -> Iterator[tuple]:
 def _list_folders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         folders = batch.to_pylist()
-        entries = (row for f in folders for row in _entries_of(f["root_id"], f["root_path"], f["abs_path"]))
-        while rows := list(itertools.islice(entries, _ROWS_PER_BATCH)):
-            yield _as_batch(rows, _ENTRY)
+        entries = (row for f in folders for row in entries_of(f["root_id"], f["root_path"], f["abs_path"]))
+        while rows := list(itertools.islice(entries, ROWS_PER_BATCH)):
+            yield as_batch(rows, _ENTRY)
 
 
-def _as_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+def as_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     """Rows as an Arrow batch: whole numbers stay exact, also next to nulls."""
     arrow = to_arrow_schema(schema)
     columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), arrow)]
@@ -149,6 +150,14 @@ _DIGEST = T.StructType(
         T.StructField("samples_64", T.BinaryType()),
     ]
 )
+CHUNKS = T.StructType(
+    [
+        T.StructField("file_id", T.LongType()),
+        T.StructField("chunk_no", T.LongType()),
+        T.StructField("size_bytes", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
 _CHUNK = 1 << 20
 # What opening a file and reading its samples costs, in bytes read.
 _SEEK_COST = 1 << 18
@@ -158,7 +167,7 @@ def _read_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for file in batch.to_pylist():
             with open(file["abs_path"], "rb") as handle:
-                yield _as_batch([(file["file_id"], handle.read())], _CONTENT)
+                yield as_batch([(file["file_id"], handle.read())], _CONTENT)
 
 
 def _digest_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +176,8 @@ def _digest_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             (f["file_id"], *(_digest_file if f["needs_digest"] else _sample_file)(f["abs_path"]))
             for f in batch.to_pylist()
         )
-        while rows := list(itertools.islice(digests, _ROWS_PER_BATCH)):
-            yield _as_batch(rows, _DIGEST)
+        while rows := list(itertools.islice(digests, ROWS_PER_BATCH)):
+            yield as_batch(rows, _DIGEST)
 
 
 def _offsets(size: int, k: int) -> np.ndarray:
@@ -186,25 +195,71 @@ def _sample_file(path: str) -> tuple[None, bytes, bytes]:
         return None, picks(65), picks(64)
 
 
+class _Fold:
+    """Digest and sample bytes of a file from its parts, given one after another."""
+
+    def __init__(self, size: int):
+        self.size, self.start, self.digest = size, 0, hashlib.sha256()
+        self.wanted = {k: _offsets(size, k) for k in (65, 64)}
+        self.kept: dict[int, list[bytes]] = {65: [], 64: []}
+
+    def add(self, part: bytes) -> None:
+        self.digest.update(part)
+        view = np.frombuffer(part, dtype="uint8")
+        for k, at in self.wanted.items():
+            if self.size > k:
+                inside = at[(at >= self.start) & (at < self.start + len(part))]
+                self.kept[k].append(view[inside - self.start].tobytes())
+            else:
+                self.kept[k].append(part)
+        self.start += len(part)
+
+    def result(self) -> tuple[str, bytes, bytes]:
+        return self.digest.hexdigest(), b"".join(self.kept[65]), b"".join(self.kept[64])
+
+
 def _digest_file(path: str) -> tuple[str, bytes, bytes]:
     """Stream a file once: its digest, and the bytes at the two sets of sample offsets."""
-    digest = hashlib.sha256()
-    kept = {65: [], 64: []}
-    start = 0
     with open(path, "rb") as handle:
-        size = os.fstat(handle.fileno()).st_size
-        wanted = {k: _offsets(size, k) for k in kept}
+        fold = _Fold(os.fstat(handle.fileno()).st_size)
         while chunk := handle.read(_CHUNK):
-            digest.update(chunk)
-            view = np.frombuffer(chunk, dtype="uint8")
-            for k, at in wanted.items():
-                if size > k:
-                    inside = at[(at >= start) & (at < start + len(chunk))]
-                    kept[k].append(view[inside - start].tobytes())
-                else:
-                    kept[k].append(chunk)
-            start += len(chunk)
-    return digest.hexdigest(), b"".join(kept[65]), b"".join(kept[64])
+            fold.add(chunk)
+    return fold.result()
+
+
+def _read_chunks(batches: Iterable[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file in batch.to_pylist():
+            with open(file["abs_path"], "rb") as handle:
+                size = os.fstat(handle.fileno()).st_size
+                for number in itertools.count():
+                    chunk = handle.read(chunk_bytes)
+                    if not chunk and number:
+                        break
+                    yield as_batch([(file["file_id"], number, size, chunk)], CHUNKS)
+
+
+def _fold_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest row per file from its chunks, which come sorted by file and number."""
+    file_id, following, fold, out = None, 0, None, []
+    for batch in batches:
+        for row in range(len(batch)):
+            own, number, size = (batch[c][row].as_py() for c in ("file_id", "chunk_no", "size_bytes"))
+            if fold is None or own != file_id:
+                if fold is not None:
+                    out.append((file_id, *fold.result()))
+                file_id, following, fold = own, 0, _Fold(size)
+            if number != following:
+                raise ValueError(f"file {own}: chunk {following} is missing or there twice")
+            fold.add(batch["content"][row].as_py())
+            following += 1
+            if len(out) >= ROWS_PER_BATCH:
+                yield as_batch(out, _DIGEST)
+                out = []
+    if fold is not None:
+        out.append((file_id, *fold.result()))
+    if out:
+        yield as_batch(out, _DIGEST)
 
 
 def _dealt(changed: DataFrame, bytes_per_task: int) -> DataFrame:
@@ -219,7 +274,10 @@ def _dealt(changed: DataFrame, bytes_per_task: int) -> DataFrame:
 
 
 def read_changed_content(changed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
-    """Bytes of the changed files (file_id, abs_path, size_bytes, changed) for small files."""
+    """Bytes of the changed files (file_id, abs_path, size_bytes, changed), a whole file in one cell.
+
+    For files that are small for certain; :func:`read_chunks` has no limit.
+    """
     ship_package(changed.sparkSession)
     return _dealt(changed, bytes_per_task).mapInArrow(_read_contents, _CONTENT)
 
@@ -234,7 +292,28 @@ def fingerprint_changed(changed: DataFrame, bytes_per_task: int = 1 << 30) -> Da
     returned unchanged by the sampling step.
     """
     ship_package(changed.sparkSession)
-    read = _dealt(changed, bytes_per_task).mapInArrow(_digest_contents, _DIGEST)
+    return _prints(_dealt(changed, bytes_per_task).mapInArrow(_digest_contents, _DIGEST))
+
+
+def read_chunks(changed: DataFrame, chunk_bytes: int = _CHUNK, bytes_per_task: int = 1 << 30) -> DataFrame:
+    """Bytes of the changed files as rows (file_id, chunk_no, size_bytes, content) of at most
+    ``chunk_bytes``. An empty file has one empty chunk."""
+    ship_package(changed.sparkSession)
+    return _dealt(changed, bytes_per_task).mapInArrow(lambda batches: _read_chunks(batches, chunk_bytes), CHUNKS)
+
+
+def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
+    """All three prints of files given as chunk rows in any order, as of a stored table.
+
+    The chunks of a file are folded in order by one task, which holds a batch of them at a time;
+    a chunk that is missing or there twice fails the job.
+    """
+    ship_package(chunks.sparkSession)
+    ordered = chunks.select(*CHUNKS.fieldNames()).repartition("file_id").sortWithinPartitions("file_id", "chunk_no")
+    return _prints(ordered.mapInArrow(_fold_chunks, _DIGEST))
+
+
+def _prints(read: DataFrame) -> DataFrame:
     wide = read.select(
         "file_id",
         F.col("content_hash").alias(CONTENT_HASH),

@@ -303,38 +303,26 @@ def a18_confirmable(spark, sf):
 
 
 @query("""
-    SELECT items, moved, moved AS restored, 'rolled_back' AS status, 'confirmed' AS before,
-           (SELECT count(*) FROM movements) + moved AS ledger_rows,
-           (SELECT max(movement_id) FROM movements) + moved AS last_movement,
-           (SELECT count(*) FROM movements WHERE NOT restored) AS still_open
-    FROM (SELECT count(*) AS items, count_if(is_present = 1 AND doc_id % 17 <> 0)::BIGINT AS moved
-          FROM files WHERE file_id IN (SELECT file_id FROM items WHERE is_primary = 0))""")
+    SELECT 'move' AS kind, file_id, CASE WHEN is_present = 1 AND doc_id % 17 <> 0 THEN 'done' ELSE 'failed' END AS status, 'confirmed' AS before
+    FROM files WHERE file_id IN (SELECT file_id FROM items WHERE is_primary = 0)
+    UNION ALL
+    SELECT 'restore', file_id, CASE WHEN doc_id % 5 = 0 AND is_present = 0 AND first = movement_id THEN 'done' ELSE 'failed' END, 'confirmed'
+    FROM (SELECT *, min(movement_id) OVER (PARTITION BY file_id) AS first FROM movements m JOIN batches b USING (batch_id)
+          WHERE NOT restored AND action_type = 'move_to_trash' AND status IN ('executed', 'partially_failed')) JOIN files USING (file_id)""")
 def e3_cleanup_and_rollback(spark, sf):
-    """Move a job's non-primaries to the trash, then roll the whole batch back, on top of a ledger
-    that already holds open movements of some of the files."""
-    files, manifest = d.files(spark, sf), d.manifest(spark, sf)
-    ledger = d.file_movements(spark, sf)
+    """What would become of a job's non-primaries moved to the trash, and of all batches of the ledger
+    rolled back, given what exists."""
+    files, manifest, ledger = d.files(spark, sf), d.manifest(spark, sf), d.file_movements(spark, sf)
     when = F.lit("2026-01-01 00:00:00")
     draft = cleanup.draft_job_batch("b1", d.JOB, d.exact_items(spark, sf), d.similar_items(spark, sf), files, "move_to_trash", d.TRASH)
     header = cleanup.batch_header(draft, "move_to_trash", "tester", when)
-    confirmed = cleanup.confirm(header, draft).select("batch_id", F.col("status").alias("before"))
-    moved = cleanup.carry_out_move(draft, manifest, ledger, d.TRASH, when)
-    batches = moved.status.select("batch_id", F.lit("move_to_trash").alias("action_type"), "status")
-    gone = moved.items.where("status = 'done'").select("source_path", "target_path")
-    left = manifest.join(gone.select(F.col("source_path").alias("path")), "path", "left_anti").unionByName(
-        gone.select(F.col("target_path").alias("path"), F.lit(True).alias("is_file"))
-    )
-    back = cleanup.carry_out_restore(cleanup.rollback(batches, "b2", moved.movements), left, moved.movements, when)
-    touched = back.items.where("status = 'done'").select(F.col("source_batch_id").alias("batch_id"))
-    final = outcomes.rolled_back(batches, back.movements, touched)
-    counted = moved.items.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "done").alias("moved")
-    )
-    undone = touched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("restored"))
-    kept = back.movements.agg(
-        F.count(F.lit(1)).alias("ledger_rows"), F.max("movement_id").alias("last_movement"),
-        F.count_if(F.col("restored_at").isNull()).alias("still_open"), F.lit("b1").alias("batch_id"),
-    )
-    for part in (confirmed, counted, undone, kept):
-        final = final.join(part, "batch_id")
-    return final.select("items", "moved", "restored", "status", "before", "ledger_rows", "last_movement", "still_open")
+    undo, restores = cleanup.rollback_batches(d.action_batches(spark, sf), ledger, "tester", when)
+    found = None
+    for kind, headers, items in (("move", header, draft), ("restore", undo, restores)):
+        confirmed = cleanup.confirm(headers, items)
+        done, _ = outcomes.evaluate_confirmed(confirmed, items, manifest, ledger, d.TRASH)
+        part = done.join(confirmed.select("batch_id", F.col("status").alias("before")), "batch_id").select(
+            F.lit(kind).alias("kind"), "file_id", "status", "before"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
