@@ -34,6 +34,8 @@ from twinsift.session import checkpointed, ship_package
 
 # Distinct rows of a conversation that one chunk holds at most.
 CHUNK = 1_024
+# A signature of fewer chunks is never split.
+HOT_CHUNKS = 50
 
 # Costs of the edits and of leaving a truncated row.
 DELETE, REROLE, INSERT, TRUNCATED = 3, 2, 2, 1
@@ -369,7 +371,10 @@ def audits(rows: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     solved = words.repartitionByRange("last", "ending").sortWithinPartitions("last", "ending")
     solved = solved.select("last", "ending").mapInArrow(_solved, "last boolean, ending string, costs array<long>, audits array<string>")
     solved = solved.join(words, ["last", "ending"])
-    answered = attach(chunks, solved, ["last", "ending"], ["conv"], counts="chunks", total=chunks.count())
+    # A signature that more chunks have than a task gets on average is split.
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_rows = max(HOT_CHUNKS, chunks.count() // tasks)
+    answered = attach(chunks, solved, ["last", "ending"], ["conv"], counts="chunks", hot_rows=hot_rows)
     answered = checkpointed(answered.drop("chunks"))
     # Between equal costs from one state, the least audit of the first chunk decides; none begins another.
     ranks = F.transform(
