@@ -1,3 +1,4 @@
+import time
 import base64
 import hashlib
 import random
@@ -130,3 +131,20 @@ def test_the_grammar_tells_clauses_apart():
     assert events(threat, other) == []
     assert events(insult, target) == [0, 12]
     assert len(_STATES) == len(_STEP)
+
+
+def test_hosts_of_any_number_of_labels_are_judged(spark):
+    long = ".".join(["a"] * 100_000)
+    rules = spark.createDataFrame(
+        [("org", "/", "block"), ("x.org", "/ok", "allow"), ("", "/only", "block"), ("a.b.c", "/", "block")],
+        "host string, path string, action string",
+    )
+    urls = [f"http://{long}.x.org/ok", f"http://{long}.org/", f"http://{long}/", "http://org/", "http:///only", "http://b.c/", "http://.a.b.c/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, rules).collect()}
+    assert time.perf_counter() - start < 30
+    assert got == {
+        0: ("x.org/ok", "allow"), 1: ("org/", "block"), 2: (None, "allow"), 3: ("org/", "block"), 4: ("/only", "block"),
+        5: (None, "allow"), 6: ("a.b.c/", "block"),
+    }

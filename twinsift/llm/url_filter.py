@@ -2,12 +2,13 @@
 
 A rule is a host, a path and an action; it fits its host and all subdomains if the path of a URL
 starts with the rule's. Each distinct host and (shortened) path is expanded into every host suffix
-with every path prefix that is as long as some rule's path. The expressions meet the rules on the
+that has as many labels as some rule's host, with every path prefix that is as long as some rule's path,
+so what a URL costs follows from the rules and its length, not from the square of it. The expressions meet the rules on the
 first 32 bits of their SHA-256; the full digests are then compared, and of the rules that fit the
 longest wins (of equally long ones that with the longer host, then block before allow).
 
 Edge cases: a null URL or one without ``://`` has empty host and path, which only a rule with an
-empty host could fit; repeated pages each get a row; without rules every URL gets the default;
+empty host could fit; hosts and paths of any length are judged whole; repeated pages each get a row; without rules every URL gets the default;
 other columns of the input are not looked at.
 """
 
@@ -36,17 +37,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """(page_id, host, path, rule, verdict) per page for rules (host, path, action)."""
     host, path = host_and_path(F.col("url"))
     rules = rules.select(
-        F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.col("path").alias("rule_path"), "action"
+        F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.col("path").alias("rule_path"), "action", "host"
     )
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # at most a path's length
     split = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
         "start", F.substring("path", 1, max(lengths, default=0))
     )
     digest = F.sha2("rule", 256)
-    hashed = rules.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 8)).drop("rule_path")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    hashed = rules.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 8)).drop("rule_path", "host")
+    labels = lambda column: F.length(column) - F.length(F.translate(column, ".", "")) + 1
+    depths = [r[0] for r in rules.select(labels(F.col("host"))).distinct().collect()]  # at most a host's labels
+    suffixes = F.array_compact(
+        F.array(*[F.when(labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sorted(depths)])
+        if depths else F.array().cast("array<string>")
     )
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("start")),
