@@ -279,3 +279,18 @@ def test_empty_tables(spark):
     none = frame(spark, []).where("false")
     for run in (similar_documents, remove_repeats, mix, drop_recurring_lines):
         assert run(none).count() == 0
+
+
+def test_repeated_rows_are_split_at_the_target(spark):
+    """A source of equal rows, with and without an id, comes within one row of its target."""
+    ten = "w " * 10
+    rows = [(1, ten, "a")] * 300 + [(None, ten, "b")] * 200 + [(i, ten, "c") for i in range(2, 302)] + [(5, "", "d")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n"), F.max("repeats").alias("most")
+    )
+    by = {r.source: r for r in got.collect()}
+    assert [by[s].n for s in "abcd"] == [300, 200, 300, 4]
+    for source in "abcd":
+        assert abs(by[source].taken - by[source].target) <= 5.001, by[source]
+        assert by[source].most <= 3

@@ -8,9 +8,9 @@ running sum passes the budget is the only one that is refined, by the next bits
 it holds a single hash. Only histogram rows are ever ordered, at most 4096 per source and level.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a source like any other,
-ranked last; rows that agree in doc_id and text share a hash and stand or fall together; a source
-without words has target 0; a null doc_id is hashed by its text alone; other columns are not looked
-at.
+ranked last; rows that agree in doc_id and text share a hash, and of those at the threshold as many go
+as the budget takes; a source without words has target 0; a null doc_id is told from an id by its hash;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.operators.skew import attach, global_index
+from twinsift.operators.skew import attach, global_index, rank_within
 from twinsift.session import checkpointed
 
 _BITS = 60
@@ -62,30 +62,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(key, limit): documents of the source ``key`` with a hash of at most ``limit`` fill its
-    ``budget`` as nearly as whole documents can. ``limit`` is null where all documents fit."""
+    """(key, limit, held, some): all documents of the source ``key`` with a hash below ``limit`` and
+    ``some`` of the ``held`` ones with that hash fill its ``budget`` as nearly as whole documents can.
+    A source of which all documents fit is left out."""
     below = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     live, state, done = rows, budgets.select("key", "budget", F.lit(0).cast("long").alias("under")), []
     for used in range(_LEVEL_BITS, _BITS + 1, _LEVEL_BITS):
         histogram = (
             live.withColumn("bucket", F.shiftright("hash", _BITS - used))
             .groupBy("key", "bucket")
-            .agg(F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+            .agg(
+                F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"),
+                F.count(F.lit(1)).alias("held"),
+            )
         )
         state = checkpointed(
             histogram.withColumn("before", below)
             .join(state, "key")
             .withColumn("under", F.col("under") + F.col("before"))
             .where((F.col("under") <= F.col("budget")) & (F.col("under") + F.col("words") > F.col("budget")))
-            .select("key", "budget", "under", "words", "bucket", "low", "high")
+            .select("key", "budget", "under", "words", "bucket", "low", "high", "held")
         )
         single = F.col("low") == F.col("high")
-        over = F.col("under") + F.col("words") - F.col("budget")
-        done.append(
-            state.where(single).select(
-                "key", F.when(over <= F.col("budget") - F.col("under"), F.col("low")).otherwise(F.col("low") - 1).alias("limit")
-            )
-        )
+        # Rows with one hash are repeated rows: each has its share of the words.
+        some = F.floor((F.col("budget") - F.col("under")) * F.col("held") / F.col("words") + 0.5)
+        done.append(state.where(single).select("key", F.col("low").alias("limit"), "held", some.alias("some")))
         state = state.where(~single).select("key", "budget", "under", "bucket")
         if state.isEmpty():
             break
@@ -103,7 +104,7 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Per document (doc_id, source, size, source_size, target, repeats, taken): ``repeats`` is how
     often the mix holds the document, ``taken`` the words that makes."""
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")), 1, 15), 16, 10)
+    hashed = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10)
     rows = checkpointed(
         docs.select(
             "doc_id",
@@ -122,11 +123,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     targets = checkpointed(targets.drop("source"))
-    limits = _thresholds(rows.select("key", "hash", "size"), targets)
-    plan = targets.join(limits, "key", "left")
-    extra = F.coalesce(F.col("hash") <= F.col("limit"), F.col("budget") > 0).cast("long")
+    limits = checkpointed(_thresholds(rows.select("key", "hash", "size"), targets))
+    # Repeated rows at a threshold are alike: any so many of them go.
+    at = limits.where("held > 1").select("key", F.col("limit").alias("hash"), "held")
+    repeated = attach(rows.withColumn("row", F.monotonically_increasing_id()), at, ["key", "hash"], ["row"], how="left", counts="held")
+    repeated = checkpointed(repeated)
+    ranked = rank_within(repeated.where("held IS NOT NULL"), ["key", "hash"], ["row"], ["row"], "place")
+    placed = repeated.where("held IS NULL").withColumn("place", F.lit(0).cast("long")).unionByName(ranked).drop("held", "row")
+    plan = targets.join(limits.drop("held"), "key", "left")
+    inside = (F.col("hash") < F.col("limit")) | ((F.col("hash") == F.col("limit")) & (F.col("place") < F.col("some")))
+    extra = F.coalesce(inside, F.col("budget") > 0).cast("long")
     return (
-        attach(rows, plan, ["key"], ["hash"])
+        attach(placed, plan, ["key"], ["hash", "place"])
         .withColumn("repeats", F.least(F.col("whole") + extra, F.lit(most)))
         .select(
             "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")

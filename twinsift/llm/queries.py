@@ -49,7 +49,7 @@ _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w:
     with docs as (
         select doc_id, source,
             coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')), 0)::bigint as size,
-            ('0x' || substr(md5(concat_ws(':', doc_id::varchar, text)), 1, 15))::bigint as hash
+            ('0x' || substr(md5(coalesce(doc_id::varchar, '-') || ':' || coalesce(text, '')), 1, 15))::bigint as hash
         from documents
     ),
     sources as (
@@ -80,8 +80,8 @@ _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w:
     ),
     ordered as (
         select docs.*, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size as budget,
-            sum(size) over (partition by docs.source order by hash) as upto,
-            sum(size) over (partition by docs.source, hash) as here
+            sum(size) over (partition by docs.source order by hash rows between unbounded preceding and current row) as upto,
+            size as here
         from docs join budgets b on docs.source is not distinct from b.source
     )
     select doc_id, source, size, source_size, target,
