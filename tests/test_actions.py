@@ -54,7 +54,7 @@ def test_items_of_different_names_meet(spark):
         assert available(spark, plan, existing) == expected_names(plan, existing)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3, 4, 5])
 def test_free_names_at_random(spark, seed):
     rng = random.Random(seed)
     pool = ["/t/a", "/t/a.txt", "/t/a.1", "/t/a.1.txt", "/t/a.2.txt", "/t/a.1.1.txt", "/u/a.txt", "/t/a.1.2"]
@@ -63,6 +63,19 @@ def test_free_names_at_random(spark, seed):
     assert available(spark, plan, existing) == expected_names(plan, existing)
 
 
+@pytest.mark.parametrize("numbered_first", [True, False])
+def test_a_family_of_rivals_settles_in_few_rounds(spark, monkeypatch, numbered_first):
+    """500 items want one name, 500 others its numbered forms."""
+    names = [f"/t/a.{k}.txt" for k in range(1, 501)] + ["/t/a.txt"] * 500
+    plan = list(enumerate(names if numbered_first else names[::-1], 1))
+    existing = ["/t/a.txt", "/t/a.7.txt", "/t/a.502.txt"]
+    rounds = []
+    move_on = naming._move_on
+    monkeypatch.setattr(naming, "_move_on", lambda *a: rounds.append(1) or move_on(*a))
+    assert available(spark, plan, existing) == expected_names(plan, existing)
+    assert len(rounds) <= 5
+
+
 def test_ids(spark):
     ids = spark.createDataFrame([(3, 0), (0, 1), (3, 2), (1, 3), (-4, 4)], "file_id long, pos long")
     kept, rejected = planning.normalize_file_ids(ids)

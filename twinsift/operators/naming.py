@@ -27,59 +27,96 @@ def _numbered_family(path: Column) -> Column:
     return F.array_compact(F.array(own, inner, last))
 
 
+def _free_numbers(askers: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(item_id, free): the r-th item of a base, by id, gets its r-th number from ``start`` on that is not blocked.
+
+    That is its place when the items of askers (base, start, item_id) and the blocked (base, start, n) are
+    merged in order of the free numbers below them, so no name's items are gathered in one place.
+    """
+    entries = askers.select("base", "start", F.lit(1).alias("wants"), F.col("item_id").alias("number")).unionByName(
+        blocked.where("n >= start").select("base", "start", F.lit(0).alias("wants"), (F.col("n") - F.col("start")).alias("number"))
+    )
+    ranked = rank_within(entries, ["base", "wants"], ["number"], ["number"], "rank")
+    free_below = F.when(F.col("wants") == 1, F.col("rank")).otherwise(F.col("number") - F.col("rank"))
+    merged = rank_within(
+        ranked.withColumn("free_below", free_below), ["base"], ["free_below", "wants", "number"], ["number"], "place"
+    )
+    return merged.where("wants = 1").select(F.col("number").alias("item_id"), (F.col("start") + F.col("place")).alias("free"))
+
+
+def _losers(placed: DataFrame, busy: DataFrame, total: int) -> DataFrame:
+    """Items whose path a lower item id claims too, or a file has."""
+    shared = (
+        placed.groupBy("path")
+        .agg(F.min("item_id").alias("keeper"), F.count(F.lit(1)).alias("claims"))
+        .where("claims > 1")
+    )
+    moved = placed.where("n > 0").join(busy, "path", "left_semi").select("item_id")
+    return checkpointed(
+        attach(placed, shared, ["path"], ["item_id"], counts="claims", total=total)
+        .where("item_id <> keeper").select("item_id").unionByName(moved).distinct()
+    )
+
+
+def _move_on(placed: DataFrame, losers: DataFrame, taken: DataFrame, total: int) -> DataFrame:
+    """Losers and the later items of their bases, at the next numbers that they can still get.
+
+    In id order the items of a base end at rising numbers. The first loser of a base ends above its present
+    number, and neither it nor a later item can have a number that a file has or that an item before the
+    first loser holds. So the r-th of them ends at the r-th other number or later, however many it skips.
+    """
+    lost = placed.join(losers.withColumn("lost", F.lit(1)), "item_id", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    first = checkpointed(
+        lost.where("lost = 1").groupBy("base").agg(F.min(F.struct("item_id", "n")).alias("f"))
+        .select("base", F.col("f.item_id").alias("first"), (F.col("f.n") + 1).alias("start"))
+    )
+    sizes = placed.join(first, "base", "left_semi").groupBy("base").agg(F.count(F.lit(1)).alias("items"))
+    askers = attach(placed, first.join(sizes, "base"), ["base"], ["item_id"], counts="items", total=total).where("item_id >= first")
+    held = placed.select("item_id", F.inline(_numbered_family(F.col("path"))))
+    blocked = (
+        taken.join(first, "base").select("base", "start", "n")
+        .unionByName(held.join(first, "base").where("item_id < first").select("base", "start", "n"))
+        .distinct()
+    )
+    free = _free_numbers(askers, blocked)
+    n = F.greatest(F.col("n") + F.col("lost"), F.coalesce("free", "n"))
+    return checkpointed(
+        lost.join(free, "item_id", "left")
+        .withColumn("n", n)
+        .select("item_id", "base", "n", P.numbered_path(F.col("base"), F.col("n")).alias("path"))
+    )
+
+
 def next_available_path(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Plan (item_id, target_path, ...) with targets that are free when moved in item order.
 
-    A taken target becomes ``stem.N.suffix`` with the first free N. The r-th item that wants a
-    name gets its r-th free number, which is its position when requests and taken numbers are
-    merged in order, so no name's items are gathered in one place. Items of different names can
-    still meet (``a.1.txt`` wanted by ``a.1.txt`` and as the first number of ``a.txt``): the
-    lower item id keeps the path and the other moves on, until nobody shares a path.
+    A taken target becomes ``stem.N.suffix`` with the first free N; the r-th item that wants a name
+    gets its r-th free number. Items of different names can still meet (``a.1.txt`` wanted by
+    ``a.1.txt`` and as the first number of ``a.txt``): the lower item id keeps the path and the
+    others of its base jump past all numbers that they cannot get, until nobody shares a path.
     """
     wanted = checkpointed(plan.select("item_id", F.col("target_path").alias("base")))
     total = wanted.count()
     busy = existing.select("path").distinct()
     taken = busy.select(F.inline(_numbered_family(F.col("path"))))
-    crowded = (
+    crowded = checkpointed(
         wanted.groupBy("base").agg(F.count(F.lit(1)).alias("items"))
         .join(busy.select(F.col("path").alias("base"), F.lit(True).alias("exists")), "base", "left")
         .where("items > 1 OR exists")
-        .select("base", "items")
+        .select("base", "items", F.lit(0).cast("long").alias("start"))
     )
-    crowd = attach(wanted, crowded, ["base"], ["item_id"], counts="items", total=total).select("base", "item_id")
-    entries = crowd.select("base", F.lit(1).alias("wants"), F.col("item_id").alias("number")).unionByName(
-        taken.join(crowded.select("base"), "base", "left_semi").select("base", F.lit(0).alias("wants"), F.col("n").alias("number"))
-    )
-    ranked = rank_within(entries, ["base", "wants"], ["number"], ["number"], "rank")
-    free_below = F.when(F.col("wants") == 1, F.col("rank")).otherwise(F.col("number") - F.col("rank"))
-    merged = rank_within(
-        ranked.withColumn("free_below", free_below), ["base"], ["free_below", "wants", "number"], ["number"], "n"
-    )
-    numbers = merged.where("wants = 1").select(F.col("number").alias("item_id"), "n")
+    crowd = attach(wanted, crowded, ["base"], ["item_id"], counts="items", total=total)
+    numbers = _free_numbers(crowd, taken.join(crowded, "base"))
+    n = F.coalesce("free", F.lit(0).cast("long"))
     placed = checkpointed(
         wanted.join(numbers, "item_id", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("path", P.numbered_path(F.col("base"), F.col("n")))
+        .select("item_id", "base", n.alias("n"), P.numbered_path(F.col("base"), n).alias("path"))
+    )
+    losers = _losers(placed, busy, total)
+    while not losers.isEmpty():  # numbers only ever rise, and each base has only so many rivals
+        placed = _move_on(placed, losers, taken, total)
+        losers = _losers(placed, busy, total)
+    final = placed.select("item_id", F.col("path").alias("final_path"))
+    return plan.join(final, "item_id").select(
+        *[F.col("final_path").alias(c) if c == "target_path" else F.col(c) for c in plan.columns]
     )
-    while True:  # numbers only ever rise, and each base has only so many rivals
-        shared = (
-            placed.groupBy("path")
-            .agg(F.min("item_id").alias("keeper"), F.count(F.lit(1)).alias("claims"))
-            .where("claims > 1")
-        )
-        moved = placed.where("n > 0").join(busy, "path", "left_semi").select("item_id")
-        losers = (
-            attach(placed, shared, ["path"], ["item_id"], counts="claims", total=total)
-            .where("item_id <> keeper").select("item_id").unionByName(moved).distinct()
-        )
-        losers = checkpointed(losers.withColumn("lost", F.lit(1)))
-        if losers.isEmpty():
-            final = placed.select("item_id", F.col("path").alias("final_path"))
-            return plan.join(final, "item_id").select(
-                *[F.col("final_path").alias(c) if c == "target_path" else F.col(c) for c in plan.columns]
-            )
-        placed = checkpointed(
-            placed.join(losers, "item_id", "left")
-            .withColumn("n", F.col("n") + F.coalesce("lost", F.lit(0)))
-            .select("item_id", "base", "n", P.numbered_path(F.col("base"), F.col("n")).alias("path"))
-        )
