@@ -34,10 +34,10 @@ def expected_names(plan, existing):
     return out
 
 
-def available(spark, plan, existing):
+def available(spark, plan, existing, **how):
     df = spark.createDataFrame(plan, "item_id long, target_path string")
     busy = spark.createDataFrame([(p,) for p in existing], "path string")
-    return {r.item_id: r.target_path for r in naming.next_available_path(df, busy).collect()}
+    return {r.item_id: r.target_path for r in naming.next_available_path(df, busy, **how).collect()}
 
 
 def test_free_names(spark):
@@ -61,6 +61,8 @@ def test_free_names_at_random(spark, seed):
     plan = [(i, rng.choice(pool)) for i in range(1, 25)]
     existing = rng.sample(pool + ["/t/a.3.txt", "/t/a.5.txt", "/t/a.10.txt", "/t/a.2"], 5)
     assert available(spark, plan, existing) == expected_names(plan, existing)
+    if seed == 5:  # names with four rows or more by range sort
+        assert available(spark, plan, existing, hot_rows=4) == expected_names(plan, existing)
 
 
 @pytest.mark.parametrize("numbered_first", [True, False])

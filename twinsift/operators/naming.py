@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths as P
-from twinsift.operators.skew import attach, rank_within
+from twinsift.operators.skew import HOT_ROWS, attach, hot_keys, rank_within
 from twinsift.session import checkpointed
 
 
@@ -27,21 +27,36 @@ def _numbered_family(path: Column) -> Column:
     return F.array_compact(F.array(own, inner, last))
 
 
-def _free_numbers(askers: DataFrame, blocked: DataFrame) -> DataFrame:
+def _free_numbers(askers: DataFrame, blocked: DataFrame, hot_rows: int | None) -> DataFrame:
     """(item_id, free): the r-th item of a base, by id, gets its r-th number from ``start`` on that is not blocked.
 
     That is its place when the items of askers (base, start, item_id) and the blocked (base, start, n) are
-    merged in order of the free numbers below them, so no name's items are gathered in one place.
+    merged in order of the free numbers below them. Bases are sorted by window; those with ``hot_rows`` or
+    more rows are numbered by a range sort instead, so that they are not gathered in one task.
     """
-    entries = askers.select("base", "start", F.lit(1).alias("wants"), F.col("item_id").alias("number")).unionByName(
-        blocked.where("n >= start").select("base", "start", F.lit(0).alias("wants"), (F.col("n") - F.col("start")).alias("number"))
+    entries = checkpointed(
+        askers.select("base", "start", F.lit(1).alias("wants"), F.col("item_id").alias("number")).unionByName(
+            blocked.where("n >= start")
+            .select("base", "start", F.lit(0).alias("wants"), (F.col("n") - F.col("start")).alias("number"))
+        )
     )
-    ranked = rank_within(entries, ["base", "wants"], ["number"], ["number"], "rank")
+    sizes = entries.groupBy("base").agg(F.count(F.lit(1)).alias("rows"))
+    hot = hot_keys(sizes, ["base"], "rows", hot_rows or HOT_ROWS)
     free_below = F.when(F.col("wants") == 1, F.col("rank")).otherwise(F.col("number") - F.col("rank"))
-    merged = rank_within(
-        ranked.withColumn("free_below", free_below), ["base"], ["free_below", "wants", "number"], ["number"], "place"
+    merged = ["free_below", "wants", "number"]
+    usual = entries if hot is None else entries.join(F.broadcast(hot), "base", "left_anti")
+    place = F.row_number().over(Window.partitionBy("base").orderBy(*merged)) - 1
+    numbered = (
+        usual.repartition("base")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("base", "wants").orderBy("number")) - 1)
+        .withColumn("free_below", free_below)
+        .withColumn("place", place)
     )
-    return merged.where("wants = 1").select(F.col("number").alias("item_id"), (F.col("start") + F.col("place")).alias("free"))
+    if hot is not None:
+        crowd = entries.join(F.broadcast(hot), "base", "left_semi")
+        ranked = rank_within(crowd, ["base", "wants"], ["number"], ["number"], "rank").withColumn("free_below", free_below)
+        numbered = numbered.unionByName(rank_within(ranked, ["base"], merged, ["number"], "place"))
+    return numbered.where("wants = 1").select(F.col("number").alias("item_id"), (F.col("start") + F.col("place")).alias("free"))
 
 
 def _losers(placed: DataFrame, busy: DataFrame, total: int) -> DataFrame:
@@ -58,7 +73,7 @@ def _losers(placed: DataFrame, busy: DataFrame, total: int) -> DataFrame:
     )
 
 
-def _move_on(placed: DataFrame, losers: DataFrame, taken: DataFrame, total: int) -> DataFrame:
+def _move_on(placed: DataFrame, losers: DataFrame, taken: DataFrame, total: int, hot_rows: int | None) -> DataFrame:
     """Losers and the later items of their bases, at the next numbers that they can still get.
 
     In id order the items of a base end at rising numbers. The first loser of a base ends above its present
@@ -78,7 +93,7 @@ def _move_on(placed: DataFrame, losers: DataFrame, taken: DataFrame, total: int)
         .unionByName(held.join(first, "base").where("item_id < first").select("base", "start", "n"))
         .distinct()
     )
-    free = _free_numbers(askers, blocked)
+    free = _free_numbers(askers, blocked, hot_rows)
     n = F.greatest(F.col("n") + F.col("lost"), F.coalesce("free", "n"))
     return checkpointed(
         lost.join(free, "item_id", "left")
@@ -87,7 +102,7 @@ def _move_on(placed: DataFrame, losers: DataFrame, taken: DataFrame, total: int)
     )
 
 
-def next_available_path(plan: DataFrame, existing: DataFrame) -> DataFrame:
+def next_available_path(plan: DataFrame, existing: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Plan (item_id, target_path, ...) with targets that are free when moved in item order.
 
     A taken target becomes ``stem.N.suffix`` with the first free N; the r-th item that wants a name
@@ -106,7 +121,7 @@ def next_available_path(plan: DataFrame, existing: DataFrame) -> DataFrame:
         .select("base", "items", F.lit(0).cast("long").alias("start"))
     )
     crowd = attach(wanted, crowded, ["base"], ["item_id"], counts="items", total=total)
-    numbers = _free_numbers(crowd, taken.join(crowded, "base"))
+    numbers = _free_numbers(crowd, taken.join(crowded, "base"), hot_rows)
     n = F.coalesce("free", F.lit(0).cast("long"))
     placed = checkpointed(
         wanted.join(numbers, "item_id", "left")
@@ -114,7 +129,7 @@ def next_available_path(plan: DataFrame, existing: DataFrame) -> DataFrame:
     )
     losers = _losers(placed, busy, total)
     while not losers.isEmpty():  # numbers only ever rise, and each base has only so many rivals
-        placed = _move_on(placed, losers, taken, total)
+        placed = _move_on(placed, losers, taken, total, hot_rows)
         losers = _losers(placed, busy, total)
     final = placed.select("item_id", F.col("path").alias("final_path"))
     return plan.join(final, "item_id").select(
