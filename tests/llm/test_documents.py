@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 from fractions import Fraction
 from itertools import combinations
@@ -8,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.llm.decontaminate import best_match, contaminated, drop_contaminated, plain
+from twinsift.llm.decontaminate import _Search, best_match, contaminated, drop_contaminated, plain
 from twinsift.llm.mixing import mix
 from twinsift.llm.ngram_join import _apart, similar_documents
 from twinsift.llm.quality_crf import score_quality
@@ -220,6 +221,24 @@ def test_bit_parallel_distance_equals_dynamic_programming():
         assert best_match(bits, len(pattern), text)[0] == sellers(pattern, text)
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Two, words"), (2, "word"), (3, None), (4, "..")], "item_id long, text string")
+    docs = [(1, "two\nwords"), (2, "two wordsmiths, no twowords"), (3, "a WORD"), (4, None), (5, ""), (6, "words two"), (6, "then two words")]
+    df = frame(spark, [(i, t, "a") for i, t in docs])
+    found = sorted(tuple(r) for r in contaminated(df, items).collect())
+    assert found == [(1, 1, 0, 0, 9), (3, 2, 0, 2, 6), (6, 1, 0, 5, 14)]
+    assert sorted(r.doc_id for r in drop_contaminated(df, items).collect()) == [2, 4, 5, 6]
+
+
+def test_hits_with_common_surroundings_share_a_run():
+    item = " ".join(["same"] * 300)
+    text = "same same same same same other "
+    started = time.monotonic()
+    assert _Search([(1, item)], 0.05, 5).matches(text * 4000) == []
+    assert time.monotonic() - started < 20
+    assert _Search([(1, item)], 0.4, 5).matches(text * 70)[0][1] == sellers(item, text * 70)
+
+
 def test_contaminated_equals_brute_force(spark):
     rng = random.Random(13)
     words = [f"{a}{b}" for a in "bdfgklm" for b in ("ane", "oru", "istel", "em")]

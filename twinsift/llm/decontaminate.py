@@ -4,14 +4,15 @@ Texts are compared as lower-cased words joined by one blank. An item of m charac
 up to k = floor(rate * m) edits. Cut into k + 1 pieces, at least one piece is then unharmed, so the
 documents are scanned once for all pieces (Aho-Corasick). Around each hit the least edit distance
 between the item and any part of the text is worked out by Myers' bit-parallel method, on whole
-integers of m bits.
+integers of m bits; hits whose surroundings overlap share one run, so a text that repeats a piece
+is read once per item. Items of fewer than ``edits_from`` words are too short for edits: they are
+found only as the same sequence of whole words.
 
 The items are a stated query set: they are searched in blocks of bounded size, each a pass over the
 documents, and there is no limit on the number of hits.
 
-Edge cases: a null or empty text has no matches; items with fewer than ``least_words`` words cannot
-identify a passage and are not searched; repeated rows each get their matches; a null id is
-reported as null; other columns are not looked at.
+Edge cases: a null or empty text has no matches; an item without words is found nowhere; repeated
+rows each get their matches; a null id is reported as null; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +70,17 @@ def best_match(pattern_bits: dict[str, int], m: int, text: str) -> tuple[int, in
 class _Search:
     """Pieces of a block of items and the bit vectors to verify them."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, edits_from: int):
         import ahocorasick
 
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (item_id, text) in enumerate(items):
             m = len(text)
+            if text.count(" ") + 1 < edits_from:
+                self.items.append((item_id, text, m, 0))
+                pieces.setdefault(f" {text} ", []).append((n, m + 1))
+                continue
             k = int(rate * m)
             self.items.append((item_id, text, m, k))
             for i in range(k + 1):
@@ -97,37 +103,40 @@ class _Search:
         """(item_id, distance, start, end): the best match of each item within its budget; the
         start is that of a part as long as the item."""
         best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
-        for last, places in self.finder.iter(text):
+        windows: dict[int, tuple[int, int]] = {}
+
+        def verify(n: int, a: int, b: int) -> None:
+            _, _, m, k = self.items[n]
+            distance, end = best_match(self._bits(n), m, text[a:b])
+            if distance <= k and (distance, a + end) < best.get(n, (k + 1, 0)):
+                best[n] = (distance, a + end)
+
+        for last, places in self.finder.iter(f" {text} "):
             for n, offset in places:
                 _, item, m, k = self.items[n]
                 if n in best and best[n][0] == 0:
                     continue
-                begin = last + 1 - offset
+                begin = last - offset
+                if begin >= 0 and text.startswith(item, begin):
+                    best[n] = (0, begin + m)
+                    windows.pop(n, None)
+                    continue
                 # Matches that hold this piece in its place lie in this window.
                 a, b = max(0, begin - k), min(len(text), begin + m + k)
-                if tried.get(n) == begin:
-                    continue
-                tried[n] = begin
-                if text.startswith(item, max(begin, 0)) and begin >= 0:
-                    found = (0, begin + m)
-                else:
-                    distance, end = best_match(self._bits(n), m, text[a:b])
-                    found = (distance, a + end)
-                if found[0] <= k and (n not in best or found < best[n]):
-                    best[n] = found
+                if n in windows:
+                    low, high = windows[n]
+                    if a <= high and low <= b:
+                        a, b = min(a, low), max(b, high)
+                    else:
+                        verify(n, low, high)
+                windows[n] = (a, b)
+        for n, (a, b) in windows.items():
+            verify(n, a, b)
         return [(self.items[n][0], d, max(0, end - self.items[n][2]), end) for n, (d, end) in best.items()]
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, rate: float = 0.05, least_words: int = 5, block_chars: int = BLOCK_CHARS
-) -> DataFrame:
-    """(doc_id, item_id, distance, start, end) for each document and the items found in it.
-
-    ``distance`` is the least number of edits; ``start`` and ``end`` are positions in the plain text.
-    """
-    ship_package(docs.sparkSession)
-    schema = "item_id long, plain string"
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, plain text) in blocks of about ``block_chars`` characters."""
 
     def plain_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,19 +145,32 @@ def contaminated(
                 {"item_id": pa.array([i for i, _ in rows], pa.int64()), "plain": pa.array([t for _, t in rows], pa.string())}
             )
 
-    wanted = items.select(F.col("item_id").cast("long"), "text").mapInArrow(plain_items, schema).where(
-        F.size(F.split("plain", " ")) >= least_words
+    ship_package(items.sparkSession)
+    wanted = items.select(F.col("item_id").cast("long"), "text").mapInArrow(plain_items, "item_id long, plain string").where(
+        "plain <> ''"
     )
     size = wanted.agg(F.sum(F.length("plain").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    result = docs.sparkSession.createDataFrame([], _MATCHES)
     for block in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("item_id", "plain"), F.lit(blocks)) == block).distinct()
         chosen = sorted((tuple(r) for r in mine.collect()), key=str)  # about block_chars characters
+        if chosen:
+            yield chosen
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, rate: float = 0.05, edits_from: int = 5, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """(doc_id, item_id, distance, start, end) for each document and the items found in it.
+
+    ``distance`` is the least number of edits; ``start`` and ``end`` are positions in the plain text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    result = docs.sparkSession.createDataFrame([], _MATCHES)
+    for chosen in _blocks(items, block_chars):
 
         def found(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
-            search = _Search(chosen, rate)
+            search = _Search(chosen, rate, edits_from)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch[0], batch[1]):
@@ -156,13 +178,23 @@ def contaminated(
                         rows += [(doc_id.as_py(), *m) for m in search.matches(plain(text.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _ARROW)], schema=_ARROW)
 
-        if chosen:
-            result = result.unionByName(texts.mapInArrow(found, _MATCHES))
+        result = result.unionByName(texts.mapInArrow(found, _MATCHES))
     return result
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents in which no item is found; documents without an id are judged by their text."""
-    marked = docs.withColumn("__n", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    hits = contaminated(marked.select(F.col("__n").alias("doc_id"), "text"), items, **how)
-    return marked.join(hits.select(F.col("doc_id").alias("__n")).distinct(), "__n", "left_anti").drop("__n")
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, rate: float = 0.05, edits_from: int = 5, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The rows of documents in which no item is found, each judged by its own text."""
+
+    def holds(chosen: list[tuple[int, str]]):
+        def judged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            search = _Search(chosen, rate, edits_from)
+            for batch in texts:
+                yield batch.map(lambda t: t is not None and bool(search.matches(plain(t)))).astype(bool)
+
+        return F.pandas_udf(judged, "boolean")
+
+    for chosen in _blocks(items, block_chars):
+        docs = docs.where(~holds(chosen)("text"))
+    return docs
