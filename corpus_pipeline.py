@@ -41,21 +41,22 @@ def lines(spark, docs, sf_dir):
 
 def near_copies(spark, docs, sf_dir):
     """One row, that with the smallest id, of each group of near copies."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__text", F.sha2("text", 256))
     groups = similar_documents(keyed.select(F.col("__key").alias("doc_id"), "text")).select(
         F.col("doc_id").alias("__key"), "component_id"
     )
-    least = (
-        keyed.select("__key", "doc_id")
+    per_key = (
+        keyed.select("__key", "doc_id", "__text")
         .distinct()
-        .join(groups.distinct(), "__key")
-        .groupBy("component_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
-        .select("first.__key")
+        .groupBy("__key")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("id"), F.count(F.lit(1)).alias("n"))
     )
+    least = per_key.join(groups.distinct(), "__key").groupBy("component_id").agg(F.min(F.struct("id", "__key")).alias("first"))
+    # Different rows that chance to share a key stay, rather than one going for the other's copies.
+    kept = least.select("first.__key").unionByName(per_key.where("n > 1").select("__key"))
     # Repeated rows are reduced before they are shuffled.
-    rows = keyed.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rows.join(least, "__key", "left_semi").select("row.*")
+    rows = keyed.groupBy("__key", "doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(kept, "__key", "left_semi").select("row.*")
 
 
 def benchmark(spark, docs, sf_dir):
