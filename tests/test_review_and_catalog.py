@@ -208,6 +208,15 @@ def test_requests_are_idempotent(spark):
     assert got[0][2] == str(uuid.uuid5(uuid.NAMESPACE_URL, "k"))
 
 
+def test_requests_of_one_key_are_spread(spark):
+    asked = spark.range(200).selectExpr("id AS seq", "IF(id % 3 = 0, 'k', concat('k', id)) AS request_key", "'both' AS mode", "array(1L) AS root_ids")
+    none = job_rows(spark).where("false")
+    bridge = none.select("job_id", F.lit(1).cast("long").alias("root_id"))
+    plain = rows(jobs.submit_requests(asked, none, bridge), "seq")
+    assert rows(jobs.submit_requests(asked, none, bridge, hot_rows=5), "seq") == plain
+    assert [r[3] for r in plain].count("existing") == 66
+
+
 def test_names_and_progress(spark):
     assert rows(jobs.display_names(catalog(spark)).select("sequence", "title"), "sequence") == [
         (1, "SCAN-BOTH-0001"), (2, "SCAN-BOTH-0002"), (3, "SCAN-EXACT-0003"), (4, "SCAN-BOTH-0004"), (5, "SCAN-SIMILAR-0005"),
@@ -236,6 +245,10 @@ def test_registering_roots(spark):
     known = spark.createDataFrame([(1, "/nas/a", 1)], "root_id long, path string, enabled int")
     asked = spark.createDataFrame([(1, "/nas/a/"), (2, "/nas/b"), (3, "/nas/./b"), (4, "/tmp")], "seq long, path string")
     assert [r[2] for r in rows(roots.register_roots(asked, known), "seq")] == ["conflict", "created", "conflict", "invalid"]
+    many = spark.range(90).selectExpr("id AS seq", "element_at(array('/nas/b', 'nowhere', concat('/nas/', id)), int(id % 3) + 1) AS path")
+    plain = rows(roots.register_roots(many, known), "seq")
+    assert [r[2] for r in plain].count("invalid") == 30 and [r[2] for r in plain].count("created") == 31
+    assert rows(roots.register_roots(many, known, hot_rows=4), "seq") == plain
     off = spark.createDataFrame([(1, False)], "root_id long, enabled boolean")
     assert roots.set_enabled(known, off).first().enabled == 0
     nobody = spark.createDataFrame([], "job_id string, root_id long")
@@ -254,6 +267,15 @@ def test_resolving_roots(spark):
     assert none.first().error == "no scan roots selected"
 
 
+def test_checks_observed_while_a_table_is_written(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS file_id", "element_at(array('keep', 'burn', null, 'trash'), int(id % 4) + 1) AS decision", "id AS size_bytes")
+    table, seen = integrity.watch_table(df, {"decision": ["keep", "trash"]}, ["size_bytes"])
+    table.write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    apart = integrity.check_enums(stored, {"decision": ["keep", "trash"]}).first()
+    assert seen.get == {"rows": stored.count(), "bad_decision": apart["rows"], "sum_size_bytes": 499500}
+
+
 def test_integrity_checks(spark):
     df = spark.createDataFrame([(1, "keep"), (2, "burn"), (2, "burn"), (None, None)], "file_id long, decision string")
     assert rows(integrity.check_enums(df, {"decision": DECISIONS}), "value") == [("decision", "burn", 2)]

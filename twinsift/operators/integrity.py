@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,20 @@ def check_enums(table: DataFrame, allowed: dict[str, Sequence[str]]) -> DataFram
     )
 
 
+def watch_table(table: DataFrame, allowed: dict[str, Sequence[str]], totals: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """The table to write and what is observed while it is written, without a pass of its own.
+
+    The observation has ``rows``, ``bad_<column>`` (rows with a value outside the allowed ones) and
+    ``sum_<column>`` of the columns in ``totals``. Write the returned table as it is: metrics of the
+    stage that writes count each task once, those of a stage behind a shuffle again when it is repeated.
+    """
+    seen = Observation()
+    # A null is in no list and not outside of it either, as in check_enums.
+    bad = [F.count_if(~F.col(c).isin(list(values))).alias(f"bad_{c}") for c, values in allowed.items()]
+    sums = [F.sum(c).alias(f"sum_{c}") for c in totals]
+    return table.observe(seen, F.count(F.lit(1)).alias("rows"), *bad, *sums), seen
+
+
 def check_unique(table: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return table.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -168,12 +168,14 @@ def update_status(
     )
 
 
-def submit_requests(requests: DataFrame, jobs: DataFrame, job_roots: DataFrame, submission: str = "") -> DataFrame:
+def submit_requests(
+    requests: DataFrame, jobs: DataFrame, job_roots: DataFrame, submission: str = "", hot_rows: int | None = None
+) -> DataFrame:
     """Outcome of job requests (seq, request_key, mode, root_ids sorted): new, existing, conflict.
 
     The first request with a key owns the job id; later ones must ask for the same. A request with
     a null or empty key is one of its own: its id comes from ``submission`` and its seq, so that a
-    retry of the same submission repeats it.
+    retry of the same submission repeats it. Requests that share a key are spread over tasks.
     """
     own = F.concat(F.lit(f"\0{submission}\0"), F.col("seq").cast("string"))
     asked = requests.withColumn("job_id", idempotent_job_id(F.coalesce(F.nullif("request_key", F.lit("")), own)))
@@ -181,9 +183,12 @@ def submit_requests(requests: DataFrame, jobs: DataFrame, job_roots: DataFrame,
         job_roots.groupBy("job_id").agg(F.sort_array(F.collect_list("root_id")).alias("old_roots")), "job_id", "left"
     )
     stored = stored.withColumn("old_roots", F.coalesce("old_roots", F.array().cast("array<bigint>")))
-    first = asked.groupBy("job_id").agg(F.min(F.struct("seq", "mode", "root_ids")).alias("first"))
+    first = asked.groupBy("job_id").agg(
+        F.min(F.struct("seq", "mode", "root_ids")).alias("first"), F.count(F.lit(1)).alias("asked")
+    )
     owner = first.join(stored, "job_id", "left").select(
         "job_id",
+        "asked",
         F.when(F.col("old_mode").isNull(), F.col("first.seq")).alias("owner_seq"),
         F.coalesce("old_mode", "first.mode").alias("owner_mode"),
         F.coalesce("old_roots", "first.root_ids").alias("owner_roots"),
@@ -192,7 +197,8 @@ def submit_requests(requests: DataFrame, jobs: DataFrame, job_roots: DataFrame,
     outcome = (
         F.when(F.col("seq").eqNullSafe(F.col("owner_seq")), "new").when(same, "existing").otherwise("conflict")
     )
-    return asked.join(owner, "job_id").select("seq", "request_key", "job_id", outcome.alias("outcome"))
+    judged = attach(asked, owner, ["job_id"], ["seq"], counts="asked", hot_rows=hot_rows)
+    return judged.select("seq", "request_key", "job_id", outcome.alias("outcome"))
 
 
 def display_names(jobs: DataFrame) -> DataFrame:

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.paths import canonical_root, root_error
+from twinsift.operators.skew import attach
 
 
-def register_roots(requests: DataFrame, roots: DataFrame) -> DataFrame:
-    """Outcome of registering paths (seq, path): created, conflict or invalid with the reason."""
+def register_roots(requests: DataFrame, roots: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Outcome of registering paths (seq, path): created, conflict or invalid with the reason.
+
+    Invalid paths have no canonical form and take no part in the joins.
+    """
     clean = requests.select(
         "seq", canonical_root(F.col("path")).alias("canonical"), root_error(F.col("path")).alias("error")
     )
-    first = clean.where("canonical IS NOT NULL").groupBy("canonical").agg(F.min("seq").alias("first_seq"))
+    valid = clean.where("canonical IS NOT NULL")
+    first = valid.groupBy("canonical").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("asked"))
     known = roots.select(F.col("path").alias("canonical"), F.lit(True).alias("known"))
-    judged = clean.join(first, "canonical", "left").join(known, "canonical", "left")
-    outcome = (
-        F.when(F.col("canonical").isNull(), "invalid")
-        .when(F.coalesce("known", F.lit(False)) | (F.col("seq") != F.col("first_seq")), "conflict")
-        .otherwise("created")
-    )
-    return judged.select("seq", "canonical", outcome.alias("outcome"), "error")
+    judged = attach(valid, first.join(known, "canonical", "left"), ["canonical"], ["seq"], counts="asked", hot_rows=hot_rows)
+    conflict = F.coalesce("known", F.lit(False)) | (F.col("seq") != F.col("first_seq"))
+    outcome = F.when(conflict, "conflict").otherwise("created")
+    refused = clean.where("canonical IS NULL").select("seq", "canonical", F.lit("invalid").alias("outcome"), "error")
+    return judged.select("seq", "canonical", outcome.alias("outcome"), "error").unionByName(refused)
 
 
 def set_enabled(roots: DataFrame, updates: DataFrame) -> DataFrame:
@@ -35,7 +38,8 @@ def set_enabled(roots: DataFrame, updates: DataFrame) -> DataFrame:
 def resolve_roots(requests: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots of each request (request_id, root_ids): sorted distinct, or why it is refused.
 
-    A request without roots gets all enabled ones. The arrays hold at most one entry per root.
+    A request without roots gets all enabled ones, after the join: that array is never shuffled with the
+    requests. The arrays hold at most one entry per root.
     """
     all_enabled = roots.where(F.col("enabled") == 1).agg(F.sort_array(F.collect_list("root_id"))).scalar()
     asked = requests.select("request_id", F.explode(F.array_distinct("root_ids")).alias("root_id"))
@@ -44,15 +48,14 @@ def resolve_roots(requests: DataFrame, roots: DataFrame) -> DataFrame:
         F.count_if(F.col("enabled").isNull()).alias("unknown"),
         F.count_if(F.col("enabled") != 1).alias("disabled"),
     )
-    chosen = F.coalesce(F.col("chosen"), F.col("all_enabled"))
+    chosen = F.coalesce(F.col("chosen"), all_enabled)
     error = (
         F.when(F.col("unknown") > 0, "one or more scan roots were not found")
         .when(F.col("disabled") > 0, "disabled scan root selected")
         .when(F.size(chosen) == 0, "no scan roots selected")
     )
     return (
-        requests.select("request_id", all_enabled.alias("all_enabled"))
-        .join(found, "request_id", "left")
+        requests.select("request_id").join(found, "request_id", "left")
         .select("request_id", F.when(error.isNull(), chosen).alias("root_ids"), error.alias("error"))
     )
 
