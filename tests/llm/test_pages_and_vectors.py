@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from twinsift.llm.embedding_join import near_duplicates
+from twinsift.llm.embedding_join import BLOCKS, _budgets, _cuts, _meetings, _rotated, _side, near_duplicates
 from twinsift.llm.toxicity import _EVENT, _STATES, _STEP
 from twinsift.llm.url_filter import judge_urls
 from twinsift.llm.warc import read_archive, write_archive
@@ -48,12 +48,30 @@ def test_vectors_equal_brute_force(spark):
     rows += [(405, rows[0][1], None), (406, [1.0, 2.0, 3.0], 1), (407, [2.0, 4.0, 6.0], 1), (None, rows[0][1], rows[0][2]), (408, [5.0], 0)]
     for kind in ("float", "double"):
         df = spark.createDataFrame([(*r, "x", 3) for r in rows], f"vec_id long, embedding array<{kind}>, label int, class string, x int")
-        for size in (2048, 7):
-            got = near_duplicates(df, slice_rows=size).collect()
+        for size, packed in ((2048, 16_384), (7, 5)):
+            got = near_duplicates(df, slice_rows=size, packed_rows=packed).collect()
             assert sorted(map(tuple, got), key=str) == brute(rows)
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_blocks_bring_few_of_all_pairs_together_and_no_near_one_is_missed():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((1500, 64))
+    vectors[1400:] = vectors[:100] + 0.1 * rng.standard_normal((100, 64))
+    turned = _rotated(vectors).astype(np.float32)
+    cuts, budgets = _cuts(64), _budgets(64, 0.98)
+    everyone, met = np.arange(len(turned)), 0
+    for a, b, budget in zip(cuts[:-1], cuts[1:], budgets):
+        part = turned[:, a:b]
+        pairs = [(i[i < j], j[i < j]) for i, j in _meetings(part, everyone, everyone, _side(budget), np.zeros(len(part), dtype=bool))]
+        pairs = {(x, y) for i, j in pairs for x, y in zip(i.tolist(), j.tolist())}
+        met += len(pairs)
+        for i in range(len(part)):
+            near = np.flatnonzero(((part[i] - part[i + 1 :]) ** 2).sum(axis=1) <= budget) + i + 1
+            assert all((i, j) in pairs for j in near.tolist())
+    assert len(cuts) == BLOCKS + 1 and met <= 0.2 * len(turned) * (len(turned) - 1) / 2
+
+
 def test_urls(spark):
     rules = spark.createDataFrame(
         [("org", "/", "allow"), ("b.org", "/x/", "block"), ("c.b.org", "", "allow"), ("b.org", "/x/", "allow"), ("", "/any", "block")],
