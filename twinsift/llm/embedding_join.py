@@ -6,10 +6,10 @@ range-joined twice. The first join moves nothing but a block's coordinates, pack
 one; inside a slab a grid of the first five coordinates, with cells as wide as the budget allows, brings
 a vector together with those of its own and the adjacent cells. It tells which vectors agree with any
 other in a block. Only these, and only for such blocks, move as a whole: what agrees in a block is
-verified on the whole vectors in double precision, and counts in the first block in which it agrees, so
+verified, by the same grid, on the whole vectors in double precision, and counts in the first block in which it agrees, so
 the union of the blocks needs no pairs to be kept.
 
-Equal vectors are compared once. A slab or cell with many vectors is cut into slices and each pair of
+Equal vectors are compared once. A slab with many vectors is cut into slices and each pair of
 slices is a task of its own, so one that holds a third of all vectors is compared in bounded pieces. A
 task returns flags, or counts and the edges of a spanning forest, never its pairs.
 
@@ -40,13 +40,13 @@ SLAB = 4
 # Vectors of a slab that one side of a task holds, and of a packed row.
 PACKED = 16_384
 PACK = 2048
-# Vectors of one cell and its neighbours that one side of a task compares.
-SLICE = 2048
+# Whole vectors of a slab that one side of a task compares.
+SLICE = 4096
 _SLACK = 1e-9
 _PAIRS_AT_ONCE = 20_000
 _LOOKUPS = 1 << 18
 _PACKS = "label string, width int, block int, slab long, home boolean, n int, first long, ids binary, parts binary"
-_CELLS = "class string, copies long, label string, block int, x long, y long, home boolean, vector array<{}>"
+_CELLS = "class string, copies long, label string, block int, slab long, home boolean, vector array<{}>"
 _FOUND = "class string, root string, links long"
 
 
@@ -182,8 +182,8 @@ def _agreeing(table: pa.Table, cosine: float) -> pa.Table:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Each vector in its home cell and as a visitor in four adjacent cells, for each block in which it
-    agrees with another one: those of the bits of ``agrees``."""
+    """Each vector in its slab, and from the top cells also as a visitor in the next one, for each block
+    in which it agrees with another one: those of the bits of ``agrees``."""
     for batch in batches:
         sizes = np.array([len(v) for v in batch["vector"]])
         for size in np.unique(sizes):
@@ -194,19 +194,18 @@ def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
             for block, (a, b, budget) in enumerate(zip(cuts[:-1], cuts[1:], budgets)):
                 here = agrees >> block & 1 == 1
                 part, turned = whole.filter(pa.array(here)), whole_turned[here]
-                side = _side(budget)
-                x = np.floor(turned[:, a] / side).astype(np.int64)
-                y = np.floor(turned[:, a + 1] / side).astype(np.int64) if b - a > 1 else np.zeros_like(x)
-                for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)):
+                cell = np.floor(turned[:, a] / _side(budget)).astype(np.int64)
+                for rows, step in ((np.arange(len(cell)), 0), (np.flatnonzero(cell % SLAB == SLAB - 1), 1)):
+                    some = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [part["class"], part["copies"], part["label"], pa.array(np.full(len(x), block), pa.int32()),
-                         pa.array(x + dx), pa.array(y + dy), pa.array(np.full(len(x), (dx, dy) == (0, 0))), part["vector"]],
-                        names=["class", "copies", "label", "block", "x", "y", "home", "vector"],
+                        [some["class"], some["copies"], some["label"], pa.array(np.full(len(rows), block), pa.int32()),
+                         pa.array(cell[rows] // SLAB + step), pa.array(np.full(len(rows), step == 0)), some["vector"]],
+                        names=["class", "copies", "label", "block", "slab", "home", "vector"],
                     )
 
 
 def _compared(table: pa.Table, cosine: float) -> pa.Table:
-    """Links among the vectors of a cell, or between two slices of it."""
+    """Links among the vectors of a slab, or between two slices of it."""
     vectors = _vectors(table["vector"])
     block = table["block"][0].as_py()
     one = table["slice"].to_numpy() == table["one"][0].as_py()
@@ -220,7 +219,6 @@ def _compared(table: pa.Table, cosine: float) -> pa.Table:
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     left, right = np.flatnonzero(one), np.flatnonzero(other)
     part = turned[:, cuts[block] : cuts[block + 1]]
-    square = np.einsum("ij,ij->i", part, part)
     links = np.zeros(len(names), dtype=np.int64)
     root = np.arange(len(names))
 
@@ -231,17 +229,16 @@ def _compared(table: pa.Table, cosine: float) -> pa.Table:
         return i
 
     same = table["one"][0].as_py() == table["two"][0].as_py()
-    step = max(1, (1 << 20) // max(1, len(right)))
-    for begin in range(0, len(left), step):
-        rows = left[begin : begin + step]
-        near = square[rows][:, None] + square[right][None, :] - 2 * part[rows] @ part[right].T <= budgets[block] + _SLACK
-        near &= turned[rows] @ turned[right].T >= cosine - _SLACK
-        near &= home[rows][:, None] | home[right][None, :]
+    for at, to in _meetings(part, left, right, _side(budgets[block]), np.zeros(len(names), dtype=bool)):
+        ok = home[at] | home[to]
         if same:  # each pair once
-            near &= rows[:, None] < right[None, :]
-        at, to = np.nonzero(near)
+            ok &= at < to
+        at, to = at[ok], to[ok]
+        gap = part[at] - part[to]
+        near = np.einsum("ij,ij->i", gap, gap) <= budgets[block] + _SLACK
+        at, to = at[near], to[near]
         for k in range(0, len(at), _PAIRS_AT_ONCE):
-            i, j = rows[at[k : k + _PAIRS_AT_ONCE]], right[to[k : k + _PAIRS_AT_ONCE]]
+            i, j = at[k : k + _PAIRS_AT_ONCE], to[k : k + _PAIRS_AT_ONCE]
             exact = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (norms[i] * norms[j]) >= cosine
             i, j = i[exact], j[exact]
             gap = np.add.reduceat((turned[i] - turned[j]) ** 2, cuts[:-1], axis=1) if len(i) else np.zeros((0, 1))
@@ -249,7 +246,10 @@ def _compared(table: pa.Table, cosine: float) -> pa.Table:
             i, j = i[first], j[first]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
-            for a, b in zip(i.tolist(), j.tolist()):
+            while (root != root[root]).any():
+                root = root[root]
+            apart = root[i] != root[j]
+            for a, b in zip(i[apart].tolist(), j[apart].tolist()):
                 a, b = top(a), top(b)
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -312,7 +312,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, slice_rows: int =
     named = classes.drop("least").withColumn("id", F.xxhash64("class"))
     flagged = checkpointed(named.join(agreeing(named, cosine, packed_rows), "id"))
     cells = flagged.mapInArrow(lambda batches: _cells(batches, cosine), _CELLS.format(number))
-    key = ["label", "width", "block", "x", "y"]
+    key = ["label", "width", "block", "slab"]
     cells = cells.withColumn("width", F.size("vector"))
     sized = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes"))
     dealt = _sliced(cells, sized.where("homes > 0 and rows > 1"), key, "class", "rows", slice_rows)
