@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import from_hex64, hamming
 from twinsift.operators.components import connected_components
+from twinsift.operators.near_rows import pairs_across, pairs_within
 from twinsift.operators.skew import attach
-from twinsift.operators.slices import class_sizes, triangle_join
+from twinsift.operators.slices import class_sizes, triangle_sides
 from twinsift.schemas import DEFAULT_THRESHOLD, PHASH
 from twinsift.session import checkpointed
 from twinsift.sources.tables import files_in_roots
@@ -97,56 +98,25 @@ def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
     return filed.select(F.col("child").alias("path"), F.col("bucket").bitwiseOR(block).alias("bucket"), "print", *kept)
 
 
-def _sized(rows: DataFrame, level: int, total: int | None, hot_rows: int | None) -> DataFrame:
-    """Rows of buckets that can hold a pair, with bucket size and one fixed member (hub).
+def _crowded(rows: DataFrame, level: int, bucket_rows: int) -> DataFrame:
+    """Buckets of more than ``bucket_rows`` prints with one fixed member (hub). ``meets`` tells whether a
+    bucket can hold a pair: prints filed with the same flipped bit agree in that block and meet under
+    their own value already, so a bucket where all rows flip the same bit has none.
 
-    Prints filed with the same flipped bit agree in that block and meet under their own value
-    already, so a bucket where all rows flip the same bit is dropped.
+    There are at most as many as filed rows by ``bucket_rows``, so the list is broadcast.
     """
     flip = F.col(f"flip{level}")
-    buckets = (
-        rows.groupBy("path", "bucket")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min("print").alias("hub"),
-            F.min(flip).alias("least"),
-            F.max(flip).alias("most"),
-        )
-        .where("size > 1 AND (least < most OR most = 0)")
-        .select("path", "bucket", "size", "hub")
+    sizes = rows.groupBy("path", "bucket").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("print").alias("hub"),
+        ((F.min(flip) < F.max(flip)) | (F.max(flip) == 0)).alias("meets"),
     )
-    return attach(
-        rows, buckets, ["path", "bucket"], ["print"], counts="size", hot_rows=hot_rows, total=total
-    )
-
-
-def _meets(flips: list[str]):
-    """Whether a pair with a < b counts in this bucket: one bucket per block and pair."""
-    match = F.lit(True)
-    for f in flips:
-        match = match & ((F.col(f"{f}_a") == 0) | (F.col(f"{f}_a") < F.col(f"{f}_b")))
-    return match
+    return checkpointed(sizes.where(F.col("size") > bucket_rows))
 
 
 def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> DataFrame:
     """Pairs of one bucket within the threshold, each found once per block that shows it."""
-    near = hamming(F.col("print"), F.col("hub")) <= threshold
-    rows = rows.withColumn("near", near)
-    flips = [f"flip{i}" for i in range(level + 1)]
-    a = rows.select("path", "bucket", F.col("print").alias("a"), F.col("near").alias("near_a"),
-                    *[F.col(f).alias(f"{f}_a") for f in flips])
-    b = rows.select("path", "bucket", F.col("print").alias("b"), F.col("near").alias("near_b"),
-                    *[F.col(f).alias(f"{f}_b") for f in flips])
-    match = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold) & _meets(flips)
-    if links_only:
-        match = match & ~(F.col("near_a") & F.col("near_b"))
-    pairs = (
-        a.join(b, ["path", "bucket"]).where(match).select("a", "b")
-    )
-    if links_only:
-        spokes = rows.where("near AND print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
-        pairs = pairs.unionByName(spokes)
-    return pairs
+    return pairs_within(rows, ["bucket", "path"], [f"flip{i}" for i in range(level + 1)], threshold, links_only)
 
 
 def _compare_slices(rows: DataFrame, level: int, threshold: int, links_only: bool, slice_rows: int) -> DataFrame:
@@ -159,11 +129,12 @@ def _compare_slices(rows: DataFrame, level: int, threshold: int, links_only: boo
     kept = [f"flip{i}" for i in range(level)]
     near = hamming(F.col("print"), F.col("hub")) <= threshold
     rows = rows.withColumn("near", near)
-    met = triangle_join(rows, ["path", "bucket"], "print", last, ["near", *kept], slice_rows)
-    match = (hamming(F.col("print_a"), F.col("print_b")) <= threshold) & _meets([*kept, last])
-    if links_only:
-        match = match & ~(F.col("near_a") & F.col("near_b"))
-    pairs = met.where(match).select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
+    flips, closeness = [*kept, last], "near" if links_only else None
+    own, across = triangle_sides(rows, ["path", "bucket"], "print", last, ["near", *kept], slice_rows)
+    within = pairs_within(own, ["bucket", "path", "slice"], flips, threshold, links_only, near=closeness)
+    pairs = within.unionByName(
+        pairs_across(across, ["bucket", "path", "kind_one", "one", "kind_two", "two"], threshold, flips, near=closeness)
+    )
     if links_only:
         spokes = rows.where("near AND print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
         pairs = pairs.unionByName(spokes)
@@ -186,21 +157,24 @@ def _search(
     if threshold == 0:
         return distinct.sparkSession.createDataFrame([], "a long, b long")
     found = None
+    distinct = distinct.where("print IS NOT NULL")
     prints = distinct.count()
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
     paths = {0: list(range(64))}
     bucket, level = ["path", "bucket"], 0
     while True:
         rules, below = _children(paths, threshold)
-        total = prints * len(rules) if level == 0 else None
-        rows = _sized(_file_under(rows, rules, level), level, total, hot_rows)
+        rows = _file_under(rows, rules, level)
         if prints <= bucket_rows:
             return _compare(rows, level, threshold, links_only).distinct()
-        small = _compare(rows.where(F.col("size") <= bucket_rows), level, threshold, links_only)
+        over = _crowded(rows, level, bucket_rows)
+        small = rows if over.isEmpty() else rows.join(F.broadcast(over.select(*bucket)), bucket, "left_anti")
+        small = _compare(small, level, threshold, links_only)
         found = small if found is None else found.unionByName(small)
-        crowded = checkpointed(rows.where(F.col("size") > bucket_rows))
-        if crowded.isEmpty():
+        over = over.where("meets").drop("meets")
+        if over.isEmpty():
             return found.distinct()
+        crowded = checkpointed(rows.join(F.broadcast(over), bucket))
         shapes = class_sizes(crowded, bucket, f"flip{level}")
         told = checkpointed(
             attach(crowded.drop("size"), shapes, bucket, ["print"], counts="size", hot_rows=hot_rows)

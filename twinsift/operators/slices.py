@@ -27,14 +27,11 @@ def _slice(by: Sequence[str], slices: Column) -> Column:
     return F.pmod(F.xxhash64(*by), slices.cast("long")).cast("int")
 
 
-def sliced_join(
+def sliced_sides(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str],
     slice_rows: int = SLICE_ROWS, hot_rows: int | None = None,
-) -> DataFrame:
-    """Inner join in which both sides may have any number of rows per key.
-
-    ``left_by`` and ``right_by`` tell the rows of a key apart. The sides share no column but ``keys``.
-    """
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of :func:`sliced_join` and the keys, slices among them, on which they meet."""
     keys = list(keys)
     counted = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     crowded = checkpointed(
@@ -44,7 +41,7 @@ def sliced_join(
         .withColumn("__down", _slices("__right", slice_rows))
     )
     if crowded.isEmpty():
-        return left.join(right, keys)
+        return left, right, keys
     one = F.lit(1)
     across, down = F.coalesce("__across", one), F.coalesce("__down", one)
     extra = ["__left", "__right", "__across", "__down"]
@@ -60,7 +57,19 @@ def sliced_join(
         .withColumn("__i", F.explode(F.sequence(F.lit(0), across - 1)))
         .drop(*extra)
     )
-    return placed.join(met, [*keys, "__i", "__j"]).drop("__i", "__j")
+    return placed, met, [*keys, "__i", "__j"]
+
+
+def sliced_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str],
+    slice_rows: int = SLICE_ROWS, hot_rows: int | None = None,
+) -> DataFrame:
+    """Inner join in which both sides may have any number of rows per key.
+
+    ``left_by`` and ``right_by`` tell the rows of a key apart. The sides share no column but ``keys``.
+    """
+    placed, met, on = sliced_sides(left, right, keys, left_by, right_by, slice_rows, hot_rows)
+    return placed.join(met, on).drop("__i", "__j")
 
 
 def class_sizes(rows: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
@@ -81,17 +90,28 @@ def class_sizes(rows: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     )
 
 
-def triangle_join(
+def triangle_sides(
     rows: DataFrame, keys: Sequence[str], by: str, kind: str, carried: Sequence[str], slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """All pairs of rows with the same key that may meet, once: columns of the row with the smaller ``by``
-    with suffix ``_a``, of the other with ``_b``.
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`triangle_join` pairs, without pairing it: (rows of one slice each, where all pairs of a
+    ``slice`` meet; rows of pairs of slices ``kind_one``, ``one``, ``kind_two``, ``two``, where those of
+    ``side`` 0 meet those of ``side`` 1)."""
+    dealt = _dealt(rows, keys, by, kind, carried, slice_rows)
+    same = F.col("__one") == F.col("__two")
+    own = dealt.where(same).select(*keys, F.col("__one.slice").alias("slice"), by, kind, *carried)
+    across = dealt.where(~same).select(
+        *keys,
+        F.col("__one.kind").alias("kind_one"), F.col("__one.slice").alias("one"),
+        F.col("__two.kind").alias("kind_two"), F.col("__two.slice").alias("two"),
+        (F.col("__own") == F.col("__two")).cast("int").alias("side"), by, kind, *carried,
+    )
+    return own, across
 
-    ``rows`` has the ``classes`` of its key from :func:`class_sizes`. Slices are of one kind each, and
-    slices of one kind other than 0 are not paired with each other, so a key flooded by one kind
-    costs its few other rows times that kind, not the square of it.
-    """
-    keys, carried = list(keys), list(carried)
+
+def _dealt(
+    rows: DataFrame, keys: Sequence[str], by: str, kind: str, carried: Sequence[str], slice_rows: int
+) -> DataFrame:
+    """Each row once for every pair of slices (``__one``, ``__two``) that its own slice is in."""
     count = lambda c: F.ceil(c["n"] / F.lit(slice_rows)).cast("int")
     own = F.element_at(F.filter("classes", lambda c: c["kind"] == F.col(kind)), 1)
     every = F.flatten(
@@ -102,7 +122,7 @@ def triangle_join(
             ),
         )
     )
-    dealt = (
+    return (
         rows.withColumn("__own", F.struct(F.col(kind).cast("int").alias("kind"), _slice([by], count(own)).alias("slice")))
         .withColumn(
             "__other",
@@ -112,6 +132,20 @@ def triangle_join(
         .withColumn("__two", F.greatest("__own", "__other"))
         .select(*keys, "__own", "__one", "__two", by, kind, *carried)
     )
+
+
+def triangle_join(
+    rows: DataFrame, keys: Sequence[str], by: str, kind: str, carried: Sequence[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """All pairs of rows with the same key that may meet, once: columns of the row with the smaller ``by``
+    with suffix ``_a``, of the other with ``_b``.
+
+    ``rows`` has the ``classes`` of its key from :func:`class_sizes`. Slices are of one kind each, and
+    slices of one kind other than 0 are not paired with each other, so a key flooded by one kind
+    costs its few other rows times that kind, not the square of it.
+    """
+    keys, carried = list(keys), list(carried)
+    dealt = _dealt(rows, keys, by, kind, carried, slice_rows)
     side = lambda which, tag: dealt.where(F.col("__own") == F.col(which)).select(
         *keys, "__one", "__two", *[F.col(c).alias(f"__{c}_{tag}") for c in (by, kind, *carried)]
     )
