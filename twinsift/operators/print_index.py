@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
 from twinsift.operators.components import connected_components
+from twinsift.operators.near_rows import meetings
 from twinsift.operators.similar import similar_links
 from twinsift.operators.skew import attach
-from twinsift.operators.slices import SLICE_ROWS, sliced_join
+from twinsift.operators.slices import SLICE_ROWS, sliced_sides
 from twinsift.schemas import DEFAULT_THRESHOLD
 from twinsift.session import checkpointed
 from twinsift.sources.tables import replace_partition
@@ -100,10 +101,13 @@ def _meet(
     homes: DataFrame, probes: DataFrame, threshold: int, slice_rows: int, hot_rows: int | None
 ) -> DataFrame:
     """Pairs (print, probe) within the threshold, each in the first block that shows it."""
-    met = sliced_join(homes, probes, ["block", "value"], ["print"], ["probe"], slice_rows, hot_rows)
-    a, b = F.col("print"), F.col("probe")
-    near = (hamming(a, b) <= threshold) & (F.col("block") == _first_block(a, b, threshold))
-    return met.where(near).select("print", "probe")
+    homes, probes, on = sliced_sides(homes, probes, ["value", "block"], ["print"], ["probe"], slice_rows, hot_rows)
+    sides = homes.select(*on, F.lit(0).alias("side"), "print").unionByName(
+        probes.select(*on, F.lit(1).alias("side"), F.col("probe").alias("print"))
+    )
+    met = meetings(sides, on, "block", threshold)
+    a, b = F.col("a"), F.col("b")
+    return met.where(F.col("block") == _first_block(a, b, threshold)).select(a.alias("print"), b.alias("probe"))
 
 
 def delta_pairs(
@@ -117,13 +121,13 @@ def delta_pairs(
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     fresh = checkpointed(new_prints(index, prints))
-    probes = probe_prints(fresh, threshold)
-    old = _meet(index, probes, threshold, slice_rows, hot_rows)
-    own = _meet(file_prints(fresh, threshold), probes, threshold, slice_rows, hot_rows).where("print < probe")
+    homes = index.select("block", "value", "print").unionByName(file_prints(fresh, threshold))
+    met = _meet(homes, probe_prints(fresh, threshold), threshold, slice_rows, hot_rows).where("print <> probe")
     a, b = F.col("print"), F.col("probe")
-    return old.unionByName(own).select(
+    # Two new prints meet twice, each as the probe of the other; the index may hold a print twice.
+    return met.select(
         F.least(a, b).alias("print_a"), F.greatest(a, b).alias("print_b"), hamming(a, b).alias("distance")
-    )
+    ).distinct()
 
 
 def pairs_after(
