@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints as fp
+from workload import derived
 
 
 def expected_samples(data, k):
@@ -72,3 +73,21 @@ def test_hex_round_trip(spark):
     texts = ["0" * 16, "f" * 16, "8000000000000000", "7fffffffffffffff", "0123456789abcdef"]
     df = spark.createDataFrame([(t,) for t in texts], "h string")
     assert [r[0] for r in df.select(fp.to_hex64(fp.from_hex64(F.col("h")))).collect()] == texts
+
+
+def test_a_table_in_many_pieces_is_hashed_where_it_is_read(spark, tmp_path):
+    """Only a table in few pieces is spread first; either way the rows are the same."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    pieces = {"few": 1, "many": 3 * spark.sparkContext.defaultParallelism}
+    found, shuffled = {}, {}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        for name, n in pieces.items():
+            docs.repartition(n).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+            got = derived.contents(spark, f"{tmp_path}/{name}")
+            shuffled[name] = "Exchange" in got._jdf.queryExecution().executedPlan().toString()
+            found[name] = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert shuffled == {"few": True, "many": False}
+    assert len(found["few"]) == 60 and found["few"] == found["many"]

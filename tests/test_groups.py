@@ -8,6 +8,7 @@ from twinsift.functions.fingerprints import fingerprint
 from twinsift.operators import exact, scoring, similar
 from twinsift.operators.components import connected_components
 from twinsift.operators.integrity import check_one_primary
+from twinsift.session import checkpointed
 
 
 def signed(v):
@@ -206,3 +207,29 @@ def test_scoring_rules(spark):
         ("b", 5, 4.0, "max_size,earliest_mtime", 1),
         ("b", 6, 4.0, "max_size,earliest_mtime", 0),
     ]
+
+
+@pytest.mark.parametrize("threshold", [2, 8])
+def test_crowded_buckets_are_told_from_the_prints_own_values(spark, threshold):
+    rng = random.Random(threshold)
+    values = {rng.getrandbits(64) & 0x3F00003F00003F for _ in range(300)} | {rng.getrandbits(64) for _ in range(300)}
+    base = spark.createDataFrame([(similar._signed(v),) for v in sorted(values)], "print long")
+    rows_ = base.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
+    paths = {0: list(range(64))}
+    for level in (0, 1):
+        if not paths:
+            break
+        rules, below = similar._children(paths, threshold)
+        rows_ = checkpointed(similar._file_under(rows_, rules, level))
+        flip = F.col(f"flip{level}")
+        counted = rows_.groupBy("path", "bucket").agg(
+            F.count(F.lit(1)).alias("size"), F.min("print").alias("hub"),
+            ((F.min(flip) < F.max(flip)) | (F.max(flip) == 0)).alias("meets"),
+        )
+        for bucket_rows in (1, 20):
+            want = sorted(map(tuple, counted.where(F.col("size") > bucket_rows).collect()))
+            got = similar._crowded(rows_, rules, level, bucket_rows).select("path", "bucket", "size", "hub", "meets")
+            assert sorted(map(tuple, got.collect())) == want and want
+        rows_ = rows_.withColumn("parent", F.lit(99).cast("long"))
+        paths = {p: free for p, free in below.items() if len(free) > threshold}
+        rows_ = rows_.where(F.col("path").isin(list(paths)))

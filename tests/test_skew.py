@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
+from twinsift.operators import skew
 from twinsift.operators.skew import attach, global_index, hot_keys, rank_within
 
 
@@ -88,3 +89,25 @@ def test_semi_and_anti_joins_spread_hot_keys(spark):
     assert kept.columns == gone.columns == ["k", "v"]
     assert (kept.count(), gone.count()) == (2000, 1000)
     assert kept.select("k").distinct().count() == 2 and gone.select("v").distinct().count() == 1000
+
+
+def test_hot_keys_are_found_without_counting_every_key(spark, monkeypatch):
+    """Keys are counted one by one only in parts of the keys that a hot key can be in."""
+    data = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}", i) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, id long")
+    counted = []
+    above = skew._above
+    monkeypatch.setattr(skew, "_above", lambda sized, *rest: counted.append(sized.count()) or above(sized, *rest))
+    found = skew.hot_keys_of(df, ["k"], 200)
+    assert sorted(map(tuple, found.collect()), key=str) == [("hot", 2), (None, 2)]
+    assert 2 <= counted.pop() < 50
+    assert skew.hot_keys_of(df, ["k"], 400) is None and not counted
+
+
+def test_pinned_values_are_not_written_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(skew, "checkpointed", lambda df: written.append(df) or df)
+    _, df = skewed(spark)
+    keys = spark.createDataFrame([("hot",)], "k string")
+    got = attach(df, keys, ["k"], ["id"], how="left_anti", hot_rows=10, like=df.select("k"), pinned=True)
+    assert got.count() == df.where("k <> 'hot'").count() and not written

@@ -122,12 +122,13 @@ def delete_jobs(
     ids = checkpointed(doomed.select("job_id").distinct())
 
     def without(df: DataFrame) -> DataFrame:
-        return attach(df, ids, ["job_id"], df.columns, how="left_anti").select(*df.columns)
+        return attach(df, ids, ["job_id"], df.columns, how="left_anti", pinned=True).select(*df.columns)
 
     def forget(df: DataFrame, column: str) -> DataFrame:
         gone = ids.select(F.col("job_id").alias(column), F.lit(True).alias("__gone"))
         kept = F.when(F.col("__gone").isNull(), F.col(column))
-        return attach(df, gone, [column], ["file_id"], how="left").select(
+        # Forgetting the one job keeps all rows and the other job of each.
+        return attach(df, gone, [column], ["file_id"], how="left", like=files, pinned=True).select(
             *[kept.alias(c) if c == column else F.col(c) for c in files.columns]
         )
 

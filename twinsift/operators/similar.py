@@ -10,6 +10,7 @@ used yet, as long as this makes the buckets smaller. Nothing is capped: the sear
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -98,18 +99,33 @@ def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
     return filed.select(F.col("child").alias("path"), F.col("bucket").bitwiseOR(block).alias("bucket"), "print", *kept)
 
 
-def _crowded(rows: DataFrame, level: int, bucket_rows: int) -> DataFrame:
+def _crowded(rows: DataFrame, rules: list[tuple], level: int, bucket_rows: int) -> DataFrame:
     """Buckets of more than ``bucket_rows`` prints with one fixed member (hub). ``meets`` tells whether a
     bucket can hold a pair: prints filed with the same flipped bit agree in that block and meet under
     their own value already, so a bucket where all rows flip the same bit has none.
 
+    What is filed under flipped bits is known from the prints' own values: only these are counted. A
+    bucket is crowded only if a value that is filed there has its share of ``bucket_rows``, so only the
+    buckets of such values are summed up from the values one bit away.
+
     There are at most as many as filed rows by ``bucket_rows``, so the list is broadcast.
     """
-    flip = F.col(f"flip{level}")
-    sizes = rows.groupBy("path", "bucket").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min("print").alias("hub"),
-        ((F.min(flip) < F.max(flip)) | (F.max(flip) == 0)).alias("meets"),
+    reach = max(Counter(child for _, child, _, _, _ in rules).values())
+    turns = F.broadcast(
+        rows.sparkSession.createDataFrame([(c, flip, n) for _, c, _, flip, n in rules], "path int, turn long, flip int")
+    )
+    turned = F.col("value").bitwiseXOR(F.col("turn"))
+    own = rows.where(F.col(f"flip{level}") == 0).groupBy("path", F.col("bucket").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("print").alias("least")
+    )
+    full = own.where(F.col("n") * reach > bucket_rows).join(turns, "path").select("path", turned.alias("bucket")).distinct()
+    filed = full.withColumnRenamed("bucket", "value").join(turns, "path").select(
+        "path", F.col("value").alias("bucket"), turned.alias("value"), "flip"
+    )
+    sizes = filed.join(own, ["path", "value"]).groupBy("path", "bucket").agg(
+        F.sum("n").alias("size"),
+        F.min("least").alias("hub"),
+        ((F.min("flip") < F.max("flip")) | (F.max("flip") == 0)).alias("meets"),
     )
     return checkpointed(sizes.where(F.col("size") > bucket_rows))
 
@@ -167,7 +183,7 @@ def _search(
         rows = _file_under(rows, rules, level)
         if prints <= bucket_rows:
             return _compare(rows, level, threshold, links_only).distinct()
-        over = _crowded(rows, level, bucket_rows)
+        over = _crowded(rows, rules, level, bucket_rows)
         small = rows if over.isEmpty() else rows.join(F.broadcast(over.select(*bucket)), bucket, "left_anti")
         small = _compare(small, level, threshold, links_only)
         found = small if found is None else found.unionByName(small)

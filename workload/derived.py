@@ -88,8 +88,10 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 def contents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # Spread evenly before the costly hashing, however the table is split into files.
-    docs = docs.repartition("doc_id")
+    # A table in few pieces is spread before the costly hashing; a larger one is hashed where it is read,
+    # so that no text is shuffled.
+    if docs.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+        docs = docs.repartition("doc_id")
     return docs.select((F.col("doc_id") + 1).alias("file_id"), F.col("text").cast("binary").alias("content"))
 
 
