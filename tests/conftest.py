@@ -14,6 +14,8 @@ def spark(tmp_path_factory):
         builder("twinsift-tests")
         .master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
+        # Plans name the folders that they read, however deep these are.
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

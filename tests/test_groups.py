@@ -95,6 +95,29 @@ def test_links_of_a_dense_cluster_stay_few(spark):
     assert similar.similar_links(df, 8).count() < 200 * 10
 
 
+@pytest.mark.parametrize("bucket_rows", [60, 150, 20_000])
+def test_links_grow_with_the_prints_not_with_their_pairs(spark, bucket_rows):
+    """Dense prints, of which no hub is near all: links connect what the pairs connect, and stay few."""
+    rng = random.Random(17)
+    bits = [bit for block in (0, 22, 43) for bit in range(block, block + 6)]
+    values = {sum(1 << bit for bit in bits if rng.random() < 0.5) for _ in range(300)}
+    values |= {1 << 21 | 1 << 40 | 7 << 60 | rng.getrandbits(64) for _ in range(40)}
+    df = spark.createDataFrame([(signed(v),) for v in values], "print long")
+    want = near_pairs(values, 8)
+    links = [tuple(r) for r in similar.similar_links(df, 8, bucket_rows).collect()]
+    assert set(links) <= {(a, b) for a, b, _ in want} | {(b, a) for a, b, _ in want}
+    assert union_find(links) == union_find([(a, b) for a, b, _ in want])
+    assert len(links) < 10 * len(values) < len(want) / 4
+    items = similar.find_similar(df.withColumn("file_id", F.abs("print") + F.when(F.col("print") < 0, 1).otherwise(0)), "j", 8, bucket_rows)
+    groups = {}
+    for print64, group in union_find([(a, b) for a, b, _ in want]).items():
+        groups.setdefault(group, set()).add(abs(print64) + (print64 < 0))
+    found = {}
+    for r in items.collect():
+        found.setdefault(r.anchor_file_id, set()).add(r.file_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_negative_threshold_is_refused(spark):
     with pytest.raises(ValueError):
         similar.similar_pairs(spark.createDataFrame([(1,)], "print long"), -1)

@@ -119,7 +119,55 @@ def _flips_meet(flips: Sequence[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
     return match
 
 
-def _batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of edges (u, v) that connect what all of them connect, without a ring (Boruvka)."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = np.split(ends, 2)
+    edges, root, chosen = np.arange(len(u)), np.arange(len(nodes)), []
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(chosen) if chosen else edges[:0]
+        u, v, edges, x, y = u[apart], v[apart], edges[apart], x[apart], y[apart]
+        # Each tree takes its first edge; two trees that took the same one stay below the smaller.
+        first = np.full(len(nodes), len(edges))
+        np.minimum.at(first, x, np.arange(len(edges)))
+        np.minimum.at(first, y, np.arange(len(edges)))
+        trees = np.flatnonzero(first < len(edges))
+        taken = first[trees]
+        hook = np.arange(len(nodes))
+        hook[trees] = np.where(x[taken] == trees, y[taken], x[taken])
+        mutual = trees[(hook[hook[trees]] == trees) & (trees < hook[trees])]
+        hook[mutual] = mutual
+        chosen.append(edges[np.unique(taken)])
+        while not np.array_equal(hook, higher := hook[hook]):
+            hook = higher
+        root = hook[root]
+
+
+def _thinned(
+    pairs: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of pairs (positions), as many as connect the same labels. Never more are held than rows and CHUNK_ROWS."""
+    held, fresh = [], 0
+    for a, b in pairs:
+        apart = labels[a] != labels[b]
+        held.append((a[apart], b[apart]))
+        fresh += len(held[-1][0])
+        if fresh >= CHUNK_ROWS:
+            held, fresh = [_thin(held, labels)], 0
+    if held:
+        yield _thin(held, labels)
+
+
+def _thin(pairs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(c) for c in zip(*pairs))
+    kept = _forest(labels[a], labels[b])
+    return a[kept], b[kept]
+
+
+def _batches(pairs: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Arrow batches of about CHUNK_ROWS pairs."""
     held, rows = [], 0
     for pair in pairs:
@@ -132,57 +180,79 @@ def _batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], names)
 
 
-def _run(rows: DataFrame, keys: Sequence[str], order: Sequence[str], find: Callable, names: list[str]) -> DataFrame:
+def _run(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], find: Callable, names: list[str], dealt: bool = False
+) -> DataFrame:
     """``find`` over rows dealt by ``keys``; the first key, by which Spark sorts fastest, tells most apart."""
     ship_package(rows.sparkSession)
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(
+    together = rows if dealt else rows.repartition(*keys)
+    return together.sortWithinPartitions(*keys, *order).mapInArrow(
         lambda batches: _batches((pair for columns in _whole_keys(batches, len(keys)) for pair in find(columns)), names),
         ", ".join(f"{name} long" for name in names),
     )
 
 
 def pairs_within(
-    rows: DataFrame, keys: Sequence[str], flips: Sequence[str], threshold: int, links_only: bool, near: str | None = None
+    rows: DataFrame, keys: Sequence[str], flips: Sequence[str], threshold: int, links_only: bool, near: str | None = None,
+    label: str | None = None, dealt: bool = False,
 ) -> DataFrame:
-    """Pairs a < b of rows of one key within the threshold and, for ``links_only``, not both near its hub.
+    """Pairs a < b of rows of one key within the threshold. For ``links_only`` as many as connect what all
+    pairs not both near its hub connect.
 
     ``near`` names a column that tells which rows are near the hub. Without it the hub is the smallest
-    print of the key, and the links of the hub are returned as well.
+    print of the key, and the links of the hub count as well. ``label`` names a column by which prints are
+    connected already; links are then returned with the labels ``of_a`` and ``of_b``. Rows that are ``dealt``
+    are partitioned by the keys as they come.
     """
     keys, flips = list(keys), list(flips)
-    kept = [*flips, near] if near else flips
+    kept = [*flips, *[c for c in (near, label) if c]]
     n, levels = len(keys), len(flips)
 
-    def find(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def positions(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         prints, marks = columns[n].view(np.uint64), columns[n + 1 : n + 1 + levels]
         first = _firsts(columns[:n])
-        close = columns[-1].astype(bool) if near else None
+        close = columns[n + 1 + levels].astype(bool) if near else None
         if links_only and not near:
             hub = np.repeat(first, np.diff(np.append(first, len(prints))))
             close = np.bitwise_count(prints ^ prints[hub]) <= threshold
             spokes = np.flatnonzero(close & (hub != np.arange(len(prints))))
-            yield prints[hub[spokes]], prints[spokes]
+            yield hub[spokes], spokes
         for a, b in _near_within(prints, first, threshold):
             match = _flips_meet(marks, a, b)
             if links_only:
                 match &= ~(close[a] & close[b])
-            yield prints[a[match]], prints[b[match]]
+            yield a[match], b[match]
+
+    def find(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        return _shown(positions(columns), columns[n], columns[-1] if label else columns[n], links_only, label)
+
+    return _run(rows.select(*keys, "print", *kept), keys, ["print"], find, _names(label), dealt)
+
+
+def _names(label: str | None) -> list[str]:
+    return ["a", "b", "of_a", "of_b"] if label else ["a", "b"]
 
-    return _run(rows.select(*keys, "print", *kept), keys, ["print"], find, ["a", "b"])
+
+def _shown(
+    pairs: Iterator[tuple[np.ndarray, np.ndarray]], prints: np.ndarray, labels: np.ndarray, thin: bool, label: str | None
+) -> Iterator[tuple[np.ndarray, ...]]:
+    for a, b in _thinned(pairs, labels) if thin else pairs:
+        yield (prints[a], prints[b], labels[a], labels[b]) if label else (prints[a], prints[b])
 
 
 def pairs_across(
-    rows: DataFrame, keys: Sequence[str], threshold: int, flips: Sequence[str] = (), near: str | None = None
+    rows: DataFrame, keys: Sequence[str], threshold: int, flips: Sequence[str] = (), near: str | None = None,
+    label: str | None = None,
 ) -> DataFrame:
     """Pairs a < b of a row of side 0 and a row of side 1 of one key within the threshold.
 
     ``rows`` has ``side`` and ``print``; pairs count by their ``flips``, and not if both are ``near``.
+    With a ``label`` only as many as connect the same labels, as in :func:`pairs_within`.
     """
     keys, flips = list(keys), list(flips)
     n, levels = len(keys), len(flips)
 
-    def find(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def positions(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         signed, marks = columns[n + 1], columns[n + 2 : n + 2 + levels]
         prints = signed.view(np.uint64)
         for x, y in _near_across(prints, columns[n], _firsts(columns[:n]), threshold):
@@ -190,12 +260,16 @@ def pairs_across(
             a, b = np.where(low, x, y), np.where(low, y, x)
             match = _flips_meet(marks, a, b) & (signed[a] != signed[b])
             if near:
-                close = columns[-1].astype(bool)
+                close = columns[n + 2 + levels].astype(bool)
                 match &= ~(close[a] & close[b])
-            yield prints[a[match]], prints[b[match]]
+            yield a[match], b[match]
+
+    def find(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        labels = columns[-1] if label else columns[n + 1]
+        return _shown(positions(columns), columns[n + 1], labels, bool(label), label)
 
-    kept = [*flips, near] if near else flips
-    return _run(rows.select(*keys, "side", "print", *kept), keys, ["side"], find, ["a", "b"])
+    kept = [*flips, *[c for c in (near, label) if c]]
+    return _run(rows.select(*keys, "side", "print", *kept), keys, ["side"], find, _names(label))
 
 
 def meetings(rows: DataFrame, keys: Sequence[str], told: str, threshold: int) -> DataFrame:

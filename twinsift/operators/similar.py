@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from twinsift.functions.fingerprints import from_hex64, hamming
 from twinsift.operators.components import connected_components
 from twinsift.operators.near_rows import pairs_across, pairs_within
-from twinsift.operators.skew import attach
+from twinsift.operators.skew import attach, hot_keys_of
 from twinsift.operators.slices import class_sizes, triangle_sides
 from twinsift.schemas import DEFAULT_THRESHOLD, PHASH
 from twinsift.session import checkpointed
@@ -77,13 +77,19 @@ def _children(paths: dict[int, list[int]], threshold: int) -> tuple[list[tuple],
     return rules, below
 
 
+def _label(rows: DataFrame) -> list[str]:
+    """The column by which prints are connected already, if there is one."""
+    return ["label"] if "label" in rows.columns else []
+
+
 def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
     """One row per print and bucket of the next level.
 
     At the first level all rows follow the same rules, so these are a constant; later the small
     rule table (fixed by the threshold, not by the data) is broadcast and joined on the path.
     """
-    kept = [f"flip{i}" for i in range(level + 1)] + (["parent"] if level else [])
+    carried = _label(rows)
+    kept = [f"flip{i}" for i in range(level + 1)] + (["parent"] if level else []) + carried
     if level == 0:
         constant = F.array(
             *[
@@ -91,7 +97,7 @@ def _file_under(rows: DataFrame, rules: list[tuple], level: int) -> DataFrame:
                 for _, c, m, f, n in rules
             ]
         )
-        filed = rows.select("bucket", "print", F.inline(constant))
+        filed = rows.select("bucket", "print", *carried, F.inline(constant))
     else:
         schema = f"path int, child int, mask long, flip long, flip{level} int"
         filed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(rules, schema)), "path")
@@ -132,7 +138,27 @@ def _crowded(rows: DataFrame, rules: list[tuple], level: int, bucket_rows: int)
 
 def _compare(rows: DataFrame, level: int, threshold: int, links_only: bool) -> DataFrame:
     """Pairs of one bucket within the threshold, each found once per block that shows it."""
-    return pairs_within(rows, ["bucket", "path"], [f"flip{i}" for i in range(level + 1)], threshold, links_only)
+    if level == 0:
+        rows = _dealt_by_rule(rows, threshold)
+    flips = [f"flip{i}" for i in range(level + 1)]
+    label = next(iter(_label(rows)), None)
+    return pairs_within(rows, ["bucket", "path"], flips, threshold, links_only, label=label, dealt=level == 0)
+
+
+def _dealt_by_rule(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows of the first level dealt by bucket. Most rows of a search are these, so only the print and the
+    number of its rule are shuffled: the bucket follows from them on both sides."""
+    rules, _ = _children({0: list(range(64))}, threshold)
+    place = {(child, flipped): i + 1 for i, (_, child, _, _, flipped) in enumerate(rules)}
+    starts = F.array(*[F.lit(place[path, 0]) for path in sorted({child for child, _ in place})])
+    told = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("rule"))
+    _, child, mask, flip, flipped = zip(*rules)
+    path = told(child, "int")
+    bucket = F.col("print").bitwiseAND(told(mask, "long")).bitwiseXOR(told(flip, "long"))
+    packed = rows.select((F.element_at(starts, F.col("path")) + F.col("flip0")).alias("rule"), "print", *_label(rows))
+    return packed.repartition(bucket, path).select(
+        path.alias("path"), bucket.alias("bucket"), "print", told(flipped, "int").alias("flip0"), *_label(rows)
+    )
 
 
 def _compare_slices(rows: DataFrame, level: int, threshold: int, links_only: bool, slice_rows: int) -> DataFrame:
@@ -142,17 +168,21 @@ def _compare_slices(rows: DataFrame, level: int, threshold: int, links_only: boo
     flip the same bit. These do not meet each other, so such a bucket costs its few other rows only.
     """
     last = f"flip{level}"
-    kept = [f"flip{i}" for i in range(level)]
+    label = next(iter(_label(rows)), None)
+    kept = [f"flip{i}" for i in range(level)] + _label(rows)
     near = hamming(F.col("print"), F.col("hub")) <= threshold
     rows = rows.withColumn("near", near)
-    flips, closeness = [*kept, last], "near" if links_only else None
+    flips, closeness = [f"flip{i}" for i in range(level + 1)], "near" if links_only else None
     own, across = triangle_sides(rows, ["path", "bucket"], "print", last, ["near", *kept], slice_rows)
-    within = pairs_within(own, ["bucket", "path", "slice"], flips, threshold, links_only, near=closeness)
-    pairs = within.unionByName(
-        pairs_across(across, ["bucket", "path", "kind_one", "one", "kind_two", "two"], threshold, flips, near=closeness)
-    )
+    within = pairs_within(own, ["bucket", "path", "slice"], flips, threshold, links_only, near=closeness, label=label)
+    meet = ["bucket", "path", "kind_one", "one", "kind_two", "two"]
+    pairs = within.unionByName(pairs_across(across, meet, threshold, flips, near=closeness, label=label))
     if links_only:
-        spokes = rows.where("near AND print <> hub").select(F.col("hub").alias("a"), F.col("print").alias("b"))
+        # The hub stands for itself and is linked to its own label by a row (hub, hub).
+        told = [F.col("hub").alias("of_a"), F.col("label").alias("of_b")] if label else []
+        spokes = rows.where("near" if label else "near AND print <> hub").select(
+            F.col("hub").alias("a"), F.col("print").alias("b"), *told
+        )
         pairs = pairs.unionByName(spokes)
     return pairs
 
@@ -164,6 +194,18 @@ def print_counts(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _unique(pairs: DataFrame) -> DataFrame:
+    """Each pair once; of labelled ones, one pair of prints for two labels."""
+    if "of_a" not in pairs.columns:
+        return pairs.distinct()
+    two = [F.least("of_a", "of_b").alias("of_a"), F.greatest("of_a", "of_b").alias("of_b")]
+    return pairs.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*", "of_a", "of_b")
+
+
+def _unfiled(distinct: DataFrame) -> DataFrame:
+    return distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print", *_label(distinct))
+
+
 def _search(
     distinct: DataFrame, threshold: int, links_only: bool, bucket_rows: int, hot_rows: int | None = None,
     refine_rows: int = REFINE_ROWS,
@@ -175,21 +217,21 @@ def _search(
     found = None
     distinct = distinct.where("print IS NOT NULL")
     prints = distinct.count()
-    rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("bucket"), "print")
+    rows = _unfiled(distinct)
     paths = {0: list(range(64))}
     bucket, level = ["path", "bucket"], 0
     while True:
         rules, below = _children(paths, threshold)
         rows = _file_under(rows, rules, level)
         if prints <= bucket_rows:
-            return _compare(rows, level, threshold, links_only).distinct()
+            return _unique(_compare(rows, level, threshold, links_only))
         over = _crowded(rows, rules, level, bucket_rows)
         small = rows if over.isEmpty() else rows.join(F.broadcast(over.select(*bucket)), bucket, "left_anti")
         small = _compare(small, level, threshold, links_only)
         found = small if found is None else found.unionByName(small)
         over = over.where("meets").drop("meets")
         if over.isEmpty():
-            return found.distinct()
+            return _unique(found)
         crowded = checkpointed(rows.join(F.broadcast(over), bucket))
         shapes = class_sizes(crowded, bucket, f"flip{level}")
         told = checkpointed(
@@ -202,11 +244,54 @@ def _search(
         found = found.unionByName(_compare_slices(told.where(~deep), level, threshold, links_only, bucket_rows))
         rows = told.where(deep)
         if not paths or rows.isEmpty():
-            return found.distinct()
+            return _unique(found)
         rows = rows.drop("hub", "classes", "work", "parent").withColumnRenamed("size", "parent")
         level += 1
 
 
+def _search_links(
+    distinct: DataFrame, threshold: int, bucket_rows: int, hot_rows: int | None = None, refine_rows: int = REFINE_ROWS
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(links, labelled, later): what connects all prints within the threshold, in two steps.
+
+    Near prints that agree in a whole block are linked first, a spanning forest of each bucket.
+    ``labelled`` tells by which ``label`` these ``links`` connect each print, and the search of all buckets
+    then keeps links between labels only: one pair (a, b) for two labels (of_a, of_b). So prints that are
+    many and dense cost links by their number, not by that of their pairs. Few prints need one step.
+    """
+    distinct = distinct.where("print IS NOT NULL")
+    if threshold <= 0 or distinct.count() <= bucket_rows:
+        return _search(distinct, threshold, True, bucket_rows, hot_rows, refine_rows), None, None
+    bucket = ["path", "bucket"]
+    plain = [rule for rule in _children({0: list(range(64))}, threshold)[0] if rule[4] == 0]
+    rows = _file_under(_unfiled(distinct), plain, 0)
+    # Crowded buckets are left to the search by slices.
+    crowded = hot_keys_of(rows, bucket, bucket_rows + 1)
+    if crowded is not None:
+        rows = rows.join(F.broadcast(crowded.select(*bucket)), bucket, "left_anti")
+    links = checkpointed(_compare(rows, 0, threshold, True).distinct())
+    labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), hot_rows=hot_rows)
+    labelled = checkpointed(
+        distinct.join(labels.withColumnRenamed("id", "print"), "print", "left")
+        .select("print", F.coalesce("component", "print").alias("label"))
+    )
+    return links, labelled, checkpointed(_search(labelled, threshold, True, bucket_rows, hot_rows, refine_rows))
+
+
+def _components(
+    distinct: DataFrame, threshold: int, bucket_rows: int, hot_rows: int | None = None
+) -> DataFrame:
+    """(id, component) of prints in a component of two or more; its smallest print may have no row."""
+    links, labelled, later = _search_links(distinct, threshold, bucket_rows, hot_rows)
+    if labelled is None:
+        return connected_components(_as_links(links), hot_rows=hot_rows)
+    joined = connected_components(later.select(F.col("of_a").alias("src"), F.col("of_b").alias("dst")), hot_rows=hot_rows)
+    found = labelled.join(joined.withColumnRenamed("id", "label"), "label", "left").select(
+        F.col("print").alias("id"), F.coalesce("component", "label").alias("component")
+    )
+    return found.where("id <> component")
+
+
 def similar_pairs(
     prints: DataFrame, threshold: int = DEFAULT_THRESHOLD, bucket_rows: int = BUCKET_ROWS,
     refine_rows: int = REFINE_ROWS,
@@ -226,11 +311,11 @@ def similar_links(
 ) -> DataFrame:
     """Enough pairs (src, dst) within the threshold to connect what all pairs connect.
 
-    Prints of one bucket that are all close to its hub are linked through the hub only, so a
-    dense cluster costs one link per print and bucket instead of all its pairs.
+    A dense cluster costs about a link per print and block instead of all its pairs.
     """
     distinct = checkpointed(prints.select("print").distinct())
-    return _as_links(_search(distinct, threshold, True, bucket_rows, hot_rows, refine_rows))
+    links, _, later = _search_links(distinct, threshold, bucket_rows, hot_rows, refine_rows)
+    return _as_links(links if later is None else links.unionByName(later.where("a <> b").select("a", "b")).distinct())
 
 
 def _as_links(links: DataFrame) -> DataFrame:
@@ -300,6 +385,5 @@ def find_similar(
 ) -> DataFrame:
     """Items of all near-copy groups of the candidates (file_id, print)."""
     prints = print_counts(candidates)
-    links = _as_links(_search(prints.select("print"), threshold, True, bucket_rows, hot_rows))
-    components = connected_components(links, hot_rows=hot_rows)
+    components = _components(prints.select("print"), threshold, bucket_rows, hot_rows)
     return similar_group_items(candidates, components, job_id, hot_rows=hot_rows, prints=prints)
